@@ -81,6 +81,25 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, out)
 
 
+def tally(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[..., None], Callable[[], Iterable[tuple]]]]) -> DataFrame:
+    """Each task's rows go to the first function that make() returns; the second gives the task's result rows at its end."""
+    small_batches(df.sparkSession)
+    out = df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        add, finish = make()
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                add(*values)
+        if rows := list(finish()):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, out)
+
+
 def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     """Rows (node, component): every node of edges with the smallest node that it reaches.
 

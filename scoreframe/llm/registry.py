@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from scoreframe.llm.byte_bpe import op10_byte_bpe
+from scoreframe.llm.containment import OP7_SQL, op7_decontaminate
+from scoreframe.llm.license_scan import op2_license_scan
 from scoreframe.llm.prefix_counts import op9_token_counts
+from scoreframe.llm.quality_rules import op1_quality_rules
 
 
 def queries() -> dict:
-    return {"op9_token_counts": op9_token_counts, "op10_byte_bpe": op10_byte_bpe}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_license_scan": op2_license_scan,
+        "op7_decontaminate": op7_decontaminate,
+        "op9_token_counts": op9_token_counts,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": OP7_SQL}
