@@ -7,12 +7,16 @@ from scoreframe.llm.containment import OP7_SQL, op7_decontaminate
 from scoreframe.llm.license_scan import op2_license_scan
 from scoreframe.llm.prefix_counts import op9_token_counts
 from scoreframe.llm.quality_rules import op1_quality_rules
+from scoreframe.llm.url_filter import OP4_SQL, op4_url_filter
+from scoreframe.llm.warc_zip import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_license_scan": op2_license_scan,
+        "op3_warc": op3_warc,
+        "op4_url_filter": op4_url_filter,
         "op7_decontaminate": op7_decontaminate,
         "op9_token_counts": op9_token_counts,
         "op10_byte_bpe": op10_byte_bpe,
@@ -20,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_decontaminate": OP7_SQL}
