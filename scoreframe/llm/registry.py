@@ -8,6 +8,7 @@ from scoreframe.llm.license_scan import op2_license_scan
 from scoreframe.llm.personal_data import op5_personal_data
 from scoreframe.llm.prefix_counts import op9_token_counts
 from scoreframe.llm.quality_rules import op1_quality_rules
+from scoreframe.llm.toxicity import op8_toxicity
 from scoreframe.llm.url_filter import OP4_SQL, op4_url_filter
 from scoreframe.llm.warc_zip import OP3_SQL, op3_warc
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_url_filter": op4_url_filter,
         "op5_personal_data": op5_personal_data,
         "op7_decontaminate": op7_decontaminate,
+        "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_byte_bpe": op10_byte_bpe,
     }
