@@ -5,6 +5,7 @@ from __future__ import annotations
 from scoreframe.llm.byte_bpe import op10_byte_bpe
 from scoreframe.llm.containment import OP7_SQL, op7_decontaminate
 from scoreframe.llm.license_scan import op2_license_scan
+from scoreframe.llm.near_duplicates import op6_near_duplicates
 from scoreframe.llm.personal_data import op5_personal_data
 from scoreframe.llm.prefix_counts import op9_token_counts
 from scoreframe.llm.quality_rules import op1_quality_rules
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_url_filter": op4_url_filter,
         "op5_personal_data": op5_personal_data,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_decontaminate": op7_decontaminate,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
