@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import map_rows, table
+from scoreframe.llm.common import map_rows, small_batches, table
 from scoreframe.llm.shingles import WIDTH, all_shingles, words_of
 
 THRESHOLD = 0.8
@@ -118,6 +119,22 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     return out
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all of their columns, that contain no test item."""
+    small_batches(docs.sparkSession)
+    schema, out = docs.schema, docs
+    for block in item_blocks(benchmark):
+
+        def run(batches, block=block):
+            index = ItemIndex(block, threshold)
+            for b in batches:
+                texts = b.column(b.schema.get_field_index("text")).to_pylist()
+                yield b.filter(pa.array([t is None or not index.contained(t.encode()) for t in texts], pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -13,7 +13,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ from scoreframe.llm.shingles import mix, shingle_set
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 85
 
-#: A pair of similarity 0.85 shares no band with a chance of (1 - 0.85^8)^40 = 3e-6, one of 0.3 shares one with 0.003.
-BANDS, ROWS = 40, 8
+#: Signature hashes at most, and the chance with which a pair just at the threshold may share no band.
+HASHES, UNSEEN = 400, 5e-6
 
 #: Hashes compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 40, 1e-6
@@ -35,61 +38,70 @@ BATCH, MISS = 40, 1e-6
 #: Texts and bytes that one block has at most, but for a single longer text.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
 
-_K = BANDS * ROWS
-_A = (mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (mix(np.arange(_K + 1, 2 * _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least of each of the signature's hash functions over a set of shingle hashes; in pieces, so that long texts fit."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    out = np.full(_K, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 256):
-        h = _A[:, None] * x[None, i : i + 256]
-        h += _B[:, None]
-        np.minimum(out, h.min(axis=1), out=out)
-    return out
+@dataclass(frozen=True)
+class Banding:
+    """Bands of rows hashes each, and bounds[b]: the least number of equal one-byte hashes, of the first (b + 1) * BATCH,
+    with which a pair stays."""
 
-
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band, its number included."""
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in signature.reshape(BANDS, ROWS).T.astype(np.uint64):
-        acc = mix(acc ^ column)
-    return acc.view(np.int64)
+    percent: int
+    bands: int
+    rows: int
+    bounds: tuple[int, ...]
 
 
-def posterior_bounds(percent: int = PERCENT, miss: float = MISS) -> list[int]:
-    """bounds[b]: least number of equal one-byte hashes, of the first (b + 1) * BATCH, with which a pair stays.
+@lru_cache(maxsize=8)
+def banding(percent: int) -> Banding:
+    """The most selective bands within HASHES that overlook a pair at the threshold with a chance of UNSEEN; 85: 39 x 8, 80: 52 x 7.
 
-    The prior of the similarity is uniform; hashes of one byte agree with probability s + (1 - s) / 256.
+    Bounds: the prior of the similarity s is uniform, and one-byte hashes agree with probability s + (1 - s) / 256.
     """
+    least = percent / 100
+    bands = lambda r: math.ceil(math.log(UNSEEN) / math.log1p(-(least**r))) if least < 1 else 1
+    rows = next(r for r in range(12, 0, -1) if r * bands(r) <= HASHES)
     s = (np.arange(2000) + 0.5) / 2000
-    p = s + (1 - s) / 256
-    high = s >= percent / 100
-    out = []
-    for n in range(BATCH, _K + 1, BATCH):
+    p, high, bounds = s + (1 - s) / 256, s >= least, []
+    for n in range(BATCH, rows * bands(rows) + 1, BATCH):
         m = np.arange(n + 1)[:, None]
         log_l = m * np.log(p) + (n - m) * np.log1p(-p)
         w = np.exp(log_l - log_l.max(axis=1, keepdims=True))
-        chance = w[:, high].sum(axis=1) / w.sum(axis=1)
-        out.append(int(np.argmax(chance >= miss)))
+        bounds.append(int(np.argmax(w[:, high].sum(axis=1) / w.sum(axis=1) >= MISS)))
+    return Banding(percent, bands(rows), rows, tuple(bounds))
+
+
+def minima(shingles: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """The least of each of n hash functions over a set of shingle hashes; in pieces, so that long texts fit."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
+    out = np.full(n, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 256):
+        h = _A[:n, None] * x[None, i : i + 256]
+        h += _B[:n, None]
+        np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
-_BOUNDS = posterior_bounds()
+def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key for each band, its number included."""
+    acc = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in signature.reshape(bands, -1).T.astype(np.uint64):
+        acc = mix(acc ^ column)
+    return acc.view(np.int64)
+
 
 DIGEST = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
-def digest(raw: bytes | None) -> tuple[int, int | None, int | None, list[int]]:
+def digest(raw: bytes | None, plan: Banding) -> tuple[int, int | None, int | None, list[int]]:
     """n_shingles, a 128-bit hash of the set (null if empty), band keys."""
     s = shingle_set(raw)
     if not len(s):
         return 0, None, None, []
     with np.errstate(over="ignore"):
         h1, h2 = (int(mix(s ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (0x243F6A8885A308D3, 0x13198A2E03707344))
-    return len(s), h1, h2, band_keys(minima(s)).tolist()
+    return len(s), h1, h2, band_keys(minima(s, plan.bands * plan.rows), plan.bands).tolist()
 
 
 def candidate_groups(digests: DataFrame) -> DataFrame:
@@ -123,7 +135,7 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, on full sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -133,7 +145,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verify(left: Block, right: Block | None, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+def verify(left: Block, right: Block | None, plan: Banding) -> Iterator[tuple[int, int]]:
     """Confirmed links within left, or if right is given between left and right, that join what wasn't joined in here."""
     other = right or left
     signs, sizes = np.array(other.signs), np.array([len(s) for s in other.sets])
@@ -141,9 +153,9 @@ def verify(left: Block, right: Block | None, percent: int = PERCENT) -> Iterator
     for i, mine in enumerate(left.signs):
         js = np.arange(i + 1 if right is None else 0, len(other.ids))
         n = len(left.sets[i])
-        js = js[(100 * sizes[js] >= percent * n) & (100 * n >= percent * sizes[js])]
+        js = js[(100 * sizes[js] >= plan.percent * n) & (100 * n >= plan.percent * sizes[js])]
         equal = np.zeros(len(js), np.int32)
-        for b, bound in enumerate(_BOUNDS):
+        for b, bound in enumerate(plan.bounds):
             if not len(js):
                 break
             part = slice(b * BATCH, (b + 1) * BATCH)
@@ -152,7 +164,7 @@ def verify(left: Block, right: Block | None, percent: int = PERCENT) -> Iterator
             js, equal = js[stay], equal[stay]
         for j in js[np.argsort(-equal, kind="stable")].tolist():
             x, y = _root(parent, left.ids[i]), _root(parent, other.ids[j])
-            if x != y and linked(left.sets[i], other.sets[j], percent):
+            if x != y and linked(left.sets[i], other.sets[j], plan.percent):
                 parent[max(x, y)] = min(x, y)
                 yield left.ids[i], other.ids[j]
 
@@ -163,6 +175,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT)
     A group larger than a block is split by the hash of its ids into blocks, and every pair of its blocks is one piece of work,
     so that no task holds more than two blocks. Texts are read again for the members of groups alone.
     """
+    plan = banding(percent)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").cast("binary").alias("raw"))
     members = groups.join(texts, "node").groupBy("component", "node").agg(F.min("raw").alias("raw"))
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("raw")).alias("bytes"))
@@ -178,7 +191,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT)
         at, left, right = None, Block(), Block()
 
         def close() -> pa.RecordBatch | None:
-            links = [] if at is None else list(verify(left, None if at[1] == at[2] else right, percent))
+            links = [] if at is None else list(verify(left, None if at[1] == at[2] else right, plan))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]) if links else None
 
         for batch in batches:
@@ -203,9 +216,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nothing, have a null component_id and are kept. doc_id is the key: rows that repeat it have one class. Other columns are
     left out; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    plan = banding(percent)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
-    digests = durable(map_rows(raw, ["doc_id", "raw"], DIGEST, lambda: lambda doc_id, raw: [(doc_id, *digest(raw))]))
+    digests = durable(map_rows(raw, ["doc_id", "raw"], DIGEST, lambda: lambda doc_id, raw: [(doc_id, *digest(raw, plan))]))
     known = digests.where("doc_id is not null")
     classes = components(confirmed_links(docs, candidate_groups(known), percent))
     # copies meet at their set's smallest id, then all that is linked at the component's; ids with several texts join both
@@ -220,5 +233,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+#: Ids to drop that go to every task, at most (8 bytes each); more are met by a shuffle.
+DROPPED_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of docs, with all of their columns, but for those that near_duplicates() doesn't keep."""
+    dropped = durable(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= DROPPED_IDS else dropped, "doc_id", "left_anti")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
