@@ -148,3 +148,50 @@ def polish(df: DataFrame, token: str, words: DataFrame, out: str = "polished") -
     parted = split_merged(fixed, "_fixed", words, "_split")
     pieces = F.filter(F.split("_split", r"\s+"), lambda p: p != "")
     return parted.withColumn(out, F.array_join(F.transform(pieces, fix_contraction), " ")).drop("_fixed", "_split")
+
+
+def opening(line: Column, letters: int = 2) -> Column:
+    """First letters of each token that has as many, lower-cased."""
+    return F.transform(F.filter(tokens(line), lambda t: F.length(t) >= letters), lambda t: F.lower(F.substring(t, 1, letters)))
+
+
+def shared_openings(a: Column, b: Column, n: int = 5) -> Column:
+    """Share of the first n openings that two lines have in common, counted with repeats; 0 if either has fewer than two."""
+    x, y = F.slice(a, 1, n), F.slice(b, 1, n)
+    count = lambda items, t: F.size(F.filter(items, lambda u: u == t))
+    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda total, t: total + F.least(count(x, t), count(y, t)))
+    few = (F.size(x) < 2) | (F.size(y) < 2)
+    return F.when(few, 0.0).otherwise(common / F.greatest(F.size(x), F.size(y)))
+
+
+def pair_verses(lines: DataFrame, by: list[str], order: str, line: str) -> DataFrame:
+    """lines with verse: 1 and 2 for two consecutive lines that open alike and are of like length, 0 for lines of both verses.
+
+    A line pairs with the next from the top, and a paired line is used up: in a run of lines each of which could pair with the next,
+    every other one does. So runs are islands, and no line waits for another.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(order)
+    sig = lines.withColumn("_sig", opening(F.col(line))).withColumn("_next", F.lead("_sig").over(w))
+    ratio = F.try_divide(F.size("_sig"), F.size("_next"))
+    can = F.coalesce((F.size("_sig") > 0) & (F.size("_next") > 0) & (shared_openings(F.col("_sig"), F.col("_next")) >= 0.6) & ratio.between(0.5, 2.0), F.lit(False))
+    runs = sig.withColumn("_can", can).withColumn("_run", F.count_if(~F.col("_can")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = runs.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_run").orderBy(order)))
+    first = F.col("_can") & (F.col("_n") % 2 == 1)
+    before = F.lag(first).over(w)
+    return placed.withColumn("verse", F.when(first, 1).when(before, 2).otherwise(0)).drop("_sig", "_next", "_can", "_run", "_n")
+
+
+def prose_lines(lines: DataFrame, by: list[str], order: str, line: str, dictionary: DataFrame) -> DataFrame:
+    """Lines with two or more dictionary words of four letters, letters for 40 % of their characters, and not long and mostly capital;
+    of equal kept lines in a row the first. dictionary has one column and is joined by word."""
+    from pyspark.sql import Window
+
+    words = lines.select(*by, order, F.explode(tokens(F.col(line))).alias("_w")).where("length(_w) >= 4").select(*by, order, F.lower("_w").alias("_w"))
+    known = words.join(dictionary.select(F.col(dictionary.columns[0]).alias("_w")).distinct(), "_w", "left_semi").groupBy(*by, order).agg(F.count("*").alias("_n")).where("_n >= 2")
+    c = F.col(line)
+    letters, upper, lower = (F.regexp_count(c, F.lit(p)) for p in (r"\p{L}", r"\p{Lu}", r"\p{Ll}"))
+    good = lines.where((letters >= 0.4 * F.length(c)) & ~((upper > lower) & (F.length(c) > 40))).join(known.drop("_n"), [*by, order], "left_semi")
+    before = F.lag(line).over(Window.partitionBy(*by).orderBy(order))
+    return good.withColumn("_before", before).where("_before is null or not _before <=> " + f"`{line}`").drop("_before")
