@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         digests.select("doc_id", "n_shingles", "h1", "h2")
         .join(firsts, ["h1", "h2"], "left")
         .join(classes.select(F.col("node").alias("first"), "component"), "first", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
