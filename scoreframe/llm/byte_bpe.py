@@ -5,15 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import map_rows, table
+from scoreframe.llm.common import map_rows, resident, table
 
 #: Pre-tokens of which the ids are kept at hand, and the longest such pre-token; beyond, they are encoded again.
-CACHED, CACHED_CHARS = 400_000, 64
+CACHED, CACHED_CHARS = 250_000, 64
 
 def byte_alphabet() -> list[str]:
     """A printable character for each byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
@@ -109,10 +108,9 @@ class Codec(dict):
         return b"".join([self.bytes_of[str(i)] for i in ids or []])
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    return Codec(path, pattern)
+    """The codec of a worker process."""
+    return resident(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

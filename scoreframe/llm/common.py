@@ -55,6 +55,20 @@ def local_form(url: str) -> str:
     return url[len("file://"):] if url.startswith("file://") else url[len("file:"):] if url.startswith("file:") else url
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """A worker process keeps one large object (a codec, a machine, a cache of hashes) from task to task: the one asked for last.
+
+    Worker processes outlive an operator, and in a pipeline each stage would leave its own behind otherwise.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],

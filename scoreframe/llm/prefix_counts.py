@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
 from operator import sub
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreframe.llm.byte_bpe import byte_alphabet
-from scoreframe.llm.common import map_rows, table
+from scoreframe.llm.common import map_rows, resident, table
 
 #: Chunks whose steps are kept at hand, and the longest such chunk; beyond, they are computed again.
 CACHED, CACHED_CHARS = 400_000, 64
@@ -174,10 +173,9 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
 
 
-@lru_cache(maxsize=2)
 def counter(path: str, pattern: str) -> PrefixCounter:
-    """One counter per worker process and vocabulary."""
-    return PrefixCounter(path, pattern)
+    """The counter of a worker process."""
+    return resident(("counter", path, pattern), lambda: PrefixCounter(path, pattern))
 
 
 def prefix_table(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

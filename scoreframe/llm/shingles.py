@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from scoreframe.llm.common import resident
+
 WIDTH = 5
 
 #: Words whose hashes are kept at hand.
-CACHED = 300_000
+CACHED = 200_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [pow(0x9E3779B97F4A7C15, WIDTH - 1 - i, 1 << 64) for i in range(WIDTH)]
@@ -27,9 +29,6 @@ class WordHashes(dict):
         return h
 
 
-HASH_OF = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     x = x + _STEP
@@ -47,7 +46,7 @@ def all_shingles(words: list[bytes]) -> np.ndarray:
     """The hash of each run of WIDTH words, in text order; of fewer words, one hash of them all; of none, none."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([HASH_OF[w] for w in words], np.uint64)
+    h = np.array(list(map(resident("word hashes", WordHashes).__getitem__, words)), np.uint64)
     n = len(h) - WIDTH + 1
     if n < 1:  # the number of words takes part, so that this is no other run's hash
         acc = np.uint64(len(words))

@@ -10,6 +10,7 @@ words of the clean ones speak against.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import map_rows, small_batches, table
+from scoreframe.llm.common import resident, small_batches, table
 
 #: Length of the subsequences, and the weight of each character that one stretches over.
 ORDER, DECAY = 4, 0.7
@@ -34,7 +35,7 @@ LANDMARKS = 24
 SPAN = 32
 
 #: Tokens whose margins are kept at hand.
-CACHED = 400_000
+CACHED = 200_000
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 _MARKS = dict.fromkeys(map(ord, ".,;:!?\"'()[]{}|<>*#$%&=-_/\\+~^`@"))
@@ -285,22 +286,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_ROWS) -> M
     return fit(labelled_sample(docs, labels, per_class))
 
 
-_MACHINES: dict[bytes, Machine] = {}
-
-
 def _shared(blob: bytes) -> Machine:
     """The machine of a worker process, so that margins stay known from task to task."""
-    import pickle
-
-    if blob not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[blob] = pickle.loads(blob)
-    return _MACHINES[blob]
+    return resident(("machine", blob), lambda: pickle.loads(blob))
 
 
 def _pickled(m: Machine) -> bytes:
-    import pickle
-
     return pickle.dumps(m)
 
 
