@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -29,12 +28,11 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not at:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jvm_dir.get() if jvm_dir.isDefined() else ""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", "") or (current.get() if current.isDefined() else "")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="scoreframe-shared-")
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
