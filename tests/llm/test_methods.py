@@ -189,6 +189,21 @@ def test_containment(spark, docs):
     assert {(r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()} == want and any(d >= 5000 for d, _, _ in want)
 
 
+def test_containment_of_short_items():
+    """Items of 1 to 80 words, whole or with as many shingles changed as the threshold lets pass, in texts of many sizes."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(n))) for i, n in enumerate([*range(1, 41), 60, 80] * 6)]
+    index = containment.ItemIndex([(i, t.encode()) for i, t in items], 0.8)
+    for i, t in items:
+        w = t.split()
+        for n in (0, 3, 30, 250, 1000) if len(w) >= 5 else (0,):  # fewer words are contained in equal texts alone
+            before, after = ([f"f{rng.random()}" for _ in range(n)] for _ in range(2))
+            lost = max(0, len(w) - 4) // 5  # words cut at the end: a shingle each
+            for kept in (w, w[: len(w) - lost]):
+                found = {r[0]: r[2] for r in index.contained(" ".join([*before, *kept, *after]).encode())}
+                assert found == {i: max(1, len(kept) - 4)}, (len(w), n)
+
+
 def test_kernel():
     from itertools import combinations
 
