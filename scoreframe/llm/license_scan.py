@@ -35,7 +35,7 @@ TEMPLATES = (
     ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2"),
 )
 
-#: Highest-IDF words by which a template is looked up, and the share of its words that must fit at the found place.
+#: Highest-IDF words of a file that are looked up at least, and the share of a template's words that must fit at the found place.
 ANCHORS, FIT = 3, 0.6
 
 #: Bytes to lower-case and to blank, so that what remains between blanks are the words.
@@ -50,26 +50,41 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: anchor word -> (template, its position there); its size depends on the templates alone."""
+    """postings: licence word -> (template, its position there), of all words; its size depends on the templates alone.
+
+    rank: a word's place by falling IDF over the corpus; of equal ones the lesser word comes first. keys: a template's words of the key phrase.
+    """
 
     postings: dict[bytes, tuple[tuple[int, int], ...]]
     templates: tuple[tuple[str, tuple[bytes, ...], int, int], ...]
-    votes: tuple[int, ...]
+    rank: dict[bytes, int]
+    keys: tuple[frozenset[bytes], ...]
 
 
 def build_index(document_counts: dict[bytes, int], n_docs: int, templates=TEMPLATES) -> Index:
-    """Anchors are each template's highest-IDF words over the corpus; of equal ones the earlier."""
+    """Postings of all words of all templates, and their order by IDF over the corpus."""
     idf = lambda w: math.log((n_docs + 1) / (document_counts.get(w, 0) + 1))
-    postings, rows, votes = defaultdict(list), [], []
+    postings, rows = defaultdict(list), []
     for t, (label, template, key) in enumerate(templates):
         words, key_words = tuple(template.encode().split()), tuple(key.encode().split())
         at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
-        chosen = sorted(range(len(words)), key=lambda i: (-idf(words[i]), i))[:ANCHORS]
-        for i in chosen:
-            postings[words[i]].append((t, i))
+        for i, w in enumerate(words):
+            postings[w].append((t, i))
         rows.append((label, words, at, at + len(key_words)))
-        votes.append(min(2, len(chosen)))
-    return Index({w: tuple(p) for w, p in postings.items()}, tuple(rows), tuple(votes))
+    rank = {w: n for n, w in enumerate(sorted(postings, key=lambda w: (-idf(w), w)))}
+    return Index({w: tuple(p) for w, p in postings.items()}, tuple(rows), rank, tuple(frozenset(words[a:b]) for _, words, a, b in rows))
+
+
+def looked_up(present: set[bytes], index: Index) -> tuple[set[bytes], set[int]]:
+    """A file's highest-IDF licence words, at least one of each key phrase that it may hold; and the templates of these phrases."""
+    live = {t for t, key in enumerate(index.keys) if key <= present}
+    if not live:
+        return set(), live
+    chosen = set(sorted(present, key=index.rank.__getitem__)[:ANCHORS])
+    for t in sorted(live):
+        if not chosen & index.keys[t]:
+            chosen.add(min(index.keys[t], key=index.rank.__getitem__))
+    return chosen, live
 
 
 def count_words(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
@@ -107,18 +122,13 @@ def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
 
 def scan(words: list[bytes], index: Index) -> tuple[set[str], float, list[tuple[str, int, int]]]:
     """Labels by the index, the best fit (0 if none), and spans (label, first word, end)."""
-    found = index.postings.keys() & set(words)
-    if not found:
+    chosen, live = looked_up(index.postings.keys() & set(words), index)
+    if not live:
         return set(), 0.0, []
-    votes: dict[tuple[int, int], int] = defaultdict(int)
-    for p, w in enumerate(words):
-        if w in found:
-            for t, q in index.postings[w]:
-                votes[t, p - q] += 1
+    # where a key phrase stands, its looked-up word points at the place: one vote is enough to have it verified
+    places = dict.fromkeys((t, p - q) for p, w in enumerate(words) if w in chosen for t, q in index.postings[w] if t in live)
     labels, best, spans = set(), 0.0, []
-    for (t, start), n in votes.items():
-        if n < index.votes[t]:
-            continue
+    for t, start in places:
         label, template, key_at, key_end = index.templates[t]
         if start + key_at < 0 or tuple(words[start + key_at : start + key_end]) != template[key_at:key_end]:
             continue
