@@ -138,7 +138,7 @@ def inspect_profile(spark: SparkSession, sf: str) -> DataFrame:
 def nw_pitch(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers' quantity streams of neighbouring parts aligned; entries of the right alone with their bracket."""
     note = F.struct((F.col("l_quantity").cast("int") % 7).alias("step"), F.lit(0).alias("alter"), F.floor(F.col("l_quantity") / 7).cast("int").alias("octave"))
-    n = read(spark, sf, "lineitem").where("l_partkey < 60").groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", note.alias("n")))).alias("x"))
+    n = read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", note.alias("n")))).alias("x"))
     n = n.select("l_partkey", F.transform("x", lambda i: i["n"]).alias("notes"), F.transform("x", lambda i: i["l_orderkey"]).alias("measures"))
     right = n.select((F.col("l_partkey") - 1).alias("l_partkey"), F.col("notes").alias("other"))
     out = align.align_columns(n.join(right, "l_partkey"), "notes", "other", "pitches")
@@ -149,7 +149,7 @@ def nw_pitch(spark: SparkSession, sf: str) -> DataFrame:
 def nw_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Orders' fingerprints of neighbouring customers aligned, with what filling from the second would do."""
     f = fingerprints(spark, sf).select("l_orderkey", F.struct("notes", "duration", "first_midi", "shape").alias("f"))
-    o = read(spark, sf, "orders").where("o_custkey < 200").join(f, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "f"))).alias("x"))
+    o = read(spark, sf, "orders").join(f, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "f"))).alias("x"))
     o = o.select("o_custkey", F.transform("x", lambda i: i["f"]).alias("a"))
     both = o.join(o.select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("a").alias("b")), "o_custkey")
     rows = align.align_columns(both, "a", "b", "measures").select("o_custkey", "a", "b", F.posexplode("alignment.pairs").alias("at", "p"))

@@ -2,10 +2,12 @@
 
 import math
 import os
+from collections import defaultdict
 
 import duckdb
 import pytest
 
+from scoreframe.operators import align
 from scoreframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,27 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_parts_aligned(spark, db):
+    """nw_pitch against brute force over every neighbouring pair of parts."""
+    notes = defaultdict(list)
+    for part, q in db.execute("select l_partkey, cast(l_quantity as int) from lineitem order by l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice").fetchall():
+        notes[part].append((q % 7, 0, q // 7))
+    want = sorted((p, j) for p in notes if p + 1 in notes for i, j in align.align(notes[p], notes[p + 1], align.pitch_cost, align.PITCH_GAP)[0] if i is None)
+    assert max(want)[0] >= 60 and sorted((r["l_partkey"], r["ri"]) for r in registry.queries()["nw_pitch"](spark, SF).collect()) == want
+
+
+def test_all_customers_aligned(spark, db, tmp_path):
+    """nw_measures aligns customers past the first two hundred, the same as by themselves."""
+    f = {r["l_orderkey"]: (r["notes"], r["duration"], r["first_midi"], r["shape"]) for r in registry.queries()["fingerprints"](spark, SF).collect()}
+    db.execute(f"copy (select * replace (o_custkey + 190 as o_custkey) from orders) to '{tmp_path}/orders.parquet'")
+    os.symlink(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    songs = defaultdict(list)
+    for c, k in db.execute("select o_custkey + 190, o_orderkey from orders order by 1, 2").fetchall():
+        if k in f:
+            songs[c].append(f[k])
+    cost, gap, eps = align.KINDS["measures"]
+    want = sorted(((c, *p) for c in songs if c + 1 in songs for p in align.align(songs[c], songs[c + 1], cost, gap, eps)[0]), key=repr)
+    assert max(w[0] for w in want) >= 200
+    assert sorted(((r["o_custkey"], r["li"], r["ri"]) for r in registry.queries()["nw_measures"](spark, str(tmp_path)).collect()), key=repr) == want
