@@ -29,7 +29,11 @@ ORDER, DECAY = 4, 0.7
 #: Labelled rows on which the machine is fitted, of each class, at most.
 SAMPLE_ROWS = 800
 
-LANDMARKS = 24
+#: Landmarks at least; more where the telling words need more. A telling word as like one of them as this needs none of its own.
+LANDMARKS, ALIKE = 24, 0.25
+
+#: The chance that any word tells by accident, and the marks that give shorter tokens subsequences of ORDER.
+FALSE_CHANCE, START, END = 0.01, "\x02", "\x03"
 
 #: Characters of a token compared at once; longer tokens go through overlapping windows of this size, all of them.
 SPAN = 32
@@ -56,6 +60,11 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def bag(text: str) -> set[str]:
+    """The distinct tokens; those of less than ORDER characters stand between marks, so that they have subsequences too."""
+    return {t if len(t) >= ORDER or not t else (START + t + END).rjust(ORDER, START) for t in tokens(text)}
+
+
 def windows(token: str) -> list[str]:
     """The token itself, or all of its overlapping windows if it is long."""
     return [token] if len(token) <= SPAN else [token[i : i + SPAN] for i in range(0, len(token) - SPAN // 2, SPAN // 2)]
@@ -160,7 +169,7 @@ class Machine:
 
     def best_margins(self, texts: list[str | None]) -> list[float]:
         """Each text's largest token margin; that of a text without tokens is the bias."""
-        split = [set(tokens(t or "")) for t in texts]
+        split = [bag(t or "") for t in texts]
         known = self.margins(set().union(*split)) if split else {}
         return [max(map(known.__getitem__, s), default=self.bias) for s in split]
 
@@ -168,6 +177,12 @@ class Machine:
         return [1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * f + self.offset)))) for f in self.best_margins(texts)]
 
 
+def _chance(k: int, having: int, toxic: int, rows: int) -> float:
+    """The chance that of the rows that have a word k or more are toxic, if it had nothing to do with that."""
+    log = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+    return sum(math.exp(log(toxic, i) + log(rows - toxic, having - i) - log(rows, having)) for i in range(max(k, having - rows + toxic), min(having, toxic) + 1))
+
+
 def _loosened(word: str, rng: np.random.Generator) -> list[str]:
     """Variants with one or two characters inserted, or one doubled."""
     i = int(rng.integers(1, max(2, len(word))))
@@ -211,32 +226,39 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, seed: int = 7) -> Machine:
     """From (text, label) rows. Without toxic or without clean rows, or without a telling word, a machine that finds nothing toxic."""
     rng = np.random.default_rng(seed)
-    bags = [(set(tokens(t)), y) for t, y in sorted(set(rows))]
+    bags = [(bag(t), y) for t, y in sorted(set(rows))]
     toxic, clean = Counter(), Counter()
-    for bag, y in bags:
-        (toxic if y else clean).update(w for w in bag if len(w) >= ORDER)
+    for words, y in bags:
+        (toxic if y else clean).update(w for w in words if len(w) >= ORDER)
     n_toxic, n_clean = sum(y for _, y in bags), sum(1 - y for _, y in bags)
     odds = {w: math.log((k + 0.5) / (n_toxic + 1)) - math.log((clean[w] + 0.5) / (n_clean + 1)) for w, k in toxic.items()}
-    # a word tells if many toxic documents have it, more than the copies of one of them could be, and few clean ones do
-    telling = sorted((w for w in toxic if toxic[w] >= max(3, 0.05 * n_toxic) and odds[w] > 2), key=lambda w: (-odds[w] * toxic[w], w))[: n_landmarks * 2 // 3]
+    # a word tells if more toxic documents have it, and fewer clean ones,
+    # than chance would give (one-sided hypergeometric test, with Bonferroni over all words that could pass)
+    tested = {w: k for w, k in toxic.items() if k >= 3}
+    chance = {w: _chance(k, k + clean[w], n_toxic, n_toxic + n_clean) for w, k in tested.items() if odds[w] > 2}
+    telling = sorted((w for w, p in chance.items() if p * len(tested) <= FALSE_CHANCE), key=lambda w: (-odds[w] * toxic[w], w))
     if not telling or not n_clean:
         return Machine([" " * ORDER], np.ones(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), bias=-1.0, slope=4.0)
+    landmarks = telling[:1]
+    for w, row in zip(telling[1:], _similarity(telling, telling)[1:], strict=True):
+        if max(row[telling.index(t)] for t in landmarks) < ALIKE:
+            landmarks.append(w)
+    insults = list(landmarks)
     ordinary = sorted(w for w in clean if ORDER <= len(w) <= SPAN)
-    probe = Machine(telling, np.sqrt(self_kernel(telling)), np.eye(len(telling), dtype=np.float32), np.ones(len(telling), np.float32))
+    probe = Machine(insults, np.sqrt(self_kernel(insults)), np.eye(len(insults), dtype=np.float32), np.ones(len(insults), np.float32))
     near = probe.features(ordinary)
-    landmarks = list(telling)
     # of the clean words those most like an insult, but not much like each other, or whitening would blow up noise
     for i in np.argsort(-near.max(axis=1), kind="stable"):
-        if len(landmarks) >= n_landmarks or near[i].max() == 0:
+        if len(landmarks) >= max(n_landmarks, len(insults) + n_landmarks // 3) or near[i].max() == 0:
             break
-        taken = landmarks[len(telling) :]
+        taken = landmarks[len(insults) :]
         if not taken or _similarity([ordinary[i]], taken).max() < 0.5:
             landmarks.append(ordinary[i])
     values, vectors = np.linalg.eigh(_similarity(landmarks, landmarks).astype(float))
     whiten = (vectors / np.sqrt(np.maximum(values, 0.05))).astype(np.float32)
     m = Machine(landmarks, np.sqrt(self_kernel(landmarks)), whiten, np.zeros(len(landmarks), np.float32))
     against = m.features(ordinary)
-    pool = sorted({w for bag, y in bags if y for w in bag if ORDER <= len(w) <= SPAN and not clean[w]} | set(telling))
+    pool = sorted({w for words, y in bags if y for w in words if ORDER <= len(w) <= SPAN and not clean[w]} | set(telling))
     at = {w: i for i, w in enumerate(pool)}
     pool_x = m.features(pool)
     margin, alike = np.full(len(pool), -math.inf), probe.features(pool).max(axis=1)

@@ -259,6 +259,19 @@ def test_toxicity_held_out():
     assert toxicity.fit([]).scores(["x", None])[0] < 0.5
 
 
+def test_toxicity_of_many_rare_insults():
+    """40 insults of different spelling, each in 2.5 % of the toxic rows, and three of them of two or three characters."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ordinary, insults = [word(rng.randrange(2, 9)) for _ in range(600)], [word(n) for n in [2, 3, 3, *[5, 6, 7, 8] * 10][:40]]
+    ordinary = [w for w in ordinary if w not in insults]
+    line = lambda *more: " ".join(rng.sample([*rng.sample(ordinary, 30), *more], 30 + len(more)))
+    m = toxicity.fit([(line(insults[i % 40]), 1) for i in range(800)] + [(line(), 0) for _ in range(800)])
+    caught = [s >= 0.5 for s in m.scores([line(w) for w in insults])]
+    assert sum(caught) >= 38 and all(caught[:3])
+    assert sum(s >= 0.5 for s in m.scores([line() for _ in range(200)])) <= 4
+
+
 def test_prefix_counts():
     from tokenizers import Tokenizer
 
