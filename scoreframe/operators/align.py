@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,12 @@ def align(left: Sequence, right: Sequence, cost: Callable, gap: float, eps: floa
 
 def similarity(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio of lower-cased strings; not symmetric."""
-    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    return _ratio(a.lower(), b.lower())
+
+
+@lru_cache(1 << 16)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def token_cost(a: str, b: str) -> float:

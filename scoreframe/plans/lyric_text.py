@@ -67,8 +67,8 @@ def verse_pairing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nw_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """The openings of each turn and the next, aligned."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", F.slice(lyrics.tokens(F.col("text")), 1, 12).alias("t"))
+    """Each turn and the next, aligned."""
+    c = read(spark, sf, "conversations").select("conv_id", "turn", lyrics.tokens(F.col("text")).alias("t"))
     pairs = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"])
     out = align.align_columns(pairs, "t", "u", "tokens")
     return out.select("conv_id", "turn", F.round("alignment.cost", 6).alias("cost"), F.size("alignment.pairs").cast("long").alias("n_entries"))

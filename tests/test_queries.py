@@ -75,3 +75,15 @@ def test_all_customers_aligned(spark, db, tmp_path):
     want = sorted(((c, *p) for c in songs if c + 1 in songs for p in align.align(songs[c], songs[c + 1], cost, gap, eps)[0]), key=repr)
     assert max(w[0] for w in want) >= 200
     assert sorted(((r["o_custkey"], r["li"], r["ri"]) for r in registry.queries()["nw_measures"](spark, str(tmp_path)).collect()), key=repr) == want
+
+
+def test_whole_turns_aligned(spark, tmp_path):
+    """Turns that differ after the twelfth token alone, and of unequal lengths, against the alignment of the whole lists."""
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [same, same + " wholly other words", same + " thirteen fourteen", "short turn"]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: (r["cost"], r["n_entries"]) for r in registry.queries()["nw_tokens"](spark, str(tmp_path)).collect()}
+    for i in range(3):
+        pairs, cost = align.align(texts[i].split(), texts[i + 1].split(), align.token_cost, align.TOKEN_GAP)
+        assert got[i] == (pytest.approx(cost, abs=1e-6), len(pairs))
+    assert got[0] == (pytest.approx(1.8), 15)
