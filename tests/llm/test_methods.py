@@ -248,17 +248,54 @@ def test_kernel():
     assert np.allclose(toxicity.kernel(words, words), want, rtol=1e-4, atol=1e-6) and np.allclose(toxicity.self_kernel(words), np.diag(want), rtol=1e-4)
 
 
+def test_likeness_by_the_kernel():
+    """What the bound leaves out is below FLOOR, and the rest is the kernel."""
+    rng = random.Random(2)
+    words = [toxicity.marked("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 12)))) for _ in range(400)] + [toxicity.marked("ab" * 40)]
+    landmarks = sorted(set(words[:30]) | {toxicity.START + "abcabcabcabcabc"})
+    norm = lambda x: np.sqrt(toxicity.self_kernel(x))
+    known = toxicity.Likeness(landmarks).of(set(words))
+    for w in words:
+        parts = toxicity.windows(w)
+        want = (toxicity.kernel(parts, landmarks) / (norm(parts)[:, None] * norm(landmarks)[None, :])).max(axis=0)
+        got = dict(known[w])
+        assert all(abs(got.get(n, 0) - v) < 1e-3 or abs(v - toxicity.FLOOR) < 1e-3 for n, v in enumerate(np.where(want >= toxicity.FLOOR, want, 0)))
+
+
 def test_toxicity_held_out():
-    rows = duckdb.sql("select d.doc_id, d.text, l.toxic from '/root/testdata/sf0.01/documents.parquet' d join '/root/testdata/sf0.01/labels.parquet' l using (doc_id) order by 1").fetchall()
-    m = toxicity.fit([(t, y) for i, t, y in rows if not toxicity.held_out(i)])
-    test = [(t, y) for i, t, y in rows if toxicity.held_out(i)]
-    right = sum((s >= 0.5) == (y == 1) for s, (_, y) in zip(m.scores([t for t, _ in test]), test, strict=True))
-    assert right / len(test) > 0.85
+    """Recall and false alarms apart, and by language; a constant answer fails one of them."""
+    rows = duckdb.sql("select d.doc_id, d.text, l.toxic, d.lang from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' l using (doc_id) order by hash(doc_id)").fetchall()
+    train = [(t, y) for i, t, y, _ in rows if not toxicity.held_out(i)]
+    m = toxicity.fit([r for r in train if r[1]] + [r for r in train if not r[1]][:800])
+    test = [(t, y, lang) for i, t, y, lang in rows if toxicity.held_out(i)]
+    scores = m.scores([t for t, _, _ in test])
+    share = lambda label, *langs: np.mean([s >= 0.5 for s, (_, y, at) in zip(scores, test, strict=True) if y == label and at in langs])
+    assert share(1, "en", "de", "fr", "es") >= 0.9 and share(0, "en", "de", "fr", "es") <= 0.03
+    for lang in ("en", "de", "fr", "es"):
+        assert share(1, lang) >= 0.9 and share(0, lang) <= 0.08, lang
     plain, gapped, clean = m.scores(["You are an idiot here.", "You are an id*iot, i.d.i.o.t, i d i o t here.", "You are a person here."])
     assert plain >= 0.5 and gapped >= 0.5 and clean < 0.5
+    inserted = m.scores([f"it is so {w} to me" for w in ("idiioot", "moxron", "stupxid", "tra-sh", "path.etic", "w o r t h l e s s")])
+    assert sum(s >= 0.5 for s in inserted) >= 5
     assert toxicity.fit([]).scores(["x", None])[0] < 0.5
 
 
+def test_toxicity_by_density_of_a_stem():
+    """A beginning with ever new endings, thick in toxic rows and now and then in clean ones; no whole word repeats."""
+    rng = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda *head: "".join([*head, *rng.choices(syllables, k=rng.randrange(1, 4))])
+
+    def line(y):
+        n = rng.randrange(100, 300)
+        k = n // 30 if y else int(rng.random() < 0.25)
+        return " ".join(rng.sample([word("ka", "do", "mi") for _ in range(k)] + [word() for _ in range(n)], n + k))
+
+    m = toxicity.fit([(line(i % 2), i % 2) for i in range(500)])
+    assert sum(s >= 0.5 for s in m.scores([line(1) for _ in range(200)])) >= 190
+    assert sum(s >= 0.5 for s in m.scores([line(0) for _ in range(200)])) <= 6
+
+
 def test_toxicity_of_many_rare_insults():
     """40 insults of different spelling, each in 2.5 % of the toxic rows, and three of them of two or three characters."""
     rng = random.Random(9)
