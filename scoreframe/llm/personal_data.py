@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm.common import map_rows, small_batches, table, tally
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
 
 LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -23,23 +24,27 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Candidates beyond the base forms: masked addresses, numbers without a plus, identity and account numbers.
+#: Candidates beyond the base forms: masked addresses, numbers without a plus, identity and account numbers, keys and tokens.
 _MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,64}){1,8}")
 _NATIONAL = re.compile(r"(?<![0-9+(])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9])")
 _ID = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_.-])")
 _DIGIT = re.compile("[0-9]")
 
 #: Gazetteer: endings of mail domains, country calling codes, first digits of card issuers, country codes of accounts.
 ENDINGS = frozenset("com org net edu gov info biz io de fr es it nl be ch at uk eu us ca au jp cn in br mx se no fi dk pl pt ie".split())
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91", "351", "353", "358")
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "38", "22", "23", "24", "25", "26", "27")
+KEY_LENGTHS = frozenset((20, 24, 32, 36, 40, 48, 64, 88, 128))  # of digests, access keys and their encodings
 ACCOUNTS = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
 
 #: Context: words shortly before a span that speak for a kind, and words that speak against any.
 CUES = {
     "email": re.compile(r"mail|contact|write|address", re.I), "ip": re.compile(r"\bip\b|host|server|addr", re.I), "card": re.compile(r"card|visa|credit|pay", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|fax|contact", re.I), "id": re.compile(r"ssn|social|iban|account|passport", re.I),
+    "secret": re.compile(r"(?:key|token|secret|passw\w*|pwd|credential|bearer|auth)\W{0,3}\s?[:=]?\s?\W?$", re.I),
 }
+AGAINST_SECRET = re.compile(r"://\S*$|sha\d*|md5|commit|digest|checksum|/$", re.I)
 AGAINST = re.compile(r"version|\bv$|isbn|order|page|section|figure|token|hash|price|=\s*\"?$", re.I)
 WINDOW = 30
 
@@ -69,11 +74,16 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _at_most_255(part: str) -> bool:
+    part = part.lstrip("0")  # of which there may be more than int() takes
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the base forms, by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_at_most_255(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -89,14 +99,31 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base): the base spans, and looser ones that touch none of them."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    loose = [("email", m) for m in _MASKED.finditer(text)] if "(at)" in text or "[at]" in text else []
+    loose = {"email": _MASKED.finditer(text)} if "(at)" in text or "[at]" in text else {}
     if _DIGIT.search(text):
-        loose += [("id", m) for m in _ID.finditer(text)] + [("phone", m) for m in _NATIONAL.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
-    for kind, m in loose:
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append((kind, m.start(), m.end(), False))
-            taken.append((m.start(), m.end()))
+        keys = (m for m in _SECRET.finditer(text) if _DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]))
+        loose |= {"id": _ID.finditer(text), "secret": keys, "phone": _NATIONAL.finditer(text)}
+    taken = _merged((a, b) for _, a, b in base)
+    for kind, found in loose.items():  # the matches of a kind come in order, as do the taken spans: one pass over both
+        at, fresh = 0, []
+        for m in found:
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or taken[at][0] >= m.end():
+                fresh.append((m.start(), m.end()))
+        out += [(kind, a, b, False) for a, b in fresh]
+        taken = _merged([*taken, *fresh]) if fresh else taken
+    return out
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as disjoint ones in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -119,6 +146,12 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
         checksum, gazetteer = (1 if luhn(digits) else 2), (1 if digits.startswith(ISSUERS) else 2)
     elif kind == "phone":
         checksum, gazetteer = (1 if 9 <= len(digits) <= 15 else 2), (1 if base and digits.startswith(CALLING) else 0)
+    elif kind == "secret":
+        # a key's characters are mixed as by chance: words and numbers repeat fewer of them, or hold few digits
+        mixed = len(set(span)) >= min(12, len(span) // 2) and 4 * len(digits) >= len(span) // 2
+        checksum, gazetteer = (1 if mixed else 2), (1 if len(span) in KEY_LENGTHS else 0)
+        context = 2 if AGAINST_SECRET.search(before) else 1 if CUES[kind].search(before) else 0
+        return 0, checksum, gazetteer, context, 1
     elif span[0] in "0123456789":
         checksum, gazetteer = (2 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1), 0
     else:
@@ -214,7 +247,10 @@ def fit(pattern_counts: dict[str, int]) -> SpanModel:
 
 
 def train(docs: DataFrame) -> SpanModel:
-    """Count the patterns of all candidate spans in all of docs, within each task first; then fit()."""
+    """Count the patterns of all candidate spans in all of docs, within each task first; then fit().
+
+    Null and empty texts have no candidates; an empty table, or one without any, gives a model that admits none.
+    """
 
     def make():
         counts: Counter[str] = Counter()
@@ -268,10 +304,10 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of whole texts.
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of whole texts.
 
-    The n_ columns and the digest are of the base forms; spans has all. Null and empty texts have none; a null doc_id is
-    kept; repeated rows stay repeated; other columns are left out.
+    The n_ columns and the digest are of the base forms; spans has all, and n_spans counts these. Null and empty texts have
+    none; a null doc_id is kept; repeated rows stay repeated; other columns are left out; an empty table gives an empty one.
     """
     model = model or train(docs)
 
@@ -279,13 +315,14 @@ def scan(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         def one(doc_id, text):
             base, every = find(text, model)
             n = Counter(k for k, _, _ in base)
-            return [(doc_id, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every))]
+            return [(doc_id, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every), len(every))]
 
         return one
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(rows, ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
+    return map_rows(rows, ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", make)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents through scan(), by a model trained on all of them."""
     return scan(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import base64
 import io
 import random
 import re
+import time
 import zipfile
 from collections import Counter
 from fractions import Fraction
@@ -151,6 +152,39 @@ def test_personal_base(docs):
         assert personal_data.base_spans(t) == [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, t) if ok(m[0])]
 
 
+def test_personal_data_in_linear_time():
+    """Runs of zeros longer than int() takes, and tens of thousands of candidates in one text."""
+    assert personal_data.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and personal_data.base_spans("1." + "0" * 9000 + "256.1.1") == []
+    text, began = "123-45-6789 ; a [at] b.com ; 030-1234-567 ; " * 10_000, time.time()
+    found = personal_data.candidates(text)
+    assert len(found) == 30_000 and time.time() - began < 5
+    spans = sorted((a, b) for _, a, b, _ in found)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_personal_spans_of_a_corpus(spark):
+    """spans against brute force: the base ones, and the others that the model takes, found by trying all pairs for overlap."""
+    rng, kinds = random.Random(1), ["call 030-1234-5678 now", 'token = "%040x"', "see a [at] mail [dot] com", "ssn 123-45-6789", "from +49 30 123456789", "a.b@c.org", "commit %040x", "host 10.0.0.1"]
+    rows = [(i, " ".join(k % rng.getrandbits(160) if "%" in k else k for k in rng.choices(kinds, k=rng.randrange(1, 6)))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (300, None), (301, "")], "doc_id long, text string")
+    model = personal_data.train(df)
+    got = {r["doc_id"]: r for r in personal_data.scan(df).collect()}
+    for i, t in rows:
+        spans = list(personal_data.base_spans(t))
+        loose = [("email", m) for m in personal_data._MASKED.finditer(t)]
+        loose += [(k, m) for k, p in (("id", personal_data._ID), ("secret", personal_data._SECRET), ("phone", personal_data._NATIONAL)) for m in p.finditer(t) if re.search("[0-9]", m[0]) and (k != "secret" or re.search("[A-Za-z]", m[0]))]
+        taken = [(a, b) for _, a, b in spans]
+        for kind, m in loose:
+            if all(m.end() <= a or b <= m.start() for a, b in taken):
+                taken.append(m.span())
+                if model.probability(personal_data.pattern(t, kind, *m.span(), False)) >= 0.5:
+                    spans.append((kind, *m.span()))
+        want = sorted(spans, key=lambda s: (personal_data.KINDS.index(s[0]), s[1]))
+        assert got[i]["spans"] == personal_data.spans_text(want) and got[i]["n_spans"] == len(want)
+        assert ('token = "' in t) == ("secret:" in got[i]["spans"]) or "commit" in t
+    assert got[300]["spans"] == got[301]["spans"] == ""
+
+
 def test_weak_supervision():
     rng, counts = random.Random(2), Counter()
     for _ in range(4000):
