@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,10 +28,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset, in local mode (as in tests), one of our own."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     at = spark.conf.get("spark.checkpoint.dir", "") or (current.get() if current.isDefined() else "")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="scoreframe-shared-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -112,31 +115,52 @@ def tally(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tup
     return df.select(*columns).mapInArrow(run, out)
 
 
-def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
+#: Rows of a lookup table, of two or three numbers each, that go to every task at most.
+BROADCAST_ROWS = 200_000
+
+
+def lookup(df: DataFrame, key: list[str], entries: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with the columns of entries (unique by key) that belong to each row's key, null where there are none; both are read more than once.
+
+    A table of up to `rows` entries goes to every task. Of a larger one, the entries of hot keys do, of which there are
+    at most that many, as each has more than its share of df; all other rows meet their entries in a shuffle, in which no key has
+    more than that share.
+    """
+    if entries.limit(rows + 1).count() <= rows:
+        return df.join(F.broadcast(entries), key, "left")
+    hot = df.groupBy(*key).count().where(F.col("count") > max(64, df.count() // rows)).drop("count")
+    hot = durable(entries.join(hot, key, "left_semi"))
+    rest = df.join(F.broadcast(hot.select(*key)), key, "left_anti").join(entries, key, "left")
+    return df.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def components(edges: DataFrame, low: str = "a", high: str = "b", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (node, component): every node of edges with the smallest node that it reaches.
 
-    Labels spread by hooking each label onto the smallest neighbouring one and jumping pointers; the number of
-    rounds grows with the logarithm of a component's diameter. A node with many edges is reduced by
-    partial minima before the shuffle. Each round is written to the shared folder, so lineage stays short.
+    Each node points at its smallest neighbour, or at itself; pointers are doubled until all of a tree's nodes point at its
+    root; then the edges are contracted to the roots, and so on while any is left. A round leaves at most half of
+    the nodes that still have edges. The minima are partial before they are shuffled, and a node with very many edges, or a root
+    of very many nodes, is looked up by lookup(). What a round finds is written to the shared folder.
     """
     spark = edges.sparkSession
-    e = durable(
-        edges.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).where("a < b").distinct()
-    )
-    # every node points at a smaller or equal node; start from the smallest neighbour
-    ends = e.select(F.col("a").alias("node"), F.col("a").alias("to")).union(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    label = durable(ends.groupBy("node").agg(F.min("to").alias("to")))
-    while True:
-        # jump: node -> label of its label
-        up = label.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        jumped = label.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to"))
-        # hook: both ends of an edge see the smaller label, and so do their old labels
-        la, lb = jumped.select(F.col("node").alias("a"), F.col("to").alias("ta")), jumped.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        seen = e.join(la, "a").join(lb, "b").where("ta <> tb").select(F.least("ta", "tb").alias("least"), "a", "b", "ta", "tb")
-        told = seen.select(F.explode(F.array("a", "b", "ta", "tb")).alias("node"), F.col("least").alias("to"))
-        fresh = durable(jumped.union(told).groupBy("node").agg(F.min("to").alias("to")))
-        changed = fresh.join(label.withColumnRenamed("to", "was"), "node").where("to <> was").limit(1).count()
-        label = fresh
-        if not changed:
-            break
-    return label.select("node", F.col("to").alias("component"))
+    e = durable(edges.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).where("a < b").distinct())
+    rounds: list[DataFrame] = []
+    while not e.isEmpty():
+        ends = e.select(F.col("b").alias("node"), F.col("a").alias("to")).union(e.select(F.col("a").alias("node"), F.col("a").alias("to")))
+        label = durable(ends.groupBy("node").agg(F.min("to").alias("to")))
+        while True:
+            # a node whose target isn't its own target has further to go
+            jumps = durable(label.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("up")))
+            if label.select("to").distinct().join(jumps.select("to"), "to", "left_semi").isEmpty():
+                break
+            label = durable(lookup(label, ["to"], jumps, rows).select("node", F.coalesce("up", "to").alias("to")))
+        rounds.append(label)
+        for end in ("a", "b"):
+            e = durable(lookup(e, [end], label.withColumnRenamed("node", end), rows).drop(end).withColumnRenamed("to", end))
+        e = durable(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    if not rounds:
+        return spark.createDataFrame([], edges.select(F.col(low).alias("node"), F.col(low).alias("component")).schema)
+    found = rounds[-1]
+    for earlier in reversed(rounds[:-1]):  # a root of an earlier round may have moved on
+        found = durable(lookup(earlier, ["to"], found.select(F.col("node").alias("to"), F.col("to").alias("up")), rows).select("node", F.coalesce("up", "to").alias("to")))
+    return found.select("node", F.col("to").alias("component"))

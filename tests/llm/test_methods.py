@@ -233,6 +233,60 @@ def test_near_duplicates(spark, docs, percent, monkeypatch):
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == brute_components(rows, percent)
 
 
+def test_near_duplicates_around_the_threshold(spark, monkeypatch):
+    """Thousands of pairs at and about the threshold, in one candidate group of many blocks, of which parts are linked and others aren't."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 8)
+    rng = random.Random(12)
+    rows = []
+    for family in range(5):
+        base = [f"f{family // 2}w{i}" for i in range(220)]
+        for i in rng.sample(range(220), 8 * (family % 2)):
+            base[i] = f"f{family}c{i}"
+        for k in range(50):
+            w = list(base)
+            for i in rng.sample(range(220), rng.randrange(0, 9)):
+                w[i] = f"z{rng.random()}"
+            rows.append((1000 * family + k - 2000, " ".join(w)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows, 85)
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == want
+    assert 5 < len({c for c, _ in want.values()}) < len(rows)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts joins what both are linked with."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b + " more"), (7, a), (3, c), (8, c), (3, a + " more"), (20, "x y z"), (20, None), (21, "x y z")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (9, 3), (7, 3), (3, 3), (8, 3), (20, 20), (21, 20)}
+
+
+def test_pruning_of_unrelated_texts():
+    """Hardly an unrelated pair survives the signatures, however long the texts."""
+    rng, plan = random.Random(3), near_duplicates.banding(85)
+    for n in (50, 200, 1000, 3000, 20_000):
+        signs = np.array([near_duplicates.one_byte(near_duplicates.minima(shingles.shingle_set(" ".join(f"w{rng.random()}" for _ in range(n)).encode()))) for _ in range(12)])
+        alive = [(i, j) for i in range(12) for j in range(i) if all((signs[i] == signs[j])[: (k + 1) * near_duplicates.BATCH].sum() >= bound for k, bound in enumerate(plan.bounds))]
+        assert not alive, n
+
+
+@pytest.mark.parametrize("rows", [5, 10**6])
+def test_components(spark, rows):
+    """A path in two orders, a star with thousands of rays, cycles and loops: by shuffled and hot lookups, and by broadcast."""
+    rng = random.Random(8)
+    path, shuffled = list(range(100, 160)), rng.sample(range(200, 260), 60)
+    edges = [*zip(path, path[1:], strict=False), *zip(shuffled, shuffled[1:], strict=False), *((-5, 1000 + i) for i in range(3000)), (300, 301), (301, 302), (302, 300), (400, 400), (5000, 1500)]
+    edges += [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)]
+    up: dict[int, int] = {}
+    for x, y in edges:
+        x, y = near_duplicates._root(up, x), near_duplicates._root(up, y)
+        up[max(x, y)] = min(x, y)
+    from scoreframe.llm.common import components
+
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), rows=rows).collect()}
+    assert got == {n: near_duplicates._root(up, n) for x, y in edges for n in (x, y) if x != y or n in got}
+
+
 def test_posterior_bounds():
     plan = near_duplicates.banding(85)
     assert plan.bands * plan.rows <= near_duplicates.HASHES and 1 - (1 - 0.85**plan.rows) ** plan.bands > 1 - 1e-5
