@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,78 @@ def local_form(url: str) -> str:
     return url[len("file://"):] if url.startswith("file://") else url[len("file:"):] if url.startswith("file:") else url
 
 
+def open_shared(url: str, mode: str) -> BinaryIO:
+    """A file of the shared folder: local mounts directly, other stores through Arrow's file systems."""
+    if "://" not in url or url.startswith("file:"):
+        return open(local_form(url), mode)
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(url)
+    return fs.open_input_file(at) if mode == "rb" else fs.open_output_stream(at)
+
+
+def make_dir(url: str) -> None:
+    if "://" not in url or url.startswith("file:"):
+        import os
+
+        os.makedirs(local_form(url), exist_ok=True)
+    else:
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(url)
+        fs.create_dir(at, recursive=True)
+
+
+def pack(df: DataFrame, column: str, kind: str, most_bytes: int) -> list[str]:
+    """Write the rows of df into Arrow files of about most_bytes of a text or binary column in the shared folder; their names.
+
+    The rows go from tasks to files, and only the names reach the driver. Names are unique, so a repeated task leaves an unnamed
+    file at most. An empty df gives no file.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    folder = shared_path(spark, kind)
+    make_dir(folder)
+    df = durable(df)
+    parts = -(-(df.agg(F.sum(F.length(column))).first()[0] or 0) // most_bytes) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal size
+            name = f"{folder}/{uuid.uuid4().hex}.arrow"
+            with open_shared(name, "wb") as f, pa.ipc.new_stream(f, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_pydict({"name": [name]})
+
+        for batch in batches:
+            lengths = batch.column(batch.schema.get_field_index(column))
+            start = 0
+            for i, v in enumerate(lengths):
+                size += len(v.as_py() or b"")
+                if size >= most_bytes:
+                    held.append(batch.slice(start, i + 1 - start))
+                    start = i + 1
+                    yield close()
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield close()
+
+    return sorted(r["name"] for r in durable(df.repartition(parts).mapInArrow(run, "name string")).collect())
+
+
+def unpack(name: str) -> list[tuple]:
+    """The rows of one of pack()'s files."""
+    with open_shared(name, "rb") as f, pa.ipc.open_stream(f) as r:
+        return [tuple(row.values()) for b in r for row in b.to_pylist()]
+
+
 _RESIDENT: dict = {}
 
 

@@ -14,20 +14,19 @@ of them have a shared one: these, the item's rarest in the block, are looked up
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import map_rows, small_batches, table
+from scoreframe.llm.common import map_rows, pack, small_batches, table, unpack
 from scoreframe.llm.shingles import WIDTH, all_shingles, words_of
 
 THRESHOLD = 0.8
 
-#: Items searched at once; larger benchmarks go over the documents in several such blocks. Bounds what a worker gets.
-BLOCK = 20_000
+#: Bytes of items searched at once; larger benchmarks go over the documents in several such blocks. Bounds what a worker holds.
+BLOCK_BYTES = 4 << 20
 
 #: The chance to miss a contained item at most, and to lose a shared shingle: the union of a document and an item that it
 #: contains by 0.8 or more has a load per bin of 1.25 at most.
@@ -84,15 +83,15 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, bytes]], threshold: float):
         self.threshold = threshold
-        self.items = [(i, s) for i, raw in items if (s := exact(words_of(raw)))]
-        self.hashes = [np.unique(all_shingles(words_of(raw))) for _, raw in items if words_of(raw)]
-        shared = [least_shared(len(s), threshold) for _, s in self.items]
+        self.items = [(i, raw) for i, raw in items if words_of(raw)]
+        self.hashes = [np.unique(all_shingles(words_of(raw))) for _, raw in self.items]
+        shared = [least_shared(len(h), threshold) for h in self.hashes]
         # below 0.8 the load of the union isn't bounded as LOSS has it
         short = [i for i, s in enumerate(shared) if threshold < THRESHOLD or LOSS**s > MISS]
         self.long = sorted(set(range(len(shared))) - set(short))
         values, counts = np.unique(np.concatenate([*self.hashes, np.empty(0, np.uint64)]), return_counts=True)
         rarest = lambda h, n: h[np.argsort(counts[np.searchsorted(values, h)], kind="stable")[:n]]
-        self.short = in_order([rarest(self.hashes[i], len(self.items[i][1]) - shared[i] + 1) for i in short], short)
+        self.short = in_order([rarest(self.hashes[i], len(self.hashes[i]) - shared[i] + 1) for i in short], short)
         self.sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def sketch(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,50 +110,54 @@ class ItemIndex:
             return []
         shingles, out = exact(words), []
         for c in candidates:
-            item_id, item = self.items[c]
+            item_id, item = self.items[c][0], exact(words_of(self.items[c][1]))
             shared = len(item & shingles)
             if shared >= self.threshold * len(item):
                 out.append((item_id, len(item), shared, shared / len(item)))
         return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The stated query set in blocks of BLOCK items; repeated ids keep their least text, null ids and texts are left out."""
-    rows = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").cast("binary").alias("raw")).orderBy("item_id")
-    blocks: dict[int, list] = defaultdict(list)
-    for n, r in enumerate(rows.toLocalIterator()):
-        blocks[n // BLOCK].append((r["item_id"], bytes(r["raw"])))
-    return list(blocks.values()) or [[]]
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """The stated query set as files of blocks in the shared folder; repeated ids keep their least text, null ids and texts are left out."""
+    rows = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").cast("binary").alias("raw"))
+    return pack(rows, "raw", "benchmark", block_bytes)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def index_of(block: str, threshold: float) -> ItemIndex:
+    """A task's index of a block."""
+    return ItemIndex(sorted(unpack(block)), threshold)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, item_id, item_shingles, shared, containment) for each item of which a whole text has the share threshold.
 
     Distinct runs of five lower-cased words are compared; an item or text of one to four words is one shingle. Null and
     empty texts, and items without words, match nothing; a document with a null id is reported under null; repeated rows
-    are reported each. Each task searches its own documents: nothing is shuffled.
+    are reported each; an empty table on either side gives an empty one. Each task searches its own documents: nothing of
+    them is shuffled.
     """
     raw = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("raw"))
-    out = None
-    for block in item_blocks(benchmark):
+    schema = "doc_id long, item_id long, item_shingles long, shared long, containment double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for n, block in enumerate(item_blocks(benchmark, block_bytes)):
 
         def make(block=block):
-            index = ItemIndex(block, threshold)
+            index = index_of(block, threshold)
             return lambda doc_id, raw: [(doc_id, *hit) for hit in index.contained(raw)]
 
-        found = map_rows(raw, ["doc_id", "raw"], "doc_id long, item_id long, item_shingles long, shared long, containment double", make)
-        out = found if out is None else out.unionByName(found)
+        found = map_rows(raw, ["doc_id", "raw"], schema, make)
+        out = out.unionByName(found) if n else found
     return out
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all of their columns, that contain no test item."""
+    """The rows of docs, with all of their columns, that contain no test item; null and empty texts stay, and without items all rows."""
     small_batches(docs.sparkSession)
     schema, out = docs.schema, docs
     for block in item_blocks(benchmark):
 
         def run(batches, block=block):
-            index = ItemIndex(block, threshold)
+            index = index_of(block, threshold)
             for b in batches:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([t is None or not index.contained(t.encode()) for t in texts], pa.bool_()))
@@ -164,6 +167,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents through search(), for all items of benchmark."""
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

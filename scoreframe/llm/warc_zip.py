@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import durable, local_form, map_rows, shared_path, small_batches, table
+from scoreframe.llm.common import durable, make_dir, map_rows, open_shared, shared_path, small_batches, table
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -32,28 +32,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
 
 
-def _open(url: str, mode: str) -> BinaryIO:
-    """A file of the shared folder: local mounts directly, other stores through Arrow's file systems."""
-    if "://" not in url or url.startswith("file:"):
-        return open(local_form(url), mode)
-    from pyarrow.fs import FileSystem
-
-    fs, at = FileSystem.from_uri(url)
-    return fs.open_input_file(at) if mode == "rb" else fs.open_output_stream(at)
-
-
-def _make_dir(url: str) -> None:
-    if "://" not in url or url.startswith("file:"):
-        import os
-
-        os.makedirs(local_form(url), exist_ok=True)
-    else:
-        from pyarrow.fs import FileSystem
-
-        fs, at = FileSystem.from_uri(url)
-        fs.create_dir(at, recursive=True)
-
-
 def zip_package(members: list[tuple[str, bytes]], zip64: bool = False) -> Iterator[bytes]:
     """The bytes of a ZIP of stored members; ZIP64 fields where sizes, offsets or counts need them, or everywhere."""
     at, directory = 0, b""
@@ -202,7 +180,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     that count, and a lost attempt leaves an unnamed file at most. The rows are written to the shared folder at once.
     """
     small_batches(pages.sparkSession)
-    _make_dir(folder)
+    make_dir(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
@@ -212,7 +190,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
         def close() -> pa.RecordBatch:
             nonlocal parts, index, at
             name = f"{folder}/pages-{uuid.uuid4().hex}.wacz"
-            with _open(name, "wb") as f:
+            with open_shared(name, "wb") as f:
                 for piece in zip_package([(WARC_MEMBER, b"".join(parts)), (INDEX_MEMBER, "".join(index).encode())], zip64):
                     f.write(piece)
             row = {"package": [name], "records": [len(index)], "bytes": [at]}
@@ -237,7 +215,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
 
 def read_package(url: str) -> Iterator[dict]:
     """The records of a package, each read by its range."""
-    with _open(url, "rb") as f:
+    with open_shared(url, "rb") as f:
         z = ZipReader(f)
         for line in z.whole(INDEX_MEMBER).decode().splitlines():
             place = json.loads(line[line.index("{") :])

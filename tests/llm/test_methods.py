@@ -305,6 +305,8 @@ def test_containment(spark, docs):
                 want.add((d, i, len(e & s)))
     got = containment.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()} == want and any(d >= 5000 for d, _, _ in want)
+    many = containment.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=1500)
+    assert {(r["doc_id"], r["item_id"], r["shared"]) for r in many.collect()} == want  # in several blocks
 
 
 def test_containment_of_short_items():
