@@ -14,29 +14,49 @@ from scoreframe.llm.common import map_rows, table, tally
 #: Phrases whose places are counted whatever the index says, and their labels.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
 
-#: (label, template, key phrase that must stand verbatim at its place in the template).
+#: (label, template, key phrase that must stand verbatim at its place in the template). Sentences of the
+#: public licences and of the notices that they ask for; a licence of several sentences has several templates.
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "hereby granted, free of charge"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "this permission notice shall be included"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache.org/licenses/LICENSE-2.0"),
+    ("apache-2", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license", "each Contributor hereby grants to You a perpetual"),
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU General Public License as published by the Free Software Foundation, either version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "GNU General Public License as published by the Free Software Foundation; either version 2"),
     ("lgpl-3", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
+    ("lgpl-3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3"),
     ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2"),
+    ("lgpl-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
     ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Affero General Public License as published by the Free Software Foundation"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("cc-by", "licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "publish, use, compile, sell, or distribute this software"),
     ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "alter it and redistribute it freely"),
+    ("boost-1", "Distributed under the Boost Software License, Version 1.0", "Boost Software License, Version 1"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
+    ("artistic-2", "licensed under the artistic license 2 0", "artistic license 2"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1", "SIL Open Font License, Version 1"),
 )
 
-#: Highest-IDF words of a file that are looked up at least, and the share of a template's words that must fit at the found place.
-ANCHORS, FIT = 3, 0.6
+#: The share of a template's words that must fit at the found place.
+FIT = 0.6
 
 #: Bytes to lower-case and to blank, so that what remains between blanks are the words.
 WORDS = bytes(
@@ -50,41 +70,66 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: licence word -> (template, its position there), of all words; its size depends on the templates alone.
+    """postings: licence word -> (template, its position there), of all words of key phrases; its size depends on the templates alone.
 
-    rank: a word's place by falling IDF over the corpus; of equal ones the lesser word comes first. keys: a template's words of the key phrase.
+    rank: a word's place by falling IDF over the corpus; of equal ones the lesser word comes first. keys: a template's
+    distinct words of the key phrase, rarest first.
     """
 
     postings: dict[bytes, tuple[tuple[int, int], ...]]
     templates: tuple[tuple[str, tuple[bytes, ...], int, int], ...]
     rank: dict[bytes, int]
-    keys: tuple[frozenset[bytes], ...]
+    keys: tuple[tuple[bytes, ...], ...]
+
+
+def parsed(templates=TEMPLATES) -> list[tuple[str, tuple[bytes, ...], int, int]]:
+    """(label, words, begin and end of the key phrase) of each template."""
+    out = []
+    for label, template, key in templates:
+        words, key_words = tuple(words_of(template.encode())), tuple(words_of(key.encode()))
+        at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
+        out.append((label, words, at, at + len(key_words)))
+    return out
 
 
 def build_index(document_counts: dict[bytes, int], n_docs: int, templates=TEMPLATES) -> Index:
-    """Postings of all words of all templates, and their order by IDF over the corpus."""
+    """Postings of the templates' words, and their order by IDF over the corpus."""
     idf = lambda w: math.log((n_docs + 1) / (document_counts.get(w, 0) + 1))
-    postings, rows = defaultdict(list), []
-    for t, (label, template, key) in enumerate(templates):
-        words, key_words = tuple(template.encode().split()), tuple(key.encode().split())
-        at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
-        for i, w in enumerate(words):
-            postings[w].append((t, i))
-        rows.append((label, words, at, at + len(key_words)))
+    rows, postings = parsed(templates), defaultdict(list)
+    for t, (_, words, a, b) in enumerate(rows):
+        for i in range(a, b):
+            postings[words[i]].append((t, i))
     rank = {w: n for n, w in enumerate(sorted(postings, key=lambda w: (-idf(w), w)))}
-    return Index({w: tuple(p) for w, p in postings.items()}, tuple(rows), rank, tuple(frozenset(words[a:b]) for _, words, a, b in rows))
+    return Index({w: tuple(p) for w, p in postings.items()}, tuple(rows), rank, tuple(tuple(sorted(set(words[a:b]), key=rank.__getitem__)) for _, words, a, b in rows))
+
 
+def key_places(words: list[bytes], index: Index) -> list[tuple[int, int]]:
+    """(template, its start in the file) where a whole key phrase stands.
 
-def looked_up(present: set[bytes], index: Index) -> tuple[set[bytes], set[int]]:
-    """A file's highest-IDF licence words, at least one of each key phrase that it may hold; and the templates of these phrases."""
-    live = {t for t, key in enumerate(index.keys) if key <= present}
+    The file's licence words are taken by falling IDF. Each one's postings turn its places in the file into starts of
+    templates; a template's starts are intersected from word to word, and it is given up when none is left. Only places of words
+    that a template still needs are looked at.
+    """
+    present = index.postings.keys() & set(words)
+    live = {t for t, key in enumerate(index.keys) if all(w in present for w in key)}
     if not live:
-        return set(), live
-    chosen = set(sorted(present, key=index.rank.__getitem__)[:ANCHORS])
-    for t in sorted(live):
-        if not chosen & index.keys[t]:
-            chosen.add(min(index.keys[t], key=index.rank.__getitem__))
-    return chosen, live
+        return []
+    needed = {w for t in live for w in index.keys[t]}
+    where: dict[bytes, list[int]] = {w: [] for w in needed}
+    for p, w in enumerate(words):
+        if w in needed:
+            where[w].append(p)
+    starts: dict[int, set[int]] = {}
+    for w in sorted(needed, key=index.rank.__getitem__):
+        for t, i in index.postings[w]:
+            if t in live:
+                mine = {p - i for p in where[w]}
+                starts[t] = starts[t] & mine if t in starts else mine
+                if not starts[t]:
+                    live.discard(t)
+        if not live:
+            return []
+    return [(t, start) for t in sorted(live) for start in sorted(starts[t])]
 
 
 def count_words(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
@@ -112,26 +157,20 @@ def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
     """Word positions at which a base phrase begins, and the labels of the phrases found."""
     line, places, labels = b" " + b" ".join(words) + b" ", [], set()
     for phrase, label in BASE:
-        at = line.find(b" " + phrase + b" ")
+        at, seen, n = line.find(b" " + phrase + b" "), 0, 0
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            n += line.count(b" ", seen, at)  # on from the last place
+            places.append(n)
             labels.add(label)
-            at = line.find(b" " + phrase + b" ", at + 1)
+            seen, at = at, line.find(b" " + phrase + b" ", at + 1)
     return places, labels
 
 
 def scan(words: list[bytes], index: Index) -> tuple[set[str], float, list[tuple[str, int, int]]]:
     """Labels by the index, the best fit (0 if none), and spans (label, first word, end)."""
-    chosen, live = looked_up(index.postings.keys() & set(words), index)
-    if not live:
-        return set(), 0.0, []
-    # where a key phrase stands, its looked-up word points at the place: one vote is enough to have it verified
-    places = dict.fromkeys((t, p - q) for p, w in enumerate(words) if w in chosen for t, q in index.postings[w] if t in live)
     labels, best, spans = set(), 0.0, []
-    for t, start in places:
-        label, template, key_at, key_end = index.templates[t]
-        if start + key_at < 0 or tuple(words[start + key_at : start + key_end]) != template[key_at:key_end]:
-            continue
+    for t, start in key_places(words, index):
+        label, template, _, _ = index.templates[t]
         fit = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template)
         if fit >= FIT:
             labels.add(label)
@@ -147,7 +186,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     were aligned. Null and empty texts have no words, empty labels and the score 0; a null doc_id is kept; repeated rows
     stay repeated; other columns are left out. An empty table gives an empty one.
     """
-    vocabulary = frozenset(w for _, t, _ in templates for w in t.encode().split())
+    vocabulary = frozenset(w for _, words, a, b in parsed(templates) for w in words[a:b])
     index = build_index(*count_words(docs, vocabulary), templates)
 
     def make():
@@ -171,4 +210,34 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents through scan_licenses(); without the spans."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _sql() -> str:
+    """The same by trying every word of every template at every place."""
+    words = ", ".join(
+        f"({t}, '{label}', {i}, '{w.decode()}', {int(a <= i < b)}, {len(template)}, {b - a})" for t, (label, template, a, b) in enumerate(parsed()) for i, w in enumerate(template)
+    )
+    phrases = ", ".join(f"({n}, '{label}', {i}, '{w.decode()}', {len(phrase.split())})" for n, (phrase, label) in enumerate(BASE) for i, w in enumerate(phrase.split()))
+    return rf"""
+with template_words(t, label, i, word, in_key, n, n_key) as (values {words}), phrase_words(p, label, i, word, n) as (values {phrases}),
+lists as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), words as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos from lists
+), base as (
+    select doc_id, p, label, pos - i as start from words join phrase_words using (word) group by doc_id, p, label, pos - i having count(*) = any_value(n)
+), fits as (
+    select doc_id, label, count(*) / any_value(n) as fit from words join template_words using (word) group by doc_id, t, label, pos - i
+    having sum(in_key) = any_value(n_key) and count(*) / any_value(n) >= {FIT}::double
+), found as (select doc_id, list(distinct label) as labels from (select doc_id, label from base union all select doc_id, label from fits) group by doc_id
+), base_found as (select doc_id, count(*) as n_base, min(start) as first_word, max(start) as last_word, list(distinct label) as labels from base group by doc_id
+), best as (select doc_id, max(fit) as fit from fits group by doc_id)
+select l.doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
+    coalesce(array_to_string(list_sort(f.labels), ','), '') as labels, case when n_base > 0 then 1.0::double else coalesce(fit, 0.0::double) end as score
+from lists l left join base_found b on b.doc_id = l.doc_id left join found f on f.doc_id = l.doc_id left join best x on x.doc_id = l.doc_id
+"""
+
+
+OP2_SQL = _sql()

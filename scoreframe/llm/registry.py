@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scoreframe.llm.byte_bpe import op10_byte_bpe
 from scoreframe.llm.containment import OP7_SQL, op7_decontaminate
-from scoreframe.llm.license_scan import op2_license_scan
+from scoreframe.llm.license_scan import OP2_SQL, op2_license_scan
 from scoreframe.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from scoreframe.llm.personal_data import op5_personal_data
 from scoreframe.llm.prefix_counts import op9_token_counts
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op2_license_scan": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op7_decontaminate": OP7_SQL}

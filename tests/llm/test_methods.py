@@ -64,36 +64,43 @@ def test_licenses():
         assert sorted(license_scan.base_places(license_scan.words_of(t.encode()))[0]) == want
 
 
-def test_licenses_by_any_word():
-    """Places are found whatever words of the template the corpus or the text lacks, as by trying every place."""
+def test_licenses_by_brute_force():
+    """Labels, fits and places as by trying every place, whatever words the corpus or the text lacks."""
 
     def brute(words):
         out = set()
-        for label, template, key in license_scan.TEMPLATES:
-            t, k = template.encode().split(), key.encode().split()
-            at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        for label, t, a, b in license_scan.parsed():
             for start in range(-len(t), len(words)):
                 fit = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t)) / len(t)
-                if start + at >= 0 and words[start + at : start + at + len(k)] == k and fit >= license_scan.FIT:
-                    out.add((label, max(0, start), min(len(words), start + len(t))))
-        return sorted(out)
+                if start + a >= 0 and tuple(words[start + a : start + b]) == t[a:b] and fit >= license_scan.FIT:
+                    out.add((label, max(0, start), min(len(words), start + len(t)), fit))
+        return out
 
-    counts = {w: 9 for _, t, _ in license_scan.TEMPLATES for w in t.encode().split() if w not in (b"source", b"code", b"form", b"or", b"without")}
+    parsed = license_scan.parsed()
+    counts = {w: 9 for _, t, _, _ in parsed for w in t if w not in (b"source", b"code", b"form", b"or", b"without")}
     index = license_scan.build_index(counts, 1000)
     find = lambda s: license_scan.scan(license_scan.words_of(s.encode()), index)[0]
     assert find("this file is subject to the terms of the Mozilla Public License v. 2.0") == {"mpl-2"}
     rng, found = random.Random(8), 0
     for _ in range(1500):
-        _, template, key = rng.choice(license_scan.TEMPLATES)
+        _, template, a, b = rng.choice(parsed)
         share = rng.random() / 2
-        text = "".join(w + " " if rng.random() > share or w in key.split() else rng.choice(["x ", "the ", "license "]) for w in template.split())
-        words = license_scan.words_of(("a b " * rng.randrange(3) + text * rng.randrange(1, 3) + "mit license the").encode())
-        spans = brute(words)
-        assert sorted(set(license_scan.scan(words, index)[2])) == spans, words
-        found += bool(spans)
+        text = b"".join(w + b" " if rng.random() > share or a <= i < b else rng.choice([b"x ", b"the ", b"license "]) for i, w in enumerate(template))
+        words = license_scan.words_of(b"a b " * rng.randrange(3) + text * rng.randrange(1, 3) + b"mit license the")
+        want = brute(words)
+        labels, best, spans = license_scan.scan(words, index)
+        assert set(spans) == {w[:3] for w in want} and labels == {w[0] for w in want} and best == max((w[3] for w in want), default=0)
+        found += bool(want)
     assert 500 < found < 1500
 
 
+def test_licenses_in_linear_time():
+    index, began = license_scan.build_index({}, 10), time.time()
+    words = license_scan.words_of(b"under the MIT license; " * 40_000)
+    places, _ = license_scan.base_places(words)
+    assert places == list(range(0, 160_000, 4)) and len(license_scan.scan(words, index)[2]) == 40_000 and time.time() - began < 5
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip_reader(zip64):
     members = [("a.txt", b"hello"), ("b/é.bin", bytes(range(256)) * 40), ("empty", b"")]
