@@ -67,6 +67,19 @@ def open_shared(url: str, mode: str) -> BinaryIO:
     return fs.open_input_file(at) if mode == "rb" else fs.open_output_stream(at)
 
 
+def move_shared(old: str, new: str) -> None:
+    """Give a file of the shared folder another name, in place of what has it."""
+    if "://" not in old or old.startswith("file:"):
+        import os
+
+        os.replace(local_form(old), local_form(new))
+    else:
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(old)
+        fs.move(at, FileSystem.from_uri(new)[1])
+
+
 def make_dir(url: str) -> None:
     if "://" not in url or url.startswith("file:"):
         import os

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import durable, small_batches, table
+from scoreframe.llm.common import durable, make_dir, move_shared, open_shared, resident, shared_path, small_batches, table
 from scoreframe.llm.shingles import mix
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the URL's path starts with its own; the longest wins.
@@ -24,13 +26,10 @@ RULES = (
 )
 
 #: Keys for which one task builds the filters.
-SHARD_KEYS = 200_000
+SHARD_KEYS = 1_000_000
 
-#: Largest cascade, in bytes, that goes to every worker; a larger one is dealt out with the URLs instead.
-SHIPPED_BYTES = 64 << 20
-
-#: Parts into which a shard's URLs are split where the cascade is dealt out, as one key may have many rows.
-SALTS = 32
+#: Bytes of filters that a worker keeps at hand; other shards are read again.
+CACHED_BYTES = 256 << 20
 
 
 def host(url: Column) -> Column:
@@ -73,9 +72,7 @@ def _has(filter_: tuple[int, int, np.ndarray], level: int, h1: np.ndarray, h2: n
 
 def build(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     """Levels (bits, hashes, bytes): level 0 holds the listed keys, each later one the keys that the one before takes in
-    wrongly, until none is left. Every key given here is then answered exactly."""
-    if len(h1) and len(np.unique(np.rec.fromarrays([h1, h2]))) < len(h1):
-        raise ValueError("two keys have the same 128 bits")
+    wrongly, until none is left. Every key given here is then answered exactly; no listed and unlisted one may be the same."""
     levels: list[tuple[int, int, np.ndarray]] = []
     inside, outside = (h1[listed], h2[listed]), (h1[~listed], h2[~listed])
     while len(inside[0]):
@@ -101,77 +98,121 @@ def member(levels: list[tuple[int, int, np.ndarray]], h1: np.ndarray, h2: np.nda
     return out
 
 
-CASCADE = "shard int, level int, bits long, hashes int, data binary"
+@dataclass(frozen=True)
+class Cascade:
+    """A file of levels for each hash shard in a folder that all workers reach, and the keys that are told by name.
+
+    Two keys of which one is listed may have the same 128 bits: such keys are answered by name. None are expected below
+    some 10^18 keys, so the list needs no other bound.
+    """
+
+    folder: str
+    shards: int
+    listed_by_name: frozenset[str] = frozenset()
 
 
 def hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key, F.lit(1)).alias("h1"), F.xxhash64(key, F.lit(2)).alias("h2")]
+    """Two 64-bit hashes, seeded before the key is read, so that they are of different functions."""
+    return [F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)]
 
 
-def build_cascade(keys: DataFrame, listed: Column, key: str = "key") -> tuple[DataFrame, int]:
-    """The cascade of all distinct keys, of which listed says whether they are on the list; and its number of shards.
+def shard(h1: str, n: int) -> Column:
+    return F.pmod(F.col(h1), F.lit(n)).cast("int")
 
-    Shards are by hash of distinct keys, so they are even whatever the keys' numbers of rows. A null key is no key.
-    """
-    small_batches(keys.sparkSession)
-    universe = durable(keys.select(F.col(key).alias("key"), listed.alias("listed")).where("key is not null").groupBy("key").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed")).select(*hashes(F.col("key")), "listed"))
-    shards = max(1, -(-universe.count() // SHARD_KEYS))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h1, h2 = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        levels = build(h1, h2, pdf["listed"].to_numpy(bool))
-        return pd.DataFrame([(int(pdf["shard"].iloc[0]), i, m, k, bits.tobytes()) for i, (m, k, bits) in enumerate(levels)], columns=["shard", "level", "bits", "hashes", "data"])
+def _store(url: str, levels: list[tuple[int, int, np.ndarray]]) -> None:
+    """Write a shard's levels beside the place and move them there, so that no reader sees a part, whichever attempt is last."""
+    with open_shared(beside := f"{url}.{uuid.uuid4().hex}", "wb") as f:
+        f.write(np.array([len(levels), *(x for m, k, _ in levels for x in (m, k))], "<i8").tobytes())
+        for _, _, bits in levels:
+            f.write(bits.tobytes())
+    move_shared(beside, url)
 
-    cascade = universe.withColumn("shard", shard(shards)).groupBy("shard").applyInPandas(one, CASCADE)
-    return durable(cascade), shards
 
+def _load(url: str) -> list[tuple[int, int, np.ndarray]]:
+    with open_shared(url, "rb") as f:
+        raw = np.frombuffer(f.read(), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    head, at, levels = raw[8 : 8 + 16 * n].view("<i8").tolist(), 8 + 16 * n, []
+    for m, k in zip(head[::2], head[1::2], strict=True):
+        size = (m + 7) // 8
+        levels.append((m, k, raw[at : at + size]))
+        at += size
+    return levels
 
-def shard(n: int) -> Column:
-    return F.pmod(F.col("h1"), F.lit(n)).cast("int")
 
+class Shards(dict):
+    """Levels by shard as files are asked for; those asked for last are kept, up to CACHED_BYTES."""
 
-def _levels(rows) -> dict[int, list[tuple[int, int, np.ndarray]]]:
-    out: dict[int, list] = {}
-    for s, _, m, k, data in sorted(rows, key=lambda r: (r[0], r[1])):
-        out.setdefault(int(s), []).append((int(m), int(k), np.frombuffer(data, np.uint8)))
-    return out
+    def __init__(self, folder: str):
+        self.folder, self.held = folder, 0
+
+    def __missing__(self, n: int):
+        levels = _load(f"{self.folder}/{n}")
+        size = sum(len(x[2]) for x in levels)
+        while self and self.held + size > CACHED_BYTES:
+            self.held -= sum(len(x[2]) for x in self.pop(next(iter(self))))
+        self.held += size
+        self[n] = levels
+        return levels
+
+
+def build_cascade(keys: DataFrame, listed: Column, key: str = "key", shard_keys: int = SHARD_KEYS) -> Cascade:
+    """The cascade of all distinct keys, of which listed says whether they are on the list (null: not; of several answers yes counts).
+
+    Shards are by hash of distinct keys, so they are even whatever the keys' numbers of rows. A null key is no key. An
+    empty table gives one shard without levels.
+    """
+    spark = keys.sparkSession
+    small_batches(spark)
+    named = keys.select(F.col(key).alias("key"), listed.alias("listed")).where("key is not null").groupBy("key").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
+    h1, h2 = hashes(F.col("key"))
+    universe = durable(named.select(h1.alias("h1"), h2.alias("h2"), "listed"))
+    shards, folder = max(1, -(-universe.count() // shard_keys)), shared_path(spark, "cascade")
+    make_dir(folder)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        mixed = pdf.groupby(["h1", "h2"])["listed"].transform("nunique") > 1 if pdf.duplicated(["h1", "h2"]).any() else np.zeros(len(pdf), bool)
+        h1, h2 = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
+        _store(f"{folder}/{int(pdf['shard'].iloc[0])}", build(h1, h2, pdf["listed"].to_numpy(bool) & ~np.asarray(mixed)))
+        return pdf.loc[np.asarray(mixed), ["h1", "h2"]].drop_duplicates()
+
+    _store(f"{folder}/0", [])  # of an empty universe
+    unclear = durable(universe.withColumn("shard", shard("h1", shards)).groupBy("shard").applyInPandas(one, "h1 long, h2 long"))
+    if unclear.isEmpty():
+        return Cascade(folder, shards)
+    by_name = named.where("listed").withColumns({"h1": h1, "h2": h2}).join(unclear, ["h1", "h2"], "left_semi")
+    return Cascade(folder, shards, frozenset(r["key"] for r in by_name.select("key").collect()))
 
 
-def with_membership(df: DataFrame, cascade: DataFrame, shards: int, key: str = "key", shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
-    """df with the column listed, exact for keys of the universe from which the cascade was built; false for null keys.
+def with_membership(df: DataFrame, cascade: Cascade, key: str = "key", into: str = "listed") -> DataFrame:
+    """df with a column that says exactly, for keys of the universe from which the cascade was built, whether they are listed.
 
-    A cascade of up to shipped_bytes goes to every worker, so that no row moves. A larger one is dealt out by shard, each
-    shard to SALTS tasks, as are the rows.
+    It is false for null keys. A column of that name is replaced; all others stay as they are, whatever their names. No row
+    moves: each worker reads the shards that its rows ask for.
     """
     small_batches(df.sparkSession)
-    rows = df.withColumns({"h1": hashes(F.col(key))[0], "h2": hashes(F.col(key))[1]}).withColumn("shard", shard(shards))
-    out = df.withColumn("listed", F.lit(True)).schema
-    drop = ["h1", "h2", "shard", "salt"]
-    if (cascade.agg(F.sum(F.length("data"))).first()[0] or 0) <= shipped_bytes:
-        levels = _levels(cascade.collect())
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h1, h2 = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-                which, listed = b.column("shard").to_numpy(zero_copy_only=False), np.zeros(b.num_rows, bool)
-                for s in np.unique(which):
-                    at = np.flatnonzero(which == s)
-                    listed[at] = member(levels.get(int(s), []), h1[at], h2[at])
-                listed &= ~np.asarray(b.column(key).is_null())
-                names = [n for n in b.schema.names if n not in drop]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(listed)], names=[*names, "listed"])
-
-        return rows.mapInArrow(probe, out)
-
-    def probe_part(part: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        levels = _levels(filters[["shard", "level", "bits", "hashes", "data"]].itertuples(index=False))
-        h1, h2 = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        ours = member(next(iter(levels.values()), []), h1, h2) & part[key].notna().to_numpy()
-        return part.drop(columns=drop).assign(listed=ours)
-
-    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    dealt = cascade.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInPandas(probe_part, out)
+    df = df.drop(into)
+    own = [n for i in range(2) if (n := f"_hash{i + 1}" + "_" * max([0, *map(len, df.columns)]))]
+    rows = df.withColumns(dict(zip(own, hashes(F.col(key)), strict=True)))
+    out = df.withColumn(into, F.lit(True)).schema
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = resident(("cascade", cascade.folder), lambda: Shards(cascade.folder))
+        for b in batches:
+            h1, h2 = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in own)
+            which, listed = np.mod(h1.view(np.int64), cascade.shards), np.zeros(b.num_rows, bool)
+            order = np.argsort(which, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else []:
+                listed[at] = member(levels[int(which[at[0]])], h1[at], h2[at])
+            names = b.column(b.schema.get_field_index(key))
+            if cascade.listed_by_name:
+                listed |= np.array([v in cascade.listed_by_name for v in names.to_pylist()], bool)
+            listed &= ~np.asarray(names.is_null())
+            kept = [n for n in b.schema.names if n not in own]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), pa.array(listed)], names=[*kept, into])
+
+    return rows.mapInArrow(probe, out)
 
 
 def feed(key: Column) -> Column:
@@ -179,15 +220,14 @@ def feed(key: Column) -> Column:
     return F.md5(key.cast("binary")).startswith("0")
 
 
-def judge_urls(pages: DataFrame, listed=feed, rules=RULES, shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, listed=feed, rules=RULES) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, listed): the longest fitting rule's verdict, else block for listed keys (host and path).
 
     A null URL, or one without ://, has an empty host and path, fits no rule and is judged as the empty key. A null
-    page_id is kept; repeated rows stay repeated; other columns are left out.
+    page_id is kept; repeated rows stay repeated; other columns are left out; an empty table gives an empty one.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("key", F.concat("host", "path"))
-    cascade, shards = build_cascade(urls, listed(F.col("key")))
-    out = with_membership(urls, cascade, shards, shipped_bytes=shipped_bytes)
+    out = with_membership(urls, build_cascade(urls, listed(F.col("key"))))
     h, p = F.col("host"), F.col("path")
     return out.select(
         "page_id", "host", "path", by_rule(h, p, rules=rules).alias("rule"),
@@ -196,6 +236,7 @@ def judge_urls(pages: DataFrame, listed=feed, rules=RULES, shipped_bytes: int =
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages through judge_urls()."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 

@@ -142,11 +142,24 @@ def test_cascade(spark):
         listed = rng.random(40_000) < share
         levels = url_filter.build(h1, h2, listed)
         assert (url_filter.member(levels, h1, h2) == listed).all() and (share in (0.0, 1.0) or len(levels) > 1)
-    keys = spark.range(3000).selectExpr("concat('k', id % 1000) as key", "id % 1000 % 9 = 0 as listed")
-    cascade, shards = url_filter.build_cascade(keys, keys["listed"])
-    for size in (0, 1 << 30):  # dealt out, shipped
-        out = url_filter.with_membership(keys.withColumnRenamed("listed", "want"), cascade, shards, shipped_bytes=size)
-        assert out.count() == 3000 and out.where("want <> listed").count() == 0
+    keys = spark.range(3000).selectExpr("concat('k', id % 1000) as key", "id % 1000 % 9 = 0 as listed", "id as h1", "id as shard")
+    for shard_keys in (100, 10**6):
+        cascade = url_filter.build_cascade(keys, keys["listed"], shard_keys=shard_keys)
+        assert cascade.shards == (10 if shard_keys == 100 else 1)
+        out = url_filter.with_membership(keys.withColumnRenamed("listed", "want"), cascade)
+        assert out.columns == ["key", "want", "h1", "shard", "listed"]
+        assert out.count() == 3000 and out.where("want <> listed or h1 <> shard").count() == 0
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cascade_where_hashes_meet(spark, monkeypatch):
+    """Keys that the hashes can't tell apart are told by name."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(url_filter, "hashes", lambda key: [F.xxhash64(F.length(key)), F.xxhash64(F.length(key), F.lit(2))])
+    keys = spark.createDataFrame([("a", True), ("b", False), ("cc", False), ("ddd", True), (None, True)], "key string, want boolean")
+    out = url_filter.with_membership(keys, url_filter.build_cascade(keys, keys["want"]))
+    assert {r["key"]: r["listed"] for r in out.collect()} == {"a": True, "b": False, "cc": False, "ddd": True, None: False}
 
 
 def test_personal_base(docs):
