@@ -214,7 +214,7 @@ def lookup(df: DataFrame, key: list[str], entries: DataFrame, rows: int = BROADC
     """
     if entries.limit(rows + 1).count() <= rows:
         return df.join(F.broadcast(entries), key, "left")
-    hot = df.groupBy(*key).count().where(F.col("count") > max(64, df.count() // rows)).drop("count")
+    hot = df.groupBy(*key).count().where(F.col("count") > max(64, df.count() // max(1, rows))).drop("count")
     hot = durable(entries.join(hot, key, "left_semi"))
     rest = df.join(F.broadcast(hot.select(*key)), key, "left_anti").join(entries, key, "left")
     return df.join(F.broadcast(hot), key).unionByName(rest)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -16,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import durable, make_dir, map_rows, open_shared, shared_path, small_batches, table
+from scoreframe.llm.common import BROADCAST_ROWS, durable, lookup, make_dir, map_rows, open_shared, shared_path, small_batches, table
 
+#: The members that are written; any in ARCHIVES and INDEXES are read.
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = re.compile(r"archive/[^/]+\.warc(\.gz)?"), re.compile(r"indexes/[^/]+\.cdxj?(\.gz)?")
+
+#: Bytes read at once where an archive has no index.
+CHUNK = 1 << 20
 
 #: A package is closed at about this many bytes.
 PACKAGE_BYTES = 32 << 20
 
-#: Revisits are looked up by a broadcast up to this many rows (two numbers each), by a shuffle beyond.
-BROADCAST_ROWS = 200_000
-
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -101,7 +104,7 @@ class ZipReader:
             method, = struct.unpack_from("<H", directory, p + 10)
             packed, plain, n_name, n_extra, n_comment = struct.unpack_from("<IIHHH", directory, p + 20)
             header_at, = struct.unpack_from("<I", directory, p + 42)
-            name = directory[p + 46 : p + 46 + n_name].decode()
+            name = directory[p + 46 : p + 46 + n_name].decode("utf-8" if struct.unpack_from("<H", directory, p + 8)[0] & 0x800 else "cp437")
             e, extra_end = p + 46 + n_name, p + 46 + n_name + n_extra
             while e + 4 <= extra_end:
                 tag, n = struct.unpack_from("<HH", directory, e)
@@ -156,20 +159,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def parse(raw: bytes) -> dict:
     """The fields of a record: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (None for a revisit)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    h = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
+    h = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
     block = rest[: int(h["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(next(x.split(b":", 1)[1] for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")))
-    number = lambda x: int(v) if (v := x.rpartition(":")[2].rstrip(">")) else None
-    kind, sha = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != length or digest(payload) != sha):
+    payload, length = block, len(block)
+    if h.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        length = next((int(x.split(b":", 1)[1]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), len(payload))
+    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", x or "")) else None
+    kind, sha = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:")
+    if kind == "response" and sha and h.get("warc-truncated") is None and digest(payload) != sha:
         raise ValueError(f"the payload of {h['warc-record-id']} differs from its digest")
     return {
-        "page_id": number(h["warc-record-id"]), "url": h["warc-target-uri"], "record_type": kind, "refers_to": number(h["warc-refers-to"]) if kind == "revisit" else None,
-        "payload_digest": sha, "payload_bytes": length, "payload": payload if kind == "response" else None,
+        "page_id": number(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": number(h.get("warc-refers-to")) if kind == "revisit" else None,
+        "payload_digest": sha or digest(payload), "payload_bytes": length, "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -201,7 +206,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                 member = gz.compress(record(page_id, url, html or b"", refers_to)) + gz.flush()
-                index.append(f"{'' if page_id is None else page_id} 20240101000000 {json.dumps({'offset': at, 'length': len(member)})}\n")
+                index.append(f"{'' if page_id is None else page_id} 20240101000000 {json.dumps({'offset': str(at), 'length': str(len(member)), 'filename': WARC_MEMBER.rpartition('/')[2]})}\n")
                 parts.append(member)
                 at += len(member)
                 if at >= package_bytes:
@@ -209,17 +214,80 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
         if index:
             yield close()
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("string").cast("binary").alias("html"), F.col("refers_to").cast("long"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary").alias("html"), F.col("refers_to").cast("long"))
     return durable(rows.mapInArrow(run, "package string, records long, bytes long"))
 
 
+def index_places(text: str, archives: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(archive, offset, length) of each line of an index, in JSON (CDXJ) or in columns named by letters (CDX).
+
+    A line without a file name belongs to the only archive; lines of other files, and without a length, are passed over.
+    """
+    columns: list[str] = "N b a m s k r M S V g".split()
+    by_name = {a.rpartition("/")[2]: a for a in archives}
+    for line in text.splitlines():
+        if line.lstrip().startswith("CDX "):
+            columns = line.split()[1:]
+            continue
+        if line.startswith("!") or not line.strip():
+            continue
+        if "{" in line:
+            place = json.loads(line[line.index("{") :])
+            name, offset, length = (place.get(k) for k in ("filename", "offset", "length"))
+        else:
+            row = dict(zip(columns, line.split(), strict=False))
+            name, offset, length = (row.get(k) for k in "gVS")
+        archive = by_name.get(name.rpartition("/")[2]) if name else archives[0] if len(archives) == 1 else None
+        if archive and str(offset or "").isdigit() and str(length or "").isdigit():
+            yield archive, int(offset), int(length)
+
+
+def unindexed(z: ZipReader, name: str) -> Iterator[bytes]:
+    """The records of an archive without an index, one after the other, by ranges of CHUNK bytes."""
+    size, at, held = z.members[name].size, 0, b""
+
+    def more() -> bytes:
+        nonlocal at
+        data = z.range(name, at, min(CHUNK, size - at))
+        at += len(data)
+        return data
+
+    if name.endswith(".gz"):
+        while held or at < size:
+            gz, out = zlib.decompressobj(31), []
+            while not gz.eof and (held or at < size):
+                out.append(gz.decompress(held or more()))
+                held = gz.unused_data
+            if gz.eof and (raw := b"".join(out)):
+                yield raw
+        return
+    while held or at < size:
+        while (end := held.find(b"\r\n\r\n")) < 0 and at < size:
+            held += more()
+        found = re.search(rb"(?im)^content-length: *(\d+)", held[: max(0, end)])
+        if end < 0 or not found:
+            return
+        whole = end + 4 + int(found[1]) + 4
+        while len(held) < whole and at < size:
+            held += more()
+        yield held[:whole]
+        held = held[whole:]
+
+
 def read_package(url: str) -> Iterator[dict]:
-    """The records of a package, each read by its range."""
+    """The records of a package, each read by its range as the indexes say; archives that no index names are read through."""
     with open_shared(url, "rb") as f:
         z = ZipReader(f)
-        for line in z.whole(INDEX_MEMBER).decode().splitlines():
-            place = json.loads(line[line.index("{") :])
-            yield parse(zlib.decompress(z.range(WARC_MEMBER, place["offset"], place["length"]), 31))
+        archives, named = sorted(n for n in z.members if ARCHIVES.fullmatch(n)), set()
+        for index in sorted(n for n in z.members if INDEXES.fullmatch(n)):
+            raw = z.whole(index)
+            for archive, offset, length in index_places((zlib.decompress(raw, 31) if index.endswith(".gz") else raw).decode(), archives):
+                named.add(archive)
+                raw_record = z.range(archive, offset, length)
+                yield parse(zlib.decompress(raw_record, 31) if archive.endswith(".gz") else raw_record)
+        for archive in archives:
+            if archive not in named:
+                yield from map(parse, unindexed(z, archive))
 
 
 FIELDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
@@ -235,15 +303,10 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
     return map_rows(packages, ["package"], FIELDS + ", payload binary" * payloads, make)
 
 
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Rows (page_id, refers_to): pages whose payload, of least_bytes or more, is that of a page with a smaller id.
-
-    Grouped by SHA-1 with partial minima, so that a payload of very many pages is no hot key.
-    """
-    raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    ids = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(raw).alias("h"), F.length(raw).alias("n")).where(F.col("n") >= least_bytes)
-    firsts = ids.groupBy("h").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).where("most > refers_to").drop("most")
-    return ids.join(firsts, "h").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Rows (h, first): the SHA-1 of each payload of least_bytes or more that several page_ids have, and the least of these."""
+    ids = pages.where("page_id is not null").where(F.col("n") >= least_bytes).select("h", "page_id")
+    return ids.groupBy("h").agg(F.min("page_id").alias("first"), F.max("page_id").alias("most")).where("most > first").drop("most")
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -251,16 +314,18 @@ def archive(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = BROADC
 
     The payload is html in UTF-8, empty for null. Of equal payloads of least_bytes or more, the smallest page_id's is a
     response and the others revisit it. Rows that repeat a responding page_id and payload are responses too; a null
-    page_id is always one. If a page_id stands on rows of unequal payloads, all of its rows follow what the least
-    refers_to says. Other columns are left out.
+    page_id is always one. A page_id with several payloads has each judged by itself. Other columns are left out; an
+    empty table gives no package. Payloads of which there are very many are no hot key: see lookup().
     """
-    again = durable(revisits(pages, least_bytes).groupBy("page_id").agg(F.min("refers_to").alias("refers_to")))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    right = F.broadcast(again) if again.count() <= broadcast_rows else again.hint("merge")
-    return write_packages(rows.join(right, "page_id", "left"), shared_path(pages.sparkSession, "warc"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("h"), F.length(html).alias("n"))
+    firsts = durable(first_pages(rows, least_bytes))
+    refers_to = F.when((F.col("page_id") > F.col("first")) & (F.col("n") >= least_bytes), F.col("first"))
+    return write_packages(lookup(rows, ["h"], firsts, broadcast_rows).withColumn("refers_to", refers_to), shared_path(pages.sparkSession, "warc"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written by archive() and read back by read_packages()."""
     return read_packages(archive(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

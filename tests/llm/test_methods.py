@@ -127,6 +127,44 @@ def test_warc_records():
     assert got["refers_to"] == 5 and got["payload_bytes"] == len(payload) and got["payload"] is None
 
 
+def test_foreign_packages(tmp_path):
+    """Several archives, plain and gzipped, with indexes of both kinds, or none; names without the UTF-8 mark; a ZIP64 package."""
+    import gzip
+
+    records = [warc_zip.record(i, f"http://x/{i}", f"<p>{i}</p>".encode() * (i + 1), None) for i in range(12)]
+    other = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0-1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    zipped, plain = [gzip.compress(r) for r in records[:4]], records[4:8]
+    at = lambda parts: [(sum(map(len, parts[:i])), len(p)) for i, p in enumerate(parts)]
+    cdxj = "!meta 0 {}\n" + "".join(f'org,x)/{i} 20240101 {{"offset": "{o}", "length": {n}, "filename": "a.warc.gz"}}\n' for i, (o, n) in enumerate(at(zipped)))
+    cdx = " CDX N b V S g\n" + "".join(f"org,x)/{i} 20240101 {o} {n} archive/b.warc\n" for i, (o, n) in enumerate(at(plain)))
+    members = [
+        ("archive/a.warc.gz", b"".join(zipped)), ("archive/b.warc", b"".join(plain)), ("archive/c.warc.gz", b"".join(map(gzip.compress, [*records[8:10], other]))), ("archive/d.warc", b"".join(records[10:])),
+        ("indexes/one.cdxj", cdxj.encode()), ("indexes/two.cdx.gz", gzip.compress(cdx.encode())), ("pages/\u00e9.jsonl", b"{}"),
+    ]
+    for zip64 in (False, True):
+        at = tmp_path / f"{zip64}.wacz"
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_STORED) as z:
+            for name, data in members:
+                with z.open(name, "w", force_zip64=zip64) as f:
+                    f.write(data)
+        got = list(warc_zip.read_package(str(at)))
+        assert sorted(r["page_id"] for r in got if r["page_id"] is not None) == list(range(12)) and [r["record_type"] for r in got].count("warcinfo") == 1
+        assert all(r["payload"] == f"<p>{r['page_id']}</p>".encode() * (r["page_id"] + 1) for r in got if r["page_id"] is not None)
+        monkey = warc_zip.CHUNK
+        try:
+            warc_zip.CHUNK = 37  # records that span many ranges
+            assert len(list(warc_zip.read_package(str(at)))) == 13
+        finally:
+            warc_zip.CHUNK = monkey
+
+
+def test_warc_of_repeated_ids(spark):
+    """Each payload of a page_id that stands on several rows is judged by itself, and is in the archive."""
+    pages = spark.createDataFrame([(1, "u", "A"), (2, "u", "A"), (2, "u", "B"), (3, "u", "B")], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["refers_to"] or 0, bytes(r["payload"] or b"")) for r in warc_zip.read_packages(warc_zip.archive(pages), payloads=True).collect())
+    assert got == [(1, 0, b"A"), (2, 0, b"B"), (2, 1, b""), (3, 2, b"")]
+
+
 def test_warc_shuffled_revisits(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 7}</p>") for i in range(60)], "page_id long, url string, html string")
     for rows in (0, 10**6):  # by shuffle, by broadcast
