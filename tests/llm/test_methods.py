@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zipfile
+import zlib
 from collections import Counter
 from fractions import Fraction
 from math import comb
@@ -52,6 +53,96 @@ def test_binomial_and_guarantee():
     assert wrong <= 400 * 0.05 + 15
 
 
+def brute_cutoffs(rows, risk):
+    """The cutoffs by looping over rows (stratum, measures, quality), each verdict spelled out."""
+    cells = {}
+    for s, m, q in rows:
+        cells[s, m] = max(q, cells.get((s, m), 0))
+    halves = [[], []]
+    for (s, m), q in cells.items():
+        words, chars = max(m[0], 1), max(m[1], 1)
+        score = {"symbols": m[2] / chars, "dup_lines": m[4] / max(m[3], 1), "repeats": m[5] / words, "long_words": m[1] / words, "short_words": -(m[1] / words)}
+        halves[zlib.crc32(",".join(map(str, m)).encode()) % 2].append((s, score, q))
+    verdicts, out = {}, {}
+    for s in {s for s, _, _ in halves[1]}:
+        mine = [(x, q) for t, x, q in halves[0] if t == s]
+        for k in range(quality_rules.STEPS):
+            verdict = {}
+            for rule, cutoffs in quality_rules.CUTOFFS.items():
+                best = 0
+                for c in cutoffs:
+                    good, bad = sum(q for x, q in mine if x[rule] >= c), sum(1 - q for x, q in mine if x[rule] >= c)
+                    if good <= risk.alpha * (k + 1) / quality_rules.STEPS * sum(q for _, q in mine) and bad - good > best:
+                        best, verdict[rule] = bad - good, c
+            verdicts[s, k] = verdict
+    strata = {s for s, _, q in halves[1] if q}
+    share = dict.fromkeys(strata, risk.delta / len(strata))
+    for _ in range(len(share) + 1):
+        safe = {}
+        for s in share:
+            held, safe[s] = [(x, q) for t, x, q in halves[1] if t == s], []
+            for k in range(quality_rules.STEPS):
+                gone = [q for x, q in held if any(x[r] >= c for r, c in verdicts[s, k].items())]
+                n, lost = sum(q for _, q in held), sum(gone)
+                if lost > risk.alpha * n or sum(comb(n, i) * Fraction(risk.alpha) ** i * (1 - Fraction(risk.alpha)) ** (n - i) for i in range(lost + 1)) > share[s]:
+                    break
+                safe[s].append((sum(1 - q for q in gone) - lost, -k))
+        full = [s for s in safe if len(safe[s]) == quality_rules.STEPS]
+        share = {s: share[s] if s in full else risk.delta / (len(share) - len(full)) for s in share}
+    for s, found in safe.items():
+        if found and max(found)[0] > 0:
+            out |= {(s, r): c for r, c in verdicts[s, -max(found)[1]].items()}
+    return out
+
+
+def test_quality_cutoffs_by_brute_force(spark):
+    """Cutoffs and kept, on documents of which some strata certify and others have too few rows."""
+    rng, rows, labels = random.Random(7), [], []
+    for i in range(2400):
+        lang, bad = rng.choice(["en", "en", "en", "de", "de", "fr", None]), rng.random() < 0.4
+        words = [rng.choice(["alpha", "be", "gamma", "delta%", "epsilon"]) + str(rng.randrange(40)) for _ in range(rng.randrange(45, 120))]
+        if bad and rng.random() < 0.8:
+            words = [w + rng.choice(["###", "", "$"]) for w in words] if lang != "de" else words + words[:20] * rng.randrange(1, 3)
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(not bad), 0))
+    rows += [(10_000 + i, t, lang) for i, (_, t, lang) in enumerate(rows[:50])]  # copies count once
+    labels += [(10_000 + i, labels[i][1], 0) for i in range(50)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    risk = quality_rules.Risk(alpha=0.1, delta=0.1)
+    quality_of = {i: q for i, q, _ in labels}
+    data = [(lang if lang in quality_rules.LANGS else "other", quality_rules.measures(t), quality_of[i]) for i, t, lang in rows]
+    passing = [(s, m, q) for s, m, q in data if m[0] >= 50 and 100 * m[5] <= 50 * m[0]]
+    want = brute_cutoffs(passing, risk)
+    assert quality_rules.calibrate(quality_rules.features(docs), marks, risk) == want and {s for s, _ in want} >= {"en"}
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.quality(docs, marks, risk).collect()}
+    for (i, _, _), (s, m, _) in zip(rows, data, strict=True):
+        failed = m[0] < 50 or 100 * m[5] > 50 * m[0]
+        score = {"symbols": m[2] / max(m[1], 1), "dup_lines": m[4] / max(m[3], 1), "repeats": m[5] / max(m[0], 1), "long_words": m[1] / max(m[0], 1), "short_words": -(m[1] / max(m[0], 1))}
+        assert got[i] == (failed, not failed and not any(score[r] >= c for (t, r), c in want.items() if t == s))
+
+
+def test_quality_guarantee():
+    """Over many draws, some stratum's true risk exceeds alpha with a chance of delta at most, whatever the rules look like."""
+    rng, risk, wrong = np.random.default_rng(4), quality_rules.Risk(0.05, 0.1), 0
+    rules = list(quality_rules.CUTOFFS)
+    n_bins = [len(quality_rules.CUTOFFS[r]) + 1 for r in rules]
+    for _ in range(150):
+        bad_one, hist, held, true = False, [], {}, {}
+        for s in ("en", "de"):
+            p = [rng.dirichlet(np.full(m, 0.05)) for m in n_bins]
+            draw = lambda n: np.stack([rng.choice(m, n, p=q) for m, q in zip(n_bins, p, strict=True)], axis=1)  # noqa: B023, E731
+            first = draw(300)
+            hist += [(s, r, int(b), 1, 1) for row in first for r, b in zip(rules, row, strict=True)] + [(s, r, int(b), 0, 3) for row in draw(300) for r, b in zip(rules, row, strict=True)]
+            held[s], true[s] = draw(300), draw(20_000)
+        laid = quality_rules.family(hist, risk.alpha)
+        step = lambda s, rows: np.min([np.array(quality_rules.first_step(laid[s, r], m - 1))[rows[:, j]] for j, (r, m) in enumerate(zip(rules, n_bins, strict=True))], axis=0)  # noqa: B023, E731
+        taken = quality_rules.certify([(s, int(k), 1, 1) for s in held for k in step(s, held[s])] + [(s, 0, 0, 10**6) for s in held], risk)
+        for s, k in taken.items():
+            bad_one |= k >= 0 and (step(s, true[s]) <= k).mean() > risk.alpha + 0.005
+        wrong += bad_one
+    assert wrong <= 150 * risk.delta + 10
+
+
 def test_licenses():
     index = license_scan.build_index({b"license": 5, b"the": 900, b"under": 700}, 1000)
     find = lambda s: license_scan.scan(license_scan.words_of(s.encode()), index)[0]
