@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreframe.llm.byte_bpe import byte_alphabet
-from scoreframe.llm.common import map_rows, resident, table
+from scoreframe.llm.common import map_rows, resident, shared_path, table
 
 #: Chunks whose steps are kept at hand, and the longest such chunk; beyond, they are computed again.
 CACHED, CACHED_CHARS = 400_000, 64
@@ -178,53 +178,75 @@ def counter(path: str, pattern: str) -> PrefixCounter:
     return resident(("counter", path, pattern), lambda: PrefixCounter(path, pattern))
 
 
+def stored(steps: np.ndarray) -> bytes:
+    """Steps as they are stored: the bytes of one step, then all of them; one byte each where they fit, as nearly always."""
+    for width in (1, 2, 4, 8):
+        kind = np.dtype(f"<i{width}")
+        if not len(steps) or np.iinfo(kind).min <= steps.min() and steps.max() <= np.iinfo(kind).max:
+            return bytes([width]) + steps.astype(kind).tobytes()
+    raise OverflowError
+
+
+def steps_of(table_: bytes | None) -> np.ndarray:
+    """The steps of a stored table; a null one has none."""
+    return np.frombuffer(table_[1:], f"<i{table_[0]}") if table_ else np.empty(0, np.int8)
+
+
+def counts_of(table_: bytes | None) -> np.ndarray:
+    """Token counts at every prefix, from a stored table."""
+    return np.concatenate([[0], np.cumsum(steps_of(table_), dtype=np.int64)])
+
+
 def prefix_table(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, steps binary): the stored prefix table of each whole text, two bytes a character.
+    """Rows (key, n_bytes, steps): the prefix table of each whole text, about a byte a character, as steps_of() reads it.
 
-    counts_of() turns it into counts. A null or empty text has an empty table; a null key is kept; repeated rows stay.
+    A null or empty text has an empty table and no bytes; a null key is kept; repeated rows stay; other columns are left
+    out; an empty df gives an empty one.
     """
 
     def make():
         c = counter(path, pattern)
+        return lambda k, n, t: [(k, n, stored(c.steps(t)))]
 
-        def one(k, t):
-            steps = c.steps(t)
-            if len(steps) and np.abs(steps).max() > 32767:
-                raise OverflowError("a step beyond two bytes")
-            return [(k, steps.astype("<i2").tobytes())]
-
-        return one
+    rows = df.select(F.col(key), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("_n_bytes"), F.col(text).cast("string").alias("_text"))
+    return map_rows(rows, [key, "_n_bytes", "_text"], f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, steps binary", make)
 
-    return map_rows(df, [key, text], f"{key} {dict(df.dtypes)[key]}, steps binary", make)
 
+def token_counts(tables: DataFrame, limit: int = 512, key: str = "doc_id") -> DataFrame:
+    """Rows (key, n_bytes, n_tokens, over_limit, limit_chars), read off stored tables alone; limit_chars: the most characters whose prefix fits the limit.
 
-def counts_of(steps: bytes | None) -> np.ndarray:
-    """Token counts at every prefix, from a stored table."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(steps or b"", "<i2").astype(np.int64))])
+    Rows without a table have zeros; a null key is kept; repeated rows stay repeated.
+    """
 
+    def make():
+        def one(k, n_bytes, table_):
+            steps = steps_of(table_)
+            n = int(steps.sum(dtype=np.int64))
+            # where not even all steps up are over the limit, the whole text fits
+            fits = len(steps) if n <= limit and int(np.maximum(steps, 0).sum(dtype=np.int64)) <= limit else longest_within(counts_of(table_), limit)
+            return [(k, n_bytes or 0, n, n > limit, fits)]
 
-def token_counts(df: DataFrame, path: str, pattern: str, limit: int = 512) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens, over_limit, limit_chars), read off each whole text's prefix table.
+        return one
 
-    limit_chars: the most characters whose prefix fits the limit. Null and empty texts have zeros; a null doc_id is
-    kept; repeated rows stay repeated.
-    """
+    return map_rows(tables, [key, "n_bytes", "steps"], f"`{key}` {dict(tables.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long", make)
 
-    def make():
-        c = counter(path, pattern)
 
-        def one(doc_id, text):
-            counts = c.counts(text)
-            n = int(counts[-1])
-            return [(doc_id, len((text or "").encode()), n, n > limit, longest_within(counts, limit))]
+def tokens_at(tables: DataFrame, chars: str, key: str = "doc_id") -> DataFrame:
+    """Rows (key, n_tokens) of tables with a column chars: the tokens of so many first characters (of all where there are fewer; null for null)."""
+    rows = tables.select(key, "steps", F.col(chars).cast("long").alias("_chars"))
+    make = lambda: lambda k, table_, n: [(k, None if n is None else int(steps_of(table_)[: max(0, n)].sum(dtype=np.int64)))]
+    return map_rows(rows, [key, "steps", "_chars"], f"`{key}` {dict(tables.dtypes)[key]}, n_tokens long", make)
 
-        return one
 
-    return map_rows(df.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long", make)
+def store(tables: DataFrame, at: str) -> DataFrame:
+    """Write the prefix tables as Parquet, and read them back."""
+    tables.write.mode("overwrite").parquet(at)
+    return tables.sparkSession.read.parquet(at)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Every whole text of documents through token_counts() by the 50k vocabulary."""
+    """The prefix tables of every whole text of documents by the 50k vocabulary, stored in the shared folder; counts are read off them."""
     import public_tokenizers as P
 
-    return token_counts(table(spark, sf_dir, "documents"), path or P.path("byte_bpe_50k.json"), pattern or P.PATTERN)
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return token_counts(store(prefix_table(docs, path or P.path("byte_bpe_50k.json"), pattern or P.PATTERN), shared_path(spark, "prefixes")))

@@ -25,7 +25,7 @@ def operators(spark, labels):
     multi, single = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
     return {
         "quality": lambda d: quality_rules.quality(d, labels), "licenses": license_scan.scan_licenses, "personal": personal_data.scan, "near": near_duplicates.near_duplicates,
-        "toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)), "counts": lambda d: prefix_counts.token_counts(d, single, P.PATTERN), "round_trip": lambda d: byte_bpe.round_trip(d, multi, P.PATTERN),
+        "toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)), "counts": lambda d: prefix_counts.token_counts(prefix_counts.prefix_table(d, single, P.PATTERN)), "round_trip": lambda d: byte_bpe.round_trip(d, multi, P.PATTERN),
         "search": lambda d: containment.search(d, bench), "bench": bench,
     }
 

@@ -557,7 +557,29 @@ def test_prefix_counts():
         for k in range(len(t) + 1) if len(t) < 60 else (0, 7, len(t)):
             assert counts[k] == len(lib.encode(t[:k], add_special_tokens=False).ids), (t, k)
     c = mine.counts("one two three four")
-    assert prefix_counts.longest_within(c, 2) == 7 and (prefix_counts.counts_of(mine.steps("one two").astype("<i2").tobytes()) == mine.counts("one two")).all()
+    assert prefix_counts.longest_within(c, 2) == 7 and (prefix_counts.counts_of(prefix_counts.stored(mine.steps("one two"))) == mine.counts("one two")).all()
+
+
+def test_stored_prefix_tables(spark, tmp_path, docs):
+    """Counts, limits and cuts read off tables on disk against the library on texts cut short."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    texts = [t for _, t in docs[:60]] + noise(60, "ab cd'slé日本\n\t  .,!?12 😀") + ["<|endoftext|>" * 9, " " * 700 + "x", "x" * 3000, "", None]
+    df = spark.createDataFrame([(i, t, "n", 1) for i, t in enumerate(texts)], "doc_id long, text string, steps string, n_bytes int")
+    tables = prefix_counts.store(prefix_counts.prefix_table(df, P.path("byte_bpe_50k.json"), P.PATTERN), f"file://{tmp_path}/tables")
+    for limit in (0, 3, 40, 512):
+        for r in prefix_counts.token_counts(tables, limit).collect():
+            t = texts[r["doc_id"]] or ""
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n(t), n(t) > limit)
+            k = r["limit_chars"]
+            assert n(t[:k]) <= limit and all(n(t[:j]) > limit for j in range(k + 1, min(len(t), k + 12) + 1))
+    from pyspark.sql import functions as F
+
+    cuts = prefix_counts.tokens_at(tables.withColumn("chars", F.col("doc_id") * 7 % 50), "chars").collect()
+    assert all(r["n_tokens"] == n((texts[r["doc_id"]] or "")[: r["doc_id"] * 7 % 50]) for r in cuts) and len(cuts) == len(texts)
+    assert prefix_counts.token_counts(prefix_counts.prefix_table(df.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
 
 
 def test_byte_bpe(docs):
@@ -571,6 +593,23 @@ def test_byte_bpe(docs):
         assert ids == lib.encode_ordinary(t) and mine.decode(ids) == t.encode()
 
 
+def test_encode_and_decode_frames(spark, docs):
+    """encode() and decode() on frames against tiktoken, and back to the bytes."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [t for _, t in docs[:50]] + ["", None, "é😀 <|endoftext|>", "x" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b")], "doc_id long, text string")
+    ids = byte_bpe.encode(df, path, P.PATTERN)
+    got = {r["doc_id"]: r["ids"] for r in ids.collect()}
+    assert all(got[i] == lib.encode_ordinary(t or "") for i, t in enumerate(texts)) and got[None] == lib.encode_ordinary("a b")
+    back = {r["doc_id"]: r for r in byte_bpe.decode(ids, path, P.PATTERN).collect()}
+    assert all(back[i]["text"] == (t or "") for i, t in enumerate(texts))
+    assert byte_bpe.encode(df.limit(0), path, P.PATTERN).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
