@@ -18,28 +18,36 @@ NEAR_PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, finds toxic go."""
+    """Documents that the classifier, fitted on the labelled ones among them, finds toxic go.
+
+    Null and empty texts score as a text without words and stay; repeated rows share their verdict; without labels all stay.
+    """
     return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of near-duplicates the document of the smallest id stays, with all of its rows.
+
+    Null and empty texts are like nothing and stay, as do rows with a null id.
+    """
     return keep_one(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a test item of the benchmark go."""
+    """Documents that contain a test item of the benchmark go; null and empty texts, and without items all, stay."""
     return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind in brackets; n_chars follows the text."""
+    """Spans of personal data give way to their kind in brackets; n_chars, where there is one, follows the text; null and empty texts stay as they are."""
     out = redact_documents(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's number of tokens and the digests of its ids and of what they decode to."""
+    """Each text's number of tokens and the digests of its ids and of what they decode to; null and empty texts have none."""
     return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -622,9 +622,40 @@ def test_matches_sql(spark, name):
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted(map(tuple, found.fetchall()), key=repr)
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
+    """run() against the stages by brute force: scores, components over all pairs, containment over all pairs, spans and tiktoken one by one."""
+    import hashlib
+
+    import tiktoken
+
+    import corpus_pipeline
+
+    out = {r["doc_id"]: r.asDict() for r in corpus_pipeline.run(spark, SF).collect()}
+    docs = duckdb.sql(f"select doc_id, text, toxic from '{SF}/documents.parquet' left join '{SF}/labels.parquet' using (doc_id) order by doc_id").fetchall()
+    machine = toxicity.fit([(t, y) for i, t, y in docs if y is not None and not toxicity.held_out(i)])
+    kept = [(i, t) for (i, t, _), s in zip(docs, machine.scores([t for _, t, _ in docs]), strict=True) if s < 0.5]
+    classes = brute_components(kept, corpus_pipeline.NEAR_PERCENT)
+    kept = [(i, t) for i, t in kept if classes[i][0] == i]
+    items = [containment.exact(shingles.words_of(t.encode())) for t, in duckdb.sql(f"select text from '{SF}/benchmark.parquet'").fetchall()]
+    kept = [(i, t) for i, t in kept if not any(e and len(e & containment.exact(shingles.words_of(t.encode()))) >= 0.8 * len(e) for e in items)]
+    counts = Counter(personal_data.pattern(t, *c) for _, t in kept for c in personal_data.candidates(t))
+    model, path = personal_data.fit(counts), P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted(out) == [i for i, _ in kept] and 0 < len(kept) < len(docs)
+    for i, t in kept:
+        clean = personal_data.redact(t, model)
+        ids, sha = lib.encode_ordinary(clean), lambda raw: hashlib.sha256(raw).hexdigest()
+        assert out[i] == {"doc_id": i, "n_tokens": len(ids), "ids_sha256": sha(",".join(map(str, ids)).encode()), "decoded_sha256": sha(clean.encode())}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "byte_bpe"]
+
+
+def test_pipeline_stages_on_edges(spark, edge_docs, empty_docs):
+    """Every stage takes nulls, empty tables and clashing columns, and all but the last return the columns that they got."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert 0 < len(out) < 200 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "byte_bpe"]
-    assert set(corpus_pipeline.STAGES[-1][1].__code__.co_varnames[:3]) == {"spark", "docs", "sf_dir"}
+    for docs in (edge_docs, empty_docs, edge_docs.drop("n_chars")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "byte_bpe" or out.columns == docs.columns
+            assert (out.count() > 0) == (docs is not empty_docs)
