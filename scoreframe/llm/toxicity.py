@@ -95,9 +95,11 @@ def windows(token: str) -> list[str]:
 
 
 def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
+    """The strings' characters, a row each."""
     out = np.full((len(strings), width), pad, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.int32)
+    out[np.repeat(np.arange(len(strings)), lengths), np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = codes
     return out
 
 
@@ -136,10 +138,9 @@ def self_kernel(strings: list[str]) -> np.ndarray:
     return _subsequences(lambda i, j: ((s[:, i] == s[:, j]) & (s[:, i] >= 0)).astype(np.float32), s.shape[1], s.shape[1], (len(strings),))
 
 
-def _paired(left: list[str], right: list[str]) -> np.ndarray:
-    """The kernel of each left string with the right one at its place."""
-    s, t = _codes(left, max(map(len, left), default=0), -1), _codes(right, max(map(len, right), default=0), -2)
-    return _subsequences(lambda i, j: (s[:, i] == t[:, j]).astype(np.float32), s.shape[1], t.shape[1], (len(left),))
+def _paired(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The kernel of each row of codes with that of the other side at its place."""
+    return _subsequences(lambda i, j: (s[:, i] == t[:, j]).astype(np.float32), s.shape[1], t.shape[1], (len(s),))
 
 
 def _mass(landmark: str) -> np.ndarray:
@@ -170,11 +171,12 @@ class Likeness:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.norms = np.sqrt(self_kernel(landmarks)) if landmarks else np.empty(0, np.float32)
-        self.codes = [np.array([ord(c) % self.LETTERS for c in m], np.int64) for m in landmarks]
-        used = np.unique(np.concatenate([*self.codes, np.zeros(1, np.int64)]))
+        self.table = _codes(landmarks, max(map(len, landmarks), default=0), -2)
+        letters = [np.array([ord(c) % self.LETTERS for c in m], np.int64) for m in landmarks]
+        used = np.unique(np.concatenate([*letters, np.zeros(1, np.int64)]))
         self.column = np.full(self.LETTERS, len(used), np.int64)
         self.column[used] = np.arange(len(used))
-        self.places = [self.column[c] for c in self.codes]
+        self.places = [self.column[c] for c in letters]
         self.masses = [_mass(m) if len(m) <= self.BITS else None for m in landmarks]
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -182,16 +184,11 @@ class Likeness:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "older": {}}
 
-    def _present(self, strings: list[str]) -> np.ndarray:
-        """Which of the landmarks' characters each string has."""
-        out = np.zeros((len(strings), int(self.column.max()) + 1), bool)
-        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % self.LETTERS
-        out[np.repeat(np.arange(len(strings)), lengths), self.column[codes]] = True
-        return out
-
     def _part(self, strings: list[str]) -> list[list[tuple[int, float]]]:
-        present, owner, which = self._present(strings), [], []
+        codes, owner, which = _codes(strings, max(map(len, strings), default=0), -1), [], []
+        present = np.zeros((len(strings), int(self.column.max()) + 1), bool)
+        row, at = np.nonzero(codes >= 0)
+        present[row, self.column[codes[row, at] % self.LETTERS]] = True
         for n, (place, mass) in enumerate(zip(self.places, self.masses, strict=True)):
             if mass is None:
                 near = np.arange(len(strings))
@@ -206,9 +203,7 @@ class Likeness:
         needed = np.unique(owner)
         norms = np.zeros(len(strings), np.float32)
         norms[needed] = np.sqrt(np.maximum(self_kernel([strings[i] for i in needed]), 1e-12))
-        alike = np.concatenate([
-            _paired([strings[i] for i in owner[at : at + 16384]], [self.landmarks[n] for n in which[at : at + 16384]]) for at in range(0, len(owner), 16384)
-        ]) / (norms[owner] * self.norms[which])
+        alike = np.concatenate([_paired(codes[owner[i : i + 16384]], self.table[which[i : i + 16384]]) for i in range(0, len(owner), 16384)]) / (norms[owner] * self.norms[which])
         for k in np.flatnonzero(alike >= FLOOR):
             out[owner[k]].append((int(which[k]), float(alike[k])))
         return out
@@ -380,7 +375,7 @@ def _ordinary(bags: list[tuple[set[str], int]], telling: list[str], n: int) -> l
     for f in ranked[: 50 * n]:
         if len(out) >= n:
             break
-        if not any(v >= 0.7 for _, v in known[f]) and not (out and (_paired([f] * len(out), out) / np.sqrt(self_kernel([f])[0] * self_kernel(out))).max() >= 0.5):
+        if not any(v >= 0.7 for _, v in known[f]) and not (out and (kernel([f], out)[0] / np.sqrt(self_kernel([f])[0] * self_kernel(out))).max() >= 0.5):
             out.append(f)
     return out
 
