@@ -5,11 +5,9 @@
 2. Texts of equal sets are collapsed by a hash of the set; the smallest id stands for its copies, however many there are.
 3. Texts that share a band key meet through the smallest id of their bucket (bucket size - 1 links), and the components
    of these links are the candidate groups.
-4. A group's texts are dealt into blocks. Each block is compared within itself and with the group's first block, which
-   links all but a few of a large group of like texts; only what these links leave apart is compared further, between
-   blocks of different components. A pair's signatures are compared batch by batch, and it is dropped once the
-   posterior probability of a similarity of the threshold or more falls below MISS; the rest is confirmed on full sets.
-   Pairs that are linked already need no confirmation: only links that join anything leave a block.
+4. Within a group, blocks of texts are compared in pairs of blocks. A pair's signatures are compared batch by batch, and it
+   is dropped once the posterior probability of a similarity of THRESHOLD or more falls below MISS; the rest is confirmed
+   on full sets. Pairs that are linked already need no confirmation: only links that join anything leave a block.
 5. Components of the confirmed links give each document its class.
 """
 
@@ -22,10 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import BROADCAST_ROWS, components, durable, lookup, map_rows, small_batches, table
+from scoreframe.llm.common import components, durable, map_rows, small_batches, table
 from scoreframe.llm.shingles import mix, shingle_set
 
 #: Links: PERCENT * union <= 100 * intersection.
@@ -37,6 +35,9 @@ HASHES, UNSEEN = 400, 5e-6
 #: Hashes compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 40, 1e-6
 
+#: Sets that go to every task at most, two hashes and an id each.
+HOT_SETS = 20_000
+
 #: Texts and bytes that one block has at most, but for a single longer text.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
 
@@ -106,32 +107,26 @@ def digest(raw: bytes | None, plan: Banding) -> tuple[int, int | None, int | Non
     return len(s), h1, h2, band_keys(minima(s, plan.bands * plan.rows), plan.bands).tolist()
 
 
-def candidate_groups(digests: DataFrame, bands: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+def candidate_groups(digests: DataFrame) -> DataFrame:
     """Rows (node, component) of those representatives that share a band key with another, directly or through others."""
     reps = digests.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    reps = durable(reps.select("doc_id", "bands"))
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     # a bucket's smallest member by partial minima; buckets of one are dropped before anything is joined
-    least = durable(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
-    hot = durable(least.where(F.col("n") > max(64, reps.count() * bands // rows)).select("key", "least"))  # of these there are `rows` at most
-    known = F.broadcast(hot.select("key"))
-    rest = keys.join(known, "key", "left_anti").join(least.join(known, "key", "left_anti").select("key", "least"), "key")
-    return components(keys.join(F.broadcast(hot), "key").unionByName(rest).where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    return components(keys.join(least, "key").where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
 class Block:
-    """Texts of one block: ids, roots of what is linked already, shingle sets and signatures of one byte a hash."""
+    """Texts of one block: ids, shingle sets and signatures of one byte a hash."""
 
     def __init__(self) -> None:
         self.ids: list[int] = []
-        self.roots: list[int] = []
         self.sets: list[np.ndarray] = []
         self.signs: list[np.ndarray] = []
 
-    def add(self, doc_id: int, raw: bytes, root: int | None = None) -> None:
+    def add(self, doc_id: int, raw: bytes) -> None:
         s = shingle_set(raw)
         self.ids.append(doc_id)
-        self.roots.append(doc_id if root is None else root)
         self.sets.append(s)
         self.signs.append(one_byte(minima(s)))
 
@@ -158,15 +153,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verify(left: Block, right: Block | None, plan: Banding, parent: dict[int, int] | None = None) -> Iterator[tuple[int, int]]:
-    """Confirmed links within left, or if right is given between left and right, that join what parent doesn't have joined."""
+def verify(left: Block, right: Block | None, plan: Banding) -> Iterator[tuple[int, int]]:
+    """Confirmed links within left, or if right is given between left and right, that join what wasn't joined in here."""
     other = right or left
-    parent = {} if parent is None else parent
-    signs, sizes, roots = np.array(other.signs), np.array([len(s) for s in other.sets]), np.array(other.roots)
+    signs, sizes = np.array(other.signs), np.array([len(s) for s in other.sets])
+    parent: dict[int, int] = {}
     for i, mine in enumerate(left.signs):
         js = np.arange(i + 1 if right is None else 0, len(other.ids))
         n = len(left.sets[i])
-        js = js[(100 * sizes[js] >= plan.percent * n) & (100 * n >= plan.percent * sizes[js]) & (roots[js] != left.roots[i])]
+        js = js[(100 * sizes[js] >= plan.percent * n) & (100 * n >= plan.percent * sizes[js])]
         equal = np.zeros(len(js), np.int32)
         for b, bound in enumerate(plan.bounds):
             if not len(js):
@@ -176,105 +171,49 @@ def verify(left: Block, right: Block | None, plan: Banding, parent: dict[int, in
             stay = equal >= bound
             js, equal = js[stay], equal[stay]
         for j in js[np.argsort(-equal, kind="stable")].tolist():
-            x, y = _root(parent, left.roots[i]), _root(parent, other.roots[j])
+            x, y = _root(parent, left.ids[i]), _root(parent, other.ids[j])
             if x != y and linked(left.sets[i], other.sets[j], plan.percent):
                 parent[max(x, y)] = min(x, y)
                 yield left.ids[i], other.ids[j]
 
 
-def _block(n: str, size: str, of: str) -> Column:
-    """A text's block among those that hold n texts of size bytes, by the hash of a column."""
-    blocks = F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1))
-    return F.pmod(F.xxhash64(of), blocks).cast("long")
-
+def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows (a, b): links within the candidate groups that hold on full sets and span their components.
 
-def _links(work: DataFrame, plan: Banding) -> DataFrame:
-    """Rows (a, b) of the confirmed links of each piece of work (component, p, q): within q where inner, and between p and q if they differ."""
-    small_batches(work.sparkSession)
+    A group larger than a block is split by the hash of its ids into blocks, and every pair of its blocks is one piece of work,
+    so that no task holds more than two blocks. Texts are read again for the members of groups alone; a repeated id has all of its texts.
+    """
+    plan = banding(percent)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").cast("binary").alias("raw"))
+    members = groups.join(texts, "node").where(F.length("raw") > 0).groupBy("component", "node", F.md5("raw").alias("text")).agg(F.first("raw").alias("raw")).drop("text")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("raw")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    work = placed.withColumn("with", F.explode(every)).select(
+        "component", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), F.col("block"), "node", "raw"
+    )
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, inner, left, right = None, False, Block(), Block()
+        at, left, right = None, Block(), Block()
 
         def close() -> pa.RecordBatch | None:
-            links: list[tuple[int, int]] = []
-            if at is not None:
-                parent: dict[int, int] = {}
-                if inner:
-                    links += verify(right, None, plan, parent)
-                if at[1] != at[2]:
-                    links += verify(left, right, plan, parent)
+            links = [] if at is None else list(verify(left, None if at[1] == at[2] else right, plan))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]) if links else None
 
         for batch in batches:
-            for component, p, q, block, within, node, root, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for component, p, q, block, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (component, p, q):
                     if (done := close()) is not None:
                         yield done
-                    at, inner, left, right = (component, p, q), within, Block(), Block()
-                (right if block == q else left).add(node, raw, root)
+                    at, left, right = (component, p, q), Block(), Block()
+                (left if block == p else right).add(node, raw)
         if (done := close()) is not None:
             yield done
 
-    columns = ["component", "p", "q", "block", "inner", "node", "root", "raw"]
-    return work.select(*columns).repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "node").mapInArrow(run, "a long, b long")
-
-
-def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (a, b): links within the candidate groups that hold on full sets and span their components.
-
-    Texts are read again for the members of groups alone; a repeated id has all of its texts. A group that fits into one
-    block is compared there, each with each. Of a larger one every block is first compared within itself and with
-    block 0. What that links is one component, and the second pass compares blocks of different components alone: those
-    that fill a block have their own, smaller ones share blocks. No task holds more than two blocks.
-    """
-    plan = banding(percent)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").cast("binary").alias("raw"))
-    groups = durable(groups)
-    found = texts.join(F.broadcast(groups), "node") if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else texts.join(groups, "node")
-    members = found.where(F.length("raw") > 0).groupBy("component", "node", F.md5("raw").alias("text")).agg(F.first("raw").alias("raw")).drop("text")
-    members = durable(members)
-    sizes = durable(members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("raw")).alias("bytes")))
-    placed = members.join(_small(sizes), "component").withColumn("block", _block("n", "bytes", "node"))
-    several = (F.col("n") > BLOCK_TEXTS) | (F.col("bytes") > BLOCK_BYTES)
-    every = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)) - 1)
-    with_first = F.when(several & (F.col("block") == 0), every).otherwise(F.array(F.col("block")))
-    first = placed.withColumn("q", F.explode(with_first)).select(
-        "component", F.lit(0).cast("long").alias("p"), F.col("q").cast("long").alias("q"), "block", F.lit(True).alias("inner"), "node", F.col("node").alias("root"), "raw"
-    )
-    links = durable(_links(first, plan))
-    if sizes.where(several).isEmpty():
-        return links
-    return links.unionByName(_links(_second_pass(members, sizes.where(several), links), plan))
-
-
-def _small(sizes: DataFrame) -> DataFrame:
-    return F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes
-
-
-def _second_pass(members: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
-    """The work between blocks of different components, of the large groups in which any are left apart."""
-    ours = members.join(_small(large.select("component")), "component", "left_semi").select("component", "node", F.length("raw").alias("size"))
-    roots = lookup(durable(ours), ["node"], components(links).withColumnRenamed("component", "root")).withColumn("root", F.coalesce("root", "node"))
-    roots = durable(roots)
-    per_root = roots.groupBy("component", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("full", (F.col("n") > BLOCK_TEXTS) | (F.col("bytes") > BLOCK_BYTES))
-    # components that fill a block own theirs; the others of a group share blocks, all of one of them in the same
-    per_root = durable(per_root.withColumn("owner", F.when(F.col("full"), F.col("root")).otherwise(F.lit(0).cast("long"))))
-    owners = per_root.groupBy("component", "full", "owner").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    apart = per_root.groupBy("component").count().where("count > 1").select("component")
-    owners = durable(owners.join(apart, "component", "left_semi"))
-    owned = lookup(roots, ["component", "root"], per_root.select("component", "root", "full", "owner")).drop("size").distinct()
-    number = F.when(F.col("full"), _block("n", "bytes", "node")).otherwise(_block("n", "bytes", "root"))
-    dealt = durable(owned.join(_small(owners), ["component", "full", "owner"]).withColumn("block", F.xxhash64("full", "owner", number)).select("component", "full", "owner", "block", "node", "root"))
-    blocks = durable(dealt.select("component", "full", "owner", "block").distinct())
-    mine, other = blocks.withColumnRenamed("block", "p"), blocks.select("component", F.col("full").alias("theirs_full"), F.col("owner").alias("theirs"), F.col("block").alias("q"))
-    # shared blocks meet themselves, each other and all others; blocks of one owner meet those of the next ones alone
-    shared = mine.where("not full").join(other, "component").where("theirs_full or p <= q").select("component", "p", "q")
-    meet = owners.where("full").select("component", "owner").join(owners.where("full").select("component", F.col("owner").alias("theirs")), "component").where("owner < theirs")
-    pairs = shared.unionByName(mine.where("full").join(meet, ["component", "owner"]).join(other.where("theirs_full"), ["component", "theirs"]).select("component", "p", "q"))
-    pairs = durable(pairs.withColumn("inner", F.col("p") == F.col("q")))
-    texts = members.join(dealt.select("component", "block", "node", "root"), ["component", "node"])
-    sides = pairs.withColumn("block", F.col("p")).unionByName(pairs.where("p <> q").withColumn("block", F.col("q")))
-    return texts.join(sides, ["component", "block"])
+    dealt = work.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -288,19 +227,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     plan = banding(percent)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     digests = durable(map_rows(raw, ["doc_id", "raw"], DIGEST, lambda: lambda doc_id, raw: [(doc_id, *digest(raw, plan))]))
-    known = digests.where("doc_id is not null")
-    links = confirmed_links(docs, candidate_groups(known, plan.bands), percent)
-    # copies meet at their set's smallest id; sets of one row need no such meeting
-    ids = known.where("h1 is not null").select("doc_id", "h1", "h2")
-    firsts = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("first < most")
-    firsts = durable(firsts.select("h1", "h2", "first"))
-    copies = lookup(ids, ["h1", "h2"], firsts).where("first < doc_id")
-    # an id with several texts joins what its texts are linked with: it is one node of links and copies
-    classes = components(links.unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
-    return (
-        lookup(digests.select("doc_id", "n_shingles"), ["doc_id"], classes.select(F.col("node").alias("doc_id"), "component"))
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    known = digests.where("doc_id is not null and h1 is not null").select("doc_id", "h1", "h2", "bands")
+    links = confirmed_links(docs, candidate_groups(known), percent)
+    ids = known.select("doc_id", "h1", "h2")
+    firsts = durable(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    # an id with several texts joins what these are linked with
+    several = ids.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2"))).where("min_h1 < max_h1 or min_h2 < max_h2")
+    theirs = ids.join(several.select("doc_id"), "doc_id", "left_semi").join(firsts, ["h1", "h2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    classes = components(links.unionByName(theirs)).withColumnRenamed("node", "first")
+    # copies meet at their set's smallest id, then all that is linked at the component's. Sets of very many rows go to every
+    # task: each has more than one row in HOT_SETS, so there are no more of them than that; the other sets meet their rows in a shuffle
+    entries = durable(firsts.join(classes, "first", "left").select("h1", "h2", "rows", F.coalesce("component", "first").alias("component")))
+    hot = F.broadcast(entries.where(F.col("rows") > max(64, digests.count() // HOT_SETS)).select("h1", "h2", "component"))
+    rows = digests.select("doc_id", "n_shingles", "h1", "h2")
+    met = rows.join(hot, ["h1", "h2"]).unionByName(rows.join(hot, ["h1", "h2"], "left_anti").join(entries.drop("rows"), ["h1", "h2"], "left"))
+    return met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 

@@ -419,9 +419,8 @@ def test_pruning_of_unrelated_texts():
         assert not alive, n
 
 
-@pytest.mark.parametrize("rows", [5, 10**6])
-def test_components(spark, rows):
-    """A path in two orders, a star with thousands of rays, cycles and loops: by shuffled and hot lookups, and by broadcast."""
+def test_components(spark):
+    """A path in two orders, a star with thousands of rays, cycles and loops."""
     rng = random.Random(8)
     path, shuffled = list(range(100, 160)), rng.sample(range(200, 260), 60)
     edges = [*zip(path, path[1:], strict=False), *zip(shuffled, shuffled[1:], strict=False), *((-5, 1000 + i) for i in range(3000)), (300, 301), (301, 302), (302, 300), (400, 400), (5000, 1500)]
@@ -432,7 +431,7 @@ def test_components(spark, rows):
         up[max(x, y)] = min(x, y)
     from scoreframe.llm.common import components
 
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), rows=rows).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: near_duplicates._root(up, n) for x, y in edges for n in (x, y) if x != y or n in got}
 
 
