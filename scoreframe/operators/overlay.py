@@ -55,3 +55,8 @@ def chromatic_letters(notes: Column) -> Column:
 def flatten_action(letter: Column, accidental: Column, expected: Column, chromatic: Column) -> Column:
     """flattened or chromatic_skipped; null for roots that the key doesn't flatten or that are spelled out."""
     return F.when(F.array_contains(expected, letter), F.when(F.array_contains(chromatic, letter), "chromatic_skipped").when(accidental.isNull(), "flattened"))
+
+
+def is_phantom(text: Column) -> Column:
+    """Whether a mark is a question mark, the sign of a recovered note; a null mark isn't."""
+    return F.coalesce(F.trim(text) == "?", F.lit(False))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scoreframe.plans import chord_labels, lyric_text, measures, positions
+from scoreframe.plans import chord_labels, lyric_text, measures, positions, songs
 
-_ALL = positions.QUERIES | chord_labels.QUERIES | lyric_text.QUERIES | measures.QUERIES
+_ALL = positions.QUERIES | chord_labels.QUERIES | lyric_text.QUERIES | measures.QUERIES | songs.QUERIES
 
 
 def queries() -> dict:
