@@ -19,6 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Names and attributes of the two formats.
 SHEET = re.compile(r"sheet#(\d+)/sheet#\d+\.xml$")
+KIND_FIGURES = {
+    "major": "", "minor": "m", "augmented": "+", "diminished": "dim", "dominant": "7", "dominant-seventh": "7", "major-seventh": "maj7", "major-minor": "mM7", "minor-major-seventh": "mM7", "minor-seventh": "m7",
+    "augmented-seventh": "7+", "half-diminished": "ø7", "half-diminished-seventh": "ø7", "diminished-seventh": "o7", "major-sixth": "6", "minor-sixth": "m6", "major-ninth": "M9", "dominant-ninth": "9", "minor-ninth": "m9",
+    "dominant-11th": "11", "major-11th": "M11", "minor-11th": "m11", "dominant-13th": "13", "major-13th": "M13", "minor-13th": "m13", "suspended-second": "sus2", "suspended-fourth": "sus", "power": "power", "pedal": "pedal",
+}
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
 BARLINE = "song string, sheet int, staff int, bar_id string, x double, measure_local int"
@@ -199,6 +204,23 @@ def _text(el: ElementTree.Element, path: str) -> str | None:
     return found.strip() if found is not None else None
 
 
+def _spelled(step: str | None, alter: float) -> str:
+    return (step or "") + ("#" * int(alter) if alter > 0 else "b" * int(-alter))
+
+
+def _figure(el: ElementTree.Element, root: str, kind: ElementTree.Element | None) -> str:
+    """A chord symbol as one text: root, the kind's text or else its usual abbreviation, a bass other than the root, and the degrees."""
+    text = kind.get("text") if kind is not None else None
+    name = (kind.text or "").strip() if kind is not None else ""
+    out = root + (text if text else KIND_FIGURES.get(name, ""))
+    bass = _spelled(_text(el, "bass/bass-step"), _number(_text(el, "bass/bass-alter"), float) or 0)
+    if bass and bass != root:
+        out += "/" + bass
+    for d in el.iterfind("degree"):
+        out += f" {_text(d, 'degree-type') or 'add'} {_spelled('', _number(_text(d, 'degree-alter'), float) or 0)}{_text(d, 'degree-value') or ''}"
+    return out
+
+
 def parse_score(content: bytes) -> dict[str, list[tuple]]:
     """Rows of notes, measures, lyrics and chord symbols of a MusicXML file, by order of its elements; without the song."""
     xml = sheets(content)[0][1] if content[:2] == b"PK" else content
@@ -219,9 +241,9 @@ def parse_score(content: bytes) -> dict[str, list[tuple]]:
                     left = _text(el, "bar-style") or ("repeat" if el.find("repeat") is not None else None)
                 elif el.tag == "harmony":
                     step, alter, kind = _text(el, "root/root-step"), _number(_text(el, "root/root-alter"), float) or 0, el.find("kind")
-                    root = (step or "") + ("#" * int(alter) if alter > 0 else "b" * int(-alter))
+                    root = _spelled(step, alter)
                     shown = kind.get("text") if kind is not None else None
-                    out["harmony"].append((part, number, n_harmony, at + (_number(_text(el, "offset")) or 0) / divisions, root + (shown or ""), root, kind.text if kind is not None else None, shown, len(el.findall("degree")), False))
+                    out["harmony"].append((part, number, n_harmony, at + (_number(_text(el, "offset")) or 0) / divisions, _figure(el, root, kind), root, kind.text if kind is not None else None, shown, len(el.findall("degree")), False))
                     n_harmony += 1
                 elif el.tag == "note":
                     ql = 0.0 if el.find("grace") is not None else (_number(_text(el, "duration")) or 0) / divisions

@@ -7,10 +7,11 @@ import html
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LABEL_FIELDS = ("filename", "source", "audiveris_guess", "context", "classifier_guess", "classifier_conf", "correct_label")
+# Calls that may block, by module.
 TIMED_CALLS = {
     "subprocess": {"run", "call", "check_call", "check_output", "communicate", "wait"}, "requests": {"get", "post", "put", "delete", "head", "patch", "request"},
     "httpx": {"get", "post", "put", "delete", "head", "patch", "request"}, "urllib": {"urlopen"}, "socket": {"create_connection"}, "sqlite3": {"connect"},
@@ -74,6 +75,96 @@ def label_page(rows: list[dict]) -> str:
     return f'<!doctype html><meta charset="utf-8"><title>Labels</title>{cells}'
 
 
+DIVISIONS = 10080  # of a quarter: whole numbers for all lengths of 2, 3, 5 and 7 parts
+NAMES = ("C", "C", "D", "D", "E", "F", "F", "G", "G", "A", "A", "B")
+SHARP = (0, 1, 0, 1, 0, 0, 1, 0, 1, 0, 1, 0)
+
+
+def _escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def _element(name: str, text: Column) -> Column:
+    """<name>text</name>; nothing for null."""
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), text.cast("string"), F.lit(f"</{name}>")), F.lit(""))
+
+
+def _pitch(midi: Column) -> Column:
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.pmod(midi, F.lit(12)) + 1)
+    alter = F.when(at(SHARP) == 1, F.lit("<alter>1</alter>")).otherwise("")
+    return F.concat(F.lit("<pitch>"), _element("step", at(NAMES)), alter, _element("octave", F.floor(midi / 12) - 1), F.lit("</pitch>"))
+
+
+def _root(name: str, spelled: Column) -> Column:
+    """The elements of a spelled root or bass; nothing for null or empty."""
+    alter = F.length(F.regexp_replace(spelled, "[^#]", "")) - F.length(F.regexp_replace(F.substring(spelled, 2, 9), "[^b-]", ""))
+    body = F.concat(_element(f"{name}-step", F.substring(spelled, 1, 1)), F.when(alter != 0, _element(f"{name}-alter", alter)).otherwise(""))
+    return F.when(F.coalesce(F.length(spelled), F.lit(0)) > 0, F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))).otherwise("")
+
+
+def musicxml(measures: DataFrame, notes: DataFrame, harmonies: DataFrame, lyrics: DataFrame | None = None) -> DataFrame:
+    """Rows (song, value): a lead sheet of one part for each song as MusicXML, without new notation: what the tables say, at the places they say.
+
+    measures (song, number, fifths), notes (song, measure, seq, kind, pitches, offset, ql), harmonies (song, measure, seq, offset, root, kind, kind_text), lyrics (song, note_seq, verse, text).
+    What lies in measures that the song doesn't have is left out; a song is the unit of memory. Sharps stand for altered pitches; grace notes (length 0) are written as such.
+    """
+    ticks = lambda c: F.round(F.coalesce(c, F.lit(0.0)) * DIVISIONS).cast("long")
+    verse = F.concat(F.lit('<lyric number="'), F.coalesce(F.col("verse"), F.lit(1)).cast("string"), F.lit('">'), _element("text", _escaped(F.col("text"))), F.lit("</lyric>"))
+    n = notes.select("song", "measure", "seq", "kind", "pitches", "offset", "ql")
+    if lyrics is not None:
+        sung = lyrics.where("text is not null").groupBy("song", F.col("note_seq").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("verse", verse.alias("x")))), lambda i: i["x"]), "").alias("words"))
+        n = n.join(sung, ["song", "seq"], "left")
+    else:
+        n = n.withColumn("words", F.lit(None).cast("string"))
+    length = F.when(ticks(F.col("ql")) > 0, _element("duration", ticks(F.col("ql")))).otherwise("")
+    grace = F.when(ticks(F.col("ql")) > 0, "").otherwise("<grace/>")
+    sounding = F.filter("pitches", lambda p: p.isNotNull())
+    one = lambda p, i: F.concat(F.lit("<note>"), grace, F.when(i > 0, "<chord/>").otherwise(""), _pitch(p), length, F.when(i == 0, F.coalesce("words", F.lit(""))).otherwise(""), F.lit("</note>"))
+    silent = F.concat(F.lit("<note><rest/>"), length, F.lit("</note>"))
+    sound = F.when((F.col("kind") == "rest") | (F.coalesce(F.size(sounding), F.lit(0)) < 1), silent).otherwise(F.array_join(F.transform(sounding, one), ""))
+    bar = lambda df: df.withColumn("number", F.col("measure"))
+    events = bar(n).select("song", "number", ticks(F.col("offset")).alias("at"), F.lit(1).alias("rank"), F.col("seq").cast("long").alias("seq"), ticks(F.col("ql")).alias("long"), sound.alias("xml"))
+    kind = F.concat(F.lit('<kind text="'), _escaped(F.coalesce("kind_text", F.lit(""))), F.lit('">'), _escaped(F.coalesce("kind", F.lit("major"))), F.lit("</kind>"))
+    chord = F.concat(F.lit("<harmony>"), _root("root", F.col("root")), kind, F.lit("</harmony>"))
+    events = events.unionByName(bar(harmonies).select("song", "number", ticks(F.col("offset")).alias("at"), F.lit(0).alias("rank"), F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("long"), chord.alias("xml")))
+    order = F.array_sort(F.collect_list(F.struct("at", "rank", "seq", "long", "xml")))
+    listed = events.groupBy("song", "number").agg(order.alias("e"))
+    # the cursor stands at the end of the event before: step forward or back to each one's place
+    end = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("e", i - 1)["at"] + F.get("e", i - 1)["long"])
+    step = lambda gap: F.when(gap > 0, F.concat(F.lit("<forward>"), _element("duration", gap), F.lit("</forward>"))).when(gap < 0, F.concat(F.lit("<backup>"), _element("duration", -gap), F.lit("</backup>"))).otherwise("")
+    body = F.array_join(F.transform("e", lambda x, i: F.concat(step(x["at"] - end(i)), x["xml"])), "")
+    first = F.row_number().over(Window.partitionBy("song").orderBy("number")) == 1
+    fifths = F.array_join(F.transform(F.coalesce("fifths", F.array().cast("array<int>")), lambda k: F.concat(F.lit("<key>"), _element("fifths", k), F.lit("</key>"))), "")
+    attributes = F.concat(F.when(F.col("_first"), F.lit(f"<divisions>{DIVISIONS}</divisions>")).otherwise(""), fifths)
+    full = measures.select("song", "number", "fifths").withColumn("_first", first).join(listed.select("song", "number", body.alias("body")), ["song", "number"], "left")
+    xml = F.concat(F.lit('<measure number="'), F.col("number").cast("string"), F.lit('">'), F.when(attributes != "", _element("attributes", attributes)).otherwise(""), F.coalesce("body", F.lit("")), F.lit("</measure>"))
+    songs = full.groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", xml.alias("x")))), lambda i: i["x"]), "\n").alias("body"))
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<score-partwise version="4.0"><part-list><score-part id="P1"><part-name>Lead</part-name></score-part></part-list><part id="P1">\n')
+    return songs.select("song", F.concat(head, "body", F.lit("\n</part></score-partwise>\n")).alias("value"))
+
+
+def cleaned(scores: DataFrame, aggressive: bool = False) -> DataFrame:
+    """Rows (song, value, fixed): the XML text of scores (song, value) without the tuplets of measures that don't balance, and how many measures changed; if aggressive,
+    without any tuplet, and fixed is 0."""
+    from scoreframe.operators.repair import TUPLET_PARTS, strip_tuplets
+
+    whole = F.col("value")
+    if aggressive:
+        for pattern in TUPLET_PARTS:
+            whole = F.regexp_replace(whole, pattern, "")
+        return scores.select("song", whole.alias("value"), F.lit(0).alias("fixed"))
+    # texts between the measures' ends, each with at most one measure at its end; what follows the last one is kept as it is
+    pieces = F.split("value", "(?<=</measure>)")
+    head = lambda p: F.regexp_extract(p, r"(?s)^(.*?)(<measure[^>]*>.*</measure>)$", 1)
+    tail = lambda p: F.regexp_extract(p, r"(?s)^(.*?)(<measure[^>]*>.*</measure>)$", 2)
+    fixed = lambda p: F.when(p.rlike(r"(?s)<measure[^>]*>.*</measure>$"), F.concat(head(p), strip_tuplets(tail(p)))).otherwise(p)
+    out = scores.select("song", pieces.alias("_p")).withColumn("_q", F.transform("_p", fixed))
+    changed = F.aggregate(F.zip_with("_p", "_q", lambda a, b: (a != b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return out.select("song", F.array_join("_q", "").alias("value"), changed.alias("fixed"))
+
+
 def truth_starter(measures: DataFrame) -> DataFrame:
     """Rows (song, value): a truth file to edit, from rows (song, measure, chords, lyrics_v1)."""
     entry = F.struct(F.col("measure").cast("string").alias("k"), F.struct("chords", "lyrics_v1").alias("v"))

@@ -149,3 +149,41 @@ def test_command_line(spark, folder, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "out/missing")).count() == 2 and spark.read.parquet(str(tmp_path / "out/notes")).count() == 3
     cli.main(["review", str(folder), str(tmp_path / "r"), "--only", "*.mxl"])
     assert spark.read.text(str(tmp_path / "r/summary")).count() >= 1
+
+
+def test_figures():
+    one = "<harmony><root><root-step>{0}</root-step></root><kind{1}>{2}</kind>{3}</harmony>"
+    bass = "<bass><bass-step>B</bass-step><bass-alter>-1</bass-alter></bass>"
+    degree = "<degree><degree-value>9</degree-value><degree-alter>-1</degree-alter><degree-type>add</degree-type></degree>"
+    body = one.format("C", "", "minor-seventh", bass) + one.format("G", ' text="7"', "dominant", degree) + one.format("F", "", "major", "<bass><bass-step>F</bass-step></bass>")
+    rows = score_files.parse_score(f'<s><part><measure number="1">{body}</measure></part></s>'.encode())["harmony"]
+    assert [r[4] for r in rows] == ["Cm7/Bb", "G7 add b9", "F"]
+
+
+def test_musicxml_round_trip(spark):
+    """What is written is read back: places, lengths, gaps, overlaps, chords, words, keys and escapes; an empty measure stays."""
+    measures = spark.createDataFrame([("s & t", 1, [-1]), ("s & t", 2, []), ("s & t", 3, None), ("u", 7, [0])], "song string, number int, fifths array<int>")
+    notes = spark.createDataFrame(
+        [("s & t", 1, 0, "rest", [], 0.0, 1.0), ("s & t", 1, 1, "note", [61], 1.0, 1 / 3), ("s & t", 1, 2, "chord", [60, 70], 3.0, 1.0), ("s & t", 2, 3, "note", [59], 0.0, 4.0), ("s & t", 2, 4, "note", [72], 1.0, 2.0), ("s & t", 9, 5, "note", [1], 0.0, 1.0)],
+        "song string, measure int, seq int, kind string, pitches array<int>, offset double, ql double",
+    )
+    chords = spark.createDataFrame([("s & t", 1, 0, 0.5, "Bb", "dominant", "7"), ("s & t", 2, 0, 2.0, "F#", None, None)], "song string, measure int, seq int, offset double, root string, kind string, kind_text string")
+    words = spark.createDataFrame([("s & t", 1, 1, "a<b"), ("s & t", 1, 2, "z"), ("s & t", 3, 1, None)], "song string, note_seq int, verse int, text string")
+    xml = {r["song"]: r["value"] for r in sinks.musicxml(measures, notes, chords, words).collect()}
+    back = score_files.parse_score(xml["s & t"].encode())
+    assert [(r[1], r[4], r[5], round(r[10], 6), round(r[11], 6)) for r in back["note"]] == [
+        (1, "rest", [], 0.0, 1.0), (1, "note", [61], 1.0, round(1 / 3, 6)), (1, "chord", [60, 70], 3.0, 1.0), (2, "note", [59], 0.0, 4.0), (2, "note", [72], 1.0, 2.0),
+    ]
+    assert [(r[1], r[3], r[5], r[6], r[7]) for r in back["harmony"]] == [(1, 0.5, "Bb", "dominant", "7"), (2, 2.0, "F#", "major", "")]
+    assert [(r[2], r[4], r[5]) for r in back["lyric"]] == [(1, 1, "a<b"), (1, 2, "z")]
+    assert [(r[2], r[5]) for r in back["measure"]] == [(1, [-1]), (2, []), (3, [])] and score_files.parse_score(xml["u"].encode())["note"] == []
+
+
+def test_cleaned(spark):
+    start, mod = '<tuplet type="start"/>', "<time-modification><x/></time-modification>"
+    good = f'<measure number="2">{start}{mod}<tuplet type="stop"/></measure>'
+    text = f'<s><part>\n<measure number="1"><a/>{start}{mod}</measure>\n{good}</part></s>'
+    df = spark.createDataFrame([("one", text), ("none", "<s/>")], "song string, value string")
+    got = {r["song"]: (r["value"], r["fixed"]) for r in sinks.cleaned(df).collect()}
+    assert got == {"one": (f'<s><part>\n<measure number="1"><a/></measure>\n{good}</part></s>', 1), "none": ("<s/>", 0)}
+    assert {r["song"]: r["value"] for r in sinks.cleaned(df, True).collect()}["one"].count("tuplet") == 0
