@@ -24,9 +24,10 @@ def process(spark: SparkSession, a) -> None:
     for name in ("measures", "notes", "harmonies", "sections", "keys"):
         getattr(sheet, name).write.mode("overwrite").parquet(f"{a.output}/{name}")
     words = t["lyric"].join(reducer.vocal_part(t["note"], t["lyric"], t["harmony"]), ["song", "part"], "left_semi")
-    sinks.write_per_song(sinks.musicxml(sheet.measures, sheet.notes, sheet.harmonies, words), f"{a.output}/lead_sheets")
+    written = {name: spark.read.parquet(f"{a.output}/{name}") for name in ("measures", "notes", "harmonies")}
+    sinks.write_per_song(sinks.musicxml(written["measures"], written["notes"], written["harmonies"], words), f"{a.output}/lead_sheets")
     projects = score_files.files(spark, a.input, "*.omr")
-    exported = sheet.harmonies.select("song", "measure", "figure")
+    exported = written["harmonies"].select("song", "measure", "figure")
     recovery.missing_chords(score_files.glyphs(projects), score_files.barlines(projects), score_files.sheet_sizes(projects), exported).write.mode("overwrite").parquet(f"{a.output}/missing")
 
 
