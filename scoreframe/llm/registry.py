@@ -9,6 +9,7 @@ from scoreframe.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from scoreframe.llm.personal_data import op5_personal_data
 from scoreframe.llm.prefix_counts import op9_token_counts
 from scoreframe.llm.quality_rules import op1_quality_rules
+from scoreframe.llm.shard_ring import OP13_SQL, op13_ring_shards
 from scoreframe.llm.toxicity import op8_toxicity
 from scoreframe.llm.url_filter import OP4_SQL, op4_url_filter
 from scoreframe.llm.warc_zip import OP3_SQL, op3_warc
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_byte_bpe": op10_byte_bpe,
+        "op13_ring_shards": op13_ring_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op2_license_scan": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op7_decontaminate": OP7_SQL, "op13_ring_shards": OP13_SQL}
