@@ -64,25 +64,6 @@ def test_verse_pairs(spark):
             i += 1 + pair
 
 
-def test_alignment_is_optimal():
-    rng = random.Random(2)
-    cost = lambda a, b: 0.0 if a == b else 0.9
-
-    def best(a, b):
-        if not a or not b:
-            return 0.6 * (len(a) + len(b))
-        return min(cost(a[0], b[0]) + best(a[1:], b[1:]), 0.6 + best(a[1:], b), 0.6 + best(a, b[1:]))
-
-    for _ in range(200):
-        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(6))] for _ in range(2))
-        pairs, total = align.align(a, b, cost, 0.6)
-        assert total == pytest.approx(best(a, b)) and [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
-    assert align.similarity("tide", "diet") == 0.25 and align.similarity("diet", "tide") == 0.5
-    assert align.pitch_cost((0, 0, 4), (0, 0, 4)) == 0 and align.pitch_cost((0, 0, 4), (0, 0, 5)) == 0.3 and align.pitch_cost((0, 0, 4), (0, 0, 6)) == 1
-    left, right = [(s, 0, 3) for s in (5, 4, 3, 2)], [(s, 0, 3) for s in (5, 4, 3, 2, 1)]
-    assert align.align(left, right, align.pitch_cost, 0.5)[0][-1] == (None, 4)
-
-
 DICTIONARY = "we call the whole alpha beta gamma delta start end some thing must be done don't know where".split()
 
 

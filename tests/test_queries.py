@@ -58,7 +58,7 @@ def test_all_parts_aligned(spark, db):
     notes = defaultdict(list)
     for part, q in db.execute("select l_partkey, cast(l_quantity as int) from lineitem order by l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice").fetchall():
         notes[part].append((q % 7, 0, q // 7))
-    want = sorted((p, j) for p in notes if p + 1 in notes for i, j in align.align(notes[p], notes[p + 1], align.pitch_cost, align.PITCH_GAP)[0] if i is None)
+    want = sorted((p, j) for p in notes if p + 1 in notes for i, j in align.align(notes[p], notes[p + 1], "pitches")[0] if i is None)
     assert max(want)[0] >= 60 and sorted((r["l_partkey"], r["ri"]) for r in registry.queries()["nw_pitch"](spark, SF).collect()) == want
 
 
@@ -71,8 +71,7 @@ def test_all_customers_aligned(spark, db, tmp_path):
     for c, k in db.execute("select o_custkey + 190, o_orderkey from orders order by 1, 2").fetchall():
         if k in f:
             songs[c].append(f[k])
-    cost, gap, eps = align.KINDS["measures"]
-    want = sorted(((c, *p) for c in songs if c + 1 in songs for p in align.align(songs[c], songs[c + 1], cost, gap, eps)[0]), key=repr)
+    want = sorted(((c, *p) for c in songs if c + 1 in songs for p in align.align(songs[c], songs[c + 1], "measures")[0]), key=repr)
     assert max(w[0] for w in want) >= 200
     assert sorted(((r["o_custkey"], r["li"], r["ri"]) for r in registry.queries()["nw_measures"](spark, str(tmp_path)).collect()), key=repr) == want
 
@@ -84,6 +83,6 @@ def test_whole_turns_aligned(spark, tmp_path):
     spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["turn"]: (r["cost"], r["n_entries"]) for r in registry.queries()["nw_tokens"](spark, str(tmp_path)).collect()}
     for i in range(3):
-        pairs, cost = align.align(texts[i].split(), texts[i + 1].split(), align.token_cost, align.TOKEN_GAP)
+        pairs, cost = align.align(texts[i].split(), texts[i + 1].split(), "tokens")
         assert got[i] == (pytest.approx(cost, abs=1e-6), len(pairs))
     assert got[0] == (pytest.approx(1.8), 15)
