@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 TOKEN_GAP, PITCH_GAP, MEASURE_GAP = 0.6, 0.5, 1.2
 
-PAIRS = "array<struct<li: int, ri: int>>"
+PAIRS = "array<struct<li: int, ri: int, cost: double>>"
 
 #: Cells of cost tables and sums of kept rows that a worker holds at once, distinct pairs of items compared at once and kept of a long pair of sequences, and the longest strings compared in bulk.
 CELLS, KEPT, DISTINCT, TABLE, LONGEST = 1 << 21, 1 << 22, 1 << 20, 1 << 23, 48
@@ -37,12 +37,15 @@ def ratios(strings: Sequence[str], left: np.ndarray, right: np.ndarray) -> np.nd
     short = some & (n[left] <= LONGEST) & (n[right] <= LONGEST)
     for k in np.flatnonzero(some & ~short):
         out[k] = SequenceMatcher(None, strings[left[k]], strings[right[k]]).ratio()
-    width = int(min(n.max(initial=0), LONGEST))
-    codes = np.zeros((len(strings), width), np.int32)
+    letters: dict[str, int] = {}
+    codes = np.zeros((len(strings), int(min(n.max(initial=0), LONGEST)) or 1), np.int32)
     for row, s in zip(codes, strings, strict=True):
-        if len(s) <= width:
-            row[: len(s)] = [ord(c) for c in s]
+        if len(s) <= len(row):
+            row[: len(s)] = [letters.setdefault(c, len(letters)) for c in s]
+    codes = codes.T.astype(np.uint8 if len(letters) < 254 else np.int32)
     picked = np.flatnonzero(short)
+    # pairs of about one size go together
+    picked = picked[np.lexsort((n[right[picked]], n[left[picked]]))]
     for start in range(0, len(picked), 1 << 14):
         k = picked[start : start + (1 << 14)]
         out[k] = 2.0 * _matched(codes, left[k], right[k], n[left[k]], n[right[k]]) / total[k]
@@ -50,24 +53,28 @@ def ratios(strings: Sequence[str], left: np.ndarray, right: np.ndarray) -> np.nd
 
 
 def _matched(codes: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Matched characters of each pair: the longest match, first on the left and then on the right, and those before and after it."""
+    """Matched characters of each pair: the longest match, first on the left and then on the right, and those before and after it.
+
+    codes has a column a string. A match's size, place on the left and place on the right make one number, whose maximum is the match wanted.
+    """
     found = np.zeros(len(left), np.int64)
     zero = np.zeros(len(left), np.int64)
     pair, a0, a1, b0, b1 = np.arange(len(left)), zero, n, zero, m
+    none = np.iinfo(codes.dtype).max
     while len(pair):
-        la, lb = int((a1 - a0).max()), int((b1 - b0).max())
-        at = a0[:, None] + np.arange(la)
-        a = np.where(at < a1[:, None], codes[left[pair][:, None], np.minimum(at, codes.shape[1] - 1)], -1)
-        at = b0[:, None] + np.arange(lb)
-        b = np.where(at < b1[:, None], codes[right[pair][:, None], np.minimum(at, codes.shape[1] - 1)], -2)
-        run = np.zeros((len(pair), lb + 1), np.int8)
-        size, i, j = np.zeros(len(pair), np.int64), a0.copy(), b0.copy()
-        for x in range(la):
-            run[:, 1:] = (run[:, :-1] + np.int8(1)) * (b == a[:, x : x + 1])
-            best, end = run.max(1), run.argmax(1)
-            more = best > size
-            size = np.where(more, best, size)
-            i, j = np.where(more, a0 + x + 1 - best, i), np.where(more, b0 + end - best, j)
+        at = a0 + np.arange(int((a1 - a0).max()))[:, None]
+        a = np.where(at < a1, codes[np.minimum(at, len(codes) - 1), left[pair]], none)
+        at = b0 + np.arange(int((b1 - b0).max()))[:, None]
+        b = np.where(at < b1, codes[np.minimum(at, len(codes) - 1), right[pair]], none - 1)
+        run = np.zeros((len(b) + 1, len(pair)), np.int8)
+        match = np.zeros(b.shape, np.int32)
+        place = np.arange(63, 63 - len(b), -1, dtype=np.int32)[:, None]
+        for x, c in enumerate(a):
+            run[1:] = (run[:-1] + np.int8(1)) * (b == c)
+            np.maximum(match, run[1:] * np.int32(4096) + (place + (63 - x) * 64), out=match)
+        match = match.max(0).astype(np.int64)
+        size = match >> 12
+        i, j = a0 + 64 - (match >> 6 & 63) - size, b0 + 64 - (match & 63) - size
         np.add.at(found, pair, size)
         before, after = (size > 0) & (i > a0) & (j > b0), (size > 0) & (i + size < a1) & (j + size < b1)
         rest = lambda x, y: np.concatenate([x[before], y[after]])  # noqa: B023, E731
@@ -199,8 +206,8 @@ def _long(costs: Callable[[int, int, int], np.ndarray], n: int, m: int, gap: flo
     return [*out, *((-1, j) for j in range(c - 1, -1, -1))][::-1], total
 
 
-def align_many(items: Sequence, pairs: Sequence[tuple[np.ndarray, np.ndarray]], costs: Callable, gap: float, eps: float = 0.0) -> Iterator[tuple[np.ndarray, float]]:
-    """For each pair of sequences of indices into items, in order: entries (left index or -1, right index or -1) as an array, and the least cost.
+def align_many(items: Sequence, pairs: Sequence[tuple[np.ndarray, np.ndarray]], costs: Callable, gap: float, eps: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each pair of sequences of indices into items, in order: entries (left index or -1, right index or -1) as an array, the cost of each, and the least sum.
 
     On ties a pair goes before a gap on the right, and that before one on the left, from the ends. Sequences are taken in runs of
     bounded size, and costs are computed once for each distinct pair of items in a run.
@@ -218,8 +225,8 @@ def align_many(items: Sequence, pairs: Sequence[tuple[np.ndarray, np.ndarray]],
         yield from _run(items, run, costs, gap, eps)
 
 
-def _run(items: Sequence, run: list[tuple[np.ndarray, np.ndarray]], costs: Callable, gap: float, eps: float) -> Iterator[tuple[np.ndarray, float]]:
-    plain = lambda a, b: (np.array([(i, -1) for i in range(len(a))] + [(-1, j) for j in range(len(b))], np.int64).reshape(-1, 2), float(np.add.accumulate([0.0, *[gap] * (len(a) + len(b))])[-1]))
+def _run(items: Sequence, run: list[tuple[np.ndarray, np.ndarray]], costs: Callable, gap: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    plain = lambda a, b: (np.array([(i, -1) for i in range(len(a))] + [(-1, j) for j in range(len(b))], np.int64).reshape(-1, 2), np.full(len(a) + len(b), gap), float(np.add.accumulate([0.0, *[gap] * (len(a) + len(b))])[-1]))
     if len(run) == 1 and len(run[0][0]) * len(run[0][1]) > CELLS:
         a, b = run[0]
 
@@ -239,7 +246,11 @@ def _run(items: Sequence, run: list[tuple[np.ndarray, np.ndarray]], costs: Calla
             return compared(rows, columns)[at[:, None], to[None]]
 
         out, total = _long(block, len(a), len(b), gap, eps)
-        yield np.array(out, np.int64), total
+        entries = np.array(out, np.int64)
+        paired = (entries >= 0).all(1)
+        each = np.full(len(entries), gap)
+        each[paired] = costs(items, a[entries[paired, 0]], b[entries[paired, 1]])
+        yield entries, each, total
         return
     tables = [(np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)) for a, b in run]
     wanted = [np.add.outer(x[0] * len(items), y[0]).ravel() for x, y in tables]
@@ -261,9 +272,10 @@ def _run(items: Sequence, run: list[tuple[np.ndarray, np.ndarray]], costs: Calla
         top = np.broadcast_to(np.add.accumulate(np.concatenate([[0.0], np.full(w, gap)])), (len(some), w + 1))
         ends = np.array([(len(run[k][0]), len(run[k][1])) for k in some])
         steps, _, found = _sweep(cost, top, gap, eps, ends)
-        for s, k, (n, m), total in zip(steps, some, ends, found, strict=True):
+        for s, table, k, (n, m), total in zip(steps, cost, some, ends, found, strict=True):
             out, c = _walk(s, n, m, 0)
-            answers[k] = np.array([*out, *((-1, j) for j in range(c - 1, -1, -1))][::-1], np.int64), float(total)
+            entries = np.array([*out, *((-1, j) for j in range(c - 1, -1, -1))][::-1], np.int64)
+            answers[k] = entries, np.where((entries >= 0).all(1), table[entries[:, 0], entries[:, 1]], gap), float(total)
     yield from answers
 
 
@@ -272,12 +284,18 @@ def align(left: Sequence, right: Sequence, kind: str, gap: float | None = None)
     costs, usual, eps = KINDS[kind]
     ids: dict = {}
     a, b = (np.array([ids.setdefault(x, len(ids)) for x in side], np.int64) for side in (left, right))
-    out, total = next(align_many(list(ids), [(a, b)], costs, usual if gap is None else gap, eps))
+    out, _, total = next(align_many(list(ids), [(a, b)], costs, usual if gap is None else gap, eps))
     return [(i if i >= 0 else None, j if j >= 0 else None) for i, j in out.tolist()], total
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by hash of keys over several tasks a core: alignment costs far more time a byte than the sizes tell by which adaptive plans merge partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def align_columns(df: DataFrame, left: str, right: str, kind: str, gap: float | None = None, out: str = "alignment") -> DataFrame:
-    """df with out: struct(pairs array of struct(li, ri), cost) of two array columns of a row; null arrays count as empty.
+    """df with out: struct(pairs array of struct(li, ri, cost), cost) of two array columns of a row; null arrays count as empty.
 
     A row is one pair of sequences. Its time has the product of their lengths, its memory their sum.
     """
@@ -291,18 +309,19 @@ def align_columns(df: DataFrame, left: str, right: str, kind: str, gap: float |
         index = lambda row: np.array([ids.setdefault(plain(v), len(ids)) for v in row.as_py() or []], np.int64)
         pairs = [(index(x), index(y)) for x, y in zip(a, b, strict=True)]
         done = list(align_many(list(ids), pairs, costs, used, eps))
-        entries = np.concatenate([e for e, _ in done] or [np.empty((0, 2), np.int64)])
+        entries = np.concatenate([d[0] for d in done] or [np.empty((0, 2), np.int64)])
         sides = [pa.array(entries[:, k].astype(np.int32), mask=entries[:, k] < 0) for k in (0, 1)]
-        offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in done])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(sides, names=["li", "ri"]))
-        return pa.StructArray.from_arrays([lists, pa.array([c for _, c in done], pa.float64())], names=["pairs", "cost"])
+        sides.append(pa.array(np.concatenate([d[1] for d in done] or [np.empty(0)])))
+        offsets = np.concatenate([[0], np.cumsum([len(d[0]) for d in done])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(sides, names=["li", "ri", "cost"]))
+        return pa.StructArray.from_arrays([lists, pa.array([d[2] for d in done], pa.float64())], names=["pairs", "cost"])
 
     return df.withColumn(out, run(F.col(left), F.col(right)))
 
 
 def alignment_rows(df: DataFrame, by: list[str], alignment: str = "alignment") -> DataFrame:
-    """Rows (by, at, li, ri) of an alignment's pairs."""
-    return df.select(*by, F.posexplode(f"{alignment}.pairs").alias("at", "_p")).select(*by, "at", "_p.li", "_p.ri")
+    """Rows (by, at, li, ri, cost) of an alignment's pairs."""
+    return df.select(*by, F.posexplode(f"{alignment}.pairs").alias("at", "_p")).select(*by, "at", "_p.li", "_p.ri", "_p.cost")
 
 
 def alignment_counts(rows: DataFrame, by: list[str]) -> DataFrame:

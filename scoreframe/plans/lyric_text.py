@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions import lyrics
 from scoreframe.functions.text import split_bucket
-from scoreframe.operators import align
 from scoreframe.sources.tables import read
 
 #: Documents of which a word has to stand in this many, to be in the dictionary.
@@ -66,14 +65,6 @@ def verse_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("verse > 0").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("verse").cast("long").alias("verse"))
 
 
-def nw_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Each turn and the next, aligned."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", lyrics.tokens(F.col("text")).alias("t"))
-    pairs = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"])
-    out = align.align_columns(pairs, "t", "u", "tokens")
-    return out.select("conv_id", "turn", F.round("alignment.cost", 6).alias("cost"), F.size("alignment.pairs").cast("long").alias("n_entries"))
-
-
 def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select("doc_id", split_bucket(F.col("doc_id")).cast("long").alias("bucket"))
     return d.withColumn("part", F.when(F.col("bucket") < 100, "val").otherwise("train"))
@@ -123,7 +114,6 @@ QUERIES = {
         p as (select *, can and row_number() over (partition by doc_id, run order by line_no) % 2 = 1 as head from r),
         v as (select doc_id, line_no, case when head then 1 when lag(head) over (partition by doc_id order by line_no) then 2 else 0 end as verse from p)
         select doc_id, line_no, cast(verse as bigint) as verse from v where verse > 0"""),
-    "nw_tokens": (nw_tokens, None),
     "hash_split": (hash_split, """
         with h as (select doc_id, left(sha1(cast(doc_id as varchar)), 8) as h from documents)
         select doc_id, cast(list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(h, i, 1)) - 1) * (16 ** (8 - i)))) as bigint) % 1000 as bucket,

@@ -135,29 +135,6 @@ def inspect_profile(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-def nw_pitch(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers' quantity streams of neighbouring parts aligned; entries of the right alone with their bracket."""
-    note = F.struct((F.col("l_quantity").cast("int") % 7).alias("step"), F.lit(0).alias("alter"), F.floor(F.col("l_quantity") / 7).cast("int").alias("octave"))
-    n = read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", note.alias("n")))).alias("x"))
-    n = n.select("l_partkey", F.transform("x", lambda i: i["n"]).alias("notes"), F.transform("x", lambda i: i["l_orderkey"]).alias("measures"))
-    right = n.select((F.col("l_partkey") - 1).alias("l_partkey"), F.col("notes").alias("other"))
-    out = align.align_columns(n.join(right, "l_partkey"), "notes", "other", "pitches")
-    rows = out.select("l_partkey", "measures", F.posexplode("alignment.pairs").alias("at", "p")).select("l_partkey", "measures", "at", "p.li", "p.ri")
-    return align.recovery_candidates(rows, ["l_partkey"], F.when(F.col("li").isNotNull(), F.get("measures", F.col("li"))))
-
-
-def nw_measures(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders' fingerprints of neighbouring customers aligned, with what filling from the second would do."""
-    f = fingerprints(spark, sf).select("l_orderkey", F.struct("notes", "duration", "first_midi", "shape").alias("f"))
-    o = read(spark, sf, "orders").join(f, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "f"))).alias("x"))
-    o = o.select("o_custkey", F.transform("x", lambda i: i["f"]).alias("a"))
-    both = o.join(o.select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("a").alias("b")), "o_custkey")
-    rows = align.align_columns(both, "a", "b", "measures").select("o_custkey", "a", "b", F.posexplode("alignment.pairs").alias("at", "p"))
-    rows = rows.select("o_custkey", "at", "p.li", "p.ri", F.get("a", F.col("p.li"))["notes"].alias("na"), F.get("b", F.col("p.ri"))["notes"].alias("nb"))
-    scored = rows.withColumn("s", F.when(F.col("na").isNotNull() & F.col("nb").isNotNull(), 1.0 - F.try_divide(F.abs(F.col("na") - F.col("nb")), F.greatest("na", "nb", F.lit(1)))))
-    return align.fill_decision(align.neighbour_confidence(scored, ["o_custkey"], "s"), "confidence", "na", "nb").select("o_custkey", "at", "li", "ri", F.round("confidence", 6).alias("confidence"), "action")
-
-
 QUERIES = {
     "suspicious": (suspicious, f"""
         with {MEASURES},
@@ -209,6 +186,4 @@ QUERIES = {
         select event_id, coalesce(conf, 0) < 0.7 as low, label is null as blank, regexp_matches(guess, '[#+]|dim|aug') as altered, case when label is null and coalesce(conf, 0) >= 0.85 then guess else label end as accepted from x"""),
     "inspect_profile": (inspect_profile, """
         select l_suppkey, count(*) as n, count(*) filter (l_returnflag = 'R') as n_rests, min(l_quantity) as low, max(l_quantity) as high, count(distinct l_orderkey) as orders, count(distinct l_returnflag) as kinds from lineitem group by all"""),
-    "nw_pitch": (nw_pitch, None),
-    "nw_measures": (nw_measures, None),
 }

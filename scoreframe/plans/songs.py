@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreframe.operators import align, streams, truth
+from scoreframe.operators import streams, truth
 from scoreframe.plans.measures import MEASURES, _measures
 from scoreframe.sources.tables import read
 
@@ -121,18 +121,6 @@ def key_pitch(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*LINE, F.col("alter").cast("long").alias("alter"), F.col("pitches")[0].cast("long").alias("midi"), "fixed")
 
 
-def secondary_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Each customer's measures beside those of the next, by number: empty ones are filled where their neighbours agree."""
-    m = _measures(spark, sf).select(F.col("o_custkey").alias("song"), F.col("number").alias("measure"), "o_orderkey", "notes")
-    right = m.select((F.col("song") - 1).alias("song"), F.col("measure").alias("other"), F.col("notes").alias("n2"), "measure")
-    rows = m.select("song", "measure", "notes").join(right, ["song", "measure"]).withColumns({"at": F.col("measure"), "li": F.col("measure"), "ri": F.col("other"), "s": 1.0 - F.abs(F.col("notes") - F.col("n2")) / F.greatest("notes", "n2", F.lit(1))})
-    decided = align.fill_decision(align.neighbour_confidence(rows, ["song"], "s"), "confidence", "notes", "n2")
-    kind = F.when(F.col("l_returnflag") != "A", "note").otherwise("rest")
-    own = read(spark, sf, "lineitem").join(m, F.col("l_orderkey") == F.col("o_orderkey")).select("song", "measure", kind.alias("kind"), F.col("l_linenumber").cast("double").alias("start"), F.array(F.col("l_quantity").cast("int") + 40).alias("pitches"), *LINE[1:])
-    filled, _ = truth.fill_empty(decided, own, own.withColumn("song", F.col("song") - 1), ["song"])
-    return filled.where("filled").select("song", F.col("measure").cast("long").alias("measure"), *LINE[1:], F.col("pitches")[0].cast("long").alias("midi"))
-
-
 def song_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = _song(spark, sf)
     return streams.song_counts(s.measures, s.notes.select("song", "seq", "kind"), s.lyrics, s.chords)
@@ -197,13 +185,6 @@ QUERIES = {
         w as (select *, case when q % 11 = 0 then 1 else 0 end as a, case when l_returnflag = 'R' or q % 11 = 0 or l_linenumber = 5 or fifths is null then 0
             when list_contains(['F', 'C', 'G', 'D', 'A', 'E', 'B'][1:greatest(fifths, 0)], step) then 1 when list_contains(['B', 'E', 'A', 'D', 'G', 'C', 'F'][1:greatest(-fifths, 0)], step) then -1 else 0 end as d from n)
         select o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast(a + d as bigint) as alter, cast(q + 40 + d as bigint) as midi, d <> 0 as fixed from w"""),
-    "secondary_fill": (secondary_fill, f"""
-        with {MEASURES}, p as (select a.o_custkey as song, a.number as measure, a.notes as n1, b.notes as n2, b.o_orderkey as k2, 1.0::double - abs(a.notes - b.notes) / cast(greatest(a.notes, b.notes, 1) as double) as s
-            from m a join m b on b.o_custkey = a.o_custkey + 1 and b.number = a.number),
-        c as (select *, coalesce(sum(s) over (partition by song order by measure rows between 3 preceding and 1 preceding), 0.0) + coalesce(sum(s) over (partition by song order by measure rows between 1 following and 3 following), 0.0) as total,
-            count(s) over (partition by song order by measure rows between 3 preceding and 1 preceding) + count(s) over (partition by song order by measure rows between 1 following and 3 following) as n from p)
-        select song, measure, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast(cast(l_quantity as int) + 28 as bigint) as midi from c join lineitem on l_orderkey = k2
-        where n1 = 0 and n2 > 0 and n > 0 and total / n >= 0.55 and l_returnflag <> 'A'"""),
     "song_counts": (song_counts, f"""
         with {MEASURES}, l2 as (select o_custkey as song, l_returnflag <> 'R' as note, l_linestatus = 'O' as o, l_quantity > 25 as sung from m join lineitem on l_orderkey = o_orderkey),
         c as (select song, count(*) filter (note) as n_notes, count(*) filter (note and not (sung and o)) as n_naked, count(*) filter (o) as n_chord, count(*) filter (note and sung and o) as v1_lyrics, count(*) filter (note and sung and not o) as v2_lyrics from l2 group by song)

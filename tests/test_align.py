@@ -86,9 +86,9 @@ def test_many_sequences_at_once():
     rng = random.Random(4)
     items = ITEMS["tokens"]
     pairs = [tuple(np.array([rng.randrange(len(items)) for _ in range(rng.randrange(25))], np.int64) for _ in range(2)) for _ in range(300)]
-    for (a, b), (entries, total) in zip(pairs, align.align_many(items, pairs, align.token_costs, 0.6), strict=True):
+    for (a, b), (entries, each, total) in zip(pairs, align.align_many(items, pairs, align.token_costs, 0.6), strict=True):
         want, cost = plain([items[i] for i in a], [items[j] for j in b], "tokens")
-        assert [(i if i >= 0 else None, j if j >= 0 else None) for i, j in entries.tolist()] == want and total == cost
+        assert [(i if i >= 0 else None, j if j >= 0 else None) for i, j in entries.tolist()] == want and total == cost and sum(each) == pytest.approx(total)
 
 
 def test_ratios():
@@ -104,18 +104,18 @@ def test_memory_grows_with_length_alone():
 
     rng = np.random.default_rng(6)
     items, peaks = ITEMS["pitches"], []
-    for n in (1500, 6000):
+    for n in (1500, 4500):
         a, b = rng.integers(0, len(items), n), rng.integers(0, len(items), n)
         tracemalloc.start()
-        entries, _ = next(align.align_many(items, [(a, b)], align.pitch_costs, 0.5))
+        entries, _, _ = next(align.align_many(items, [(a, b)], align.pitch_costs, 0.5))
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
         assert sorted(i for i, _ in entries.tolist() if i >= 0) == list(range(n))
-    assert peaks[1] < 3 * peaks[0]
+    assert peaks[1] < 2 * peaks[0]
 
 
 def test_columns(spark):
     rows = [(1, ["a", "b"], ["a"]), (2, None, ["a", "b"]), (3, [], None), (4, ["fall", "ing"], ["falling"])]
     out = {r["id"]: r["alignment"] for r in align.align_columns(spark.createDataFrame(rows, "id int, l array<string>, r array<string>"), "l", "r", "tokens").collect()}
-    assert [tuple(p) for p in out[2]["pairs"]] == [(None, 0), (None, 1)] and out[3]["pairs"] == [] and out[3]["cost"] == 0
-    assert [tuple(p) for p in out[4]["pairs"]] == plain(rows[3][1], rows[3][2], "tokens")[0]
+    assert [tuple(p)[:2] for p in out[2]["pairs"]] == [(None, 0), (None, 1)] and out[3]["pairs"] == [] and out[3]["cost"] == 0
+    assert [tuple(p)[:2] for p in out[4]["pairs"]] == plain(rows[3][1], rows[3][2], "tokens")[0]
