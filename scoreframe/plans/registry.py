@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scoreframe.plans import alignments, chord_labels, lyric_text, measures, positions, songs
+from scoreframe.plans import alignments, chord_labels, lyric_text, measures, positions, row_readings, songs
 
-_ALL = alignments.QUERIES | positions.QUERIES | chord_labels.QUERIES | lyric_text.QUERIES | measures.QUERIES | songs.QUERIES
+_ALL = alignments.QUERIES | positions.QUERIES | chord_labels.QUERIES | lyric_text.QUERIES | measures.QUERIES | songs.QUERIES | row_readings.QUERIES
 
 
 def queries() -> dict:
