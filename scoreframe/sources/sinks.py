@@ -177,19 +177,6 @@ def write_new(df: DataFrame, folder: str) -> None:
     df.write.mode("errorifexists").partitionBy("song").text(folder)
 
 
-def extend_cache(spark: SparkSession, folder: str, fresh: DataFrame, key: str) -> DataFrame:
-    """Append rows whose key the cache lacks, and return what was appended; a missing cache is made."""
-    try:
-        known = spark.read.parquet(folder).select(key)
-        new = fresh.dropDuplicates([key]).join(known, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = fresh.dropDuplicates([key])
-    new.write.mode("append").parquet(folder)
-    return new
-
-
 def recognise(images: DataFrame, model: Callable[[list[bytes]], list[tuple[str, float]]], content: str, cache: DataFrame | None = None) -> DataFrame:
     """images with chord and conf. Equal images are recognised once, and those of the cache (id, chord, conf) not at all."""
     from scoreframe.functions.text import content_id

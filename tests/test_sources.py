@@ -97,8 +97,6 @@ def test_small_sources(spark, folder):
 def test_sinks(spark, tmp_path):
     flags = spark.createDataFrame([("s", 2, "r", None), ("s", 1, "r", "d")], "song string, measure int, reason string, detail string")
     assert sinks.flags_markdown(flags).first()["value"].splitlines()[2] == "| 1 | r | d |"
-    fresh = spark.createDataFrame([("k1", 1), ("k1", 1), ("k2", 2)], "id string, v int")
-    assert sinks.extend_cache(spark, str(tmp_path / "cache"), fresh, "id").count() == 2 and sinks.extend_cache(spark, str(tmp_path / "cache"), fresh, "id").count() == 0
     asked = io.StringIO()
 
     def model(images):
