@@ -115,22 +115,29 @@ def insert_specific(present: DataFrame, more: DataFrame, by: list[str], order: l
 
 def redistribute(harmonies: DataFrame, glyphs: DataFrame, by: list[str], order: list[str], key: str, offset: str, length: str, frac: str) -> DataFrame:
     """Rows (by, order, key, offset, moved): rows of a group that share an offset go, in order, to the nearest free place that a glyph
-    of the same key shows (frac * length on quarter beats); others stay. A group is one measure."""
-    places = glyphs.where(F.col(frac).isNotNull()).groupBy(*by, key).agg(F.collect_list(F.struct(F.col(frac).alias("f"))).alias("_places"))
-    rows = harmonies.join(places, [*by, key], "left").withColumn("_same", F.count("*").over(Window.partitionBy(*by, offset))).withColumn("_lead", F.min(F.struct(*order)).over(Window.partitionBy(*by, offset)))
-    snapped = F.transform(F.transform(F.array_sort(F.coalesce("_places", F.array().cast(rows.schema["_places"].dataType))), lambda p: p["f"]), lambda f: F.bround(f * F.col(length) * 4, 0) / 4.0)
-    item = F.struct(F.col("_lead"), *[F.col(c) for c in order], F.col(key).alias("k"), F.col(offset).cast("double").alias("o"), (F.col("_same") > 1).alias("s"), snapped.alias("p"))
-    items = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.collect_set(F.col(offset).cast("double")).alias("_taken"))
+    of the same key shows (frac * length on quarter beats; the earlier of two equally near); others stay.
+
+    Places are quarter beats of a measure, so each row looks at as many as its measure has at most, whatever the number of glyphs. Only rows that share an
+    offset and have a place to go enter the fold, which keeps the taken places and what moved; the others stay as rows.
+    """
+    place = (F.bround(F.col(frac) * F.col("_len") * 4, 0) / 4.0).alias("p")
+    lengths = harmonies.groupBy(*by).agg(F.max(length).alias("_len"))
+    places = glyphs.where(F.col(frac).isNotNull()).join(lengths, by).groupBy(*by, key).agg(F.array_sort(F.collect_set(place)).alias("_places"))
+    w = Window.partitionBy(*by, offset)
+    rows = harmonies.select(*by, *order, key, F.col(offset).cast("double").alias(offset)).withColumns({"_same": F.count("*").over(w), "_lead": F.min(F.struct(*order)).over(w)})
+    rows = rows.join(places, [*by, key], "left").withColumn("_may", (F.col("_same") > 1) & F.col("_places").isNotNull())
+    item = F.struct("_lead", *order, F.col(key).alias("k"), F.col(offset).alias("o"), F.col("_places").alias("p"))
+    items = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("_may"), item))).alias("_items"), F.collect_set(offset).alias("_taken")).where(F.size("_items") > 0)
 
     def step(acc, i):
         free = F.filter(i["p"], lambda q: (q != i["o"]) & ~F.array_contains(acc["taken"], q))
         best = F.aggregate(free, F.lit(None).cast("double"), lambda b, q: F.when(b.isNull() | (F.abs(q - i["o"]) < F.abs(b - i["o"])), q).otherwise(b))
-        move = i["s"] & best.isNotNull()
-        taken = F.when(move, F.array_append(F.array_remove(acc["taken"], i["o"]), best)).otherwise(acc["taken"])
-        done = F.struct(*[i[c].alias(c) for c in order], i["k"].alias("k"), F.when(move, best).otherwise(i["o"]).alias("o"), move.alias("m"))
+        taken = F.when(best.isNotNull(), F.array_append(F.array_remove(acc["taken"], i["o"]), best)).otherwise(acc["taken"])
+        done = F.struct(*[i[c].alias(c) for c in order], i["k"].alias("k"), F.coalesce(best, i["o"]).alias("o"), best.isNotNull().alias("m"))
         return F.struct(taken.alias("taken"), F.concat(acc["done"], F.array(done)).alias("done"))
 
-    types = ", ".join(f"{c}: {dict(rows.dtypes)[c]}" for c in order)
-    start = F.struct(F.col("_taken").alias("taken"), F.array().cast(f"array<struct<{types}, k: string, o: double, m: boolean>>").alias("done"))
+    types = dict(rows.dtypes)
+    start = F.struct(F.col("_taken").alias("taken"), F.array().cast(f"array<struct<{', '.join(f'{c}: {types[c]}' for c in order)}, k: {types[key]}, o: double, m: boolean>>").alias("done"))
     folded = items.select(*by, F.explode(F.aggregate("_items", start, step, lambda acc: acc["done"])).alias("_i"))
-    return folded.select(*by, *[F.col(f"_i.{c}") for c in order], F.col("_i.k").alias(key), F.col("_i.o").alias(offset), F.col("_i.m").alias("moved"))
+    moved = folded.select(*by, *[F.col(f"_i.{c}") for c in order], F.col("_i.k").alias(key), F.col("_i.o").alias(offset), F.col("_i.m").alias("moved"))
+    return moved.unionByName(rows.where(~F.col("_may")).select(*by, *order, key, offset, F.lit(False).alias("moved")))

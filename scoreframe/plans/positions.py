@@ -204,5 +204,20 @@ QUERIES = {
         with p as (select l_orderkey, l_suppkey, count(*) as n_lines, sum(l_quantity) as quantity from lineitem group by all)
         select * from p qualify row_number() over (partition by l_orderkey order by n_lines desc, quantity desc, l_suppkey desc) = 1"""),
     "snap_grid": (snap_grid, "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round_even(l_discount * l_quantity * 4, 0) / 4.0 as snapped from lineitem"),
-    "redistribute": (redistribute, None),
+    "redistribute": (redistribute, """
+        with recursive n as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag as flag, l_tax, cast(floor(l_discount * 40) as double) as pos from lineitem),
+        place as (select l_orderkey, flag, list_sort(list_distinct(list(round_even(l_tax * 10 * 4.0::double * 4, 0) / 4.0::double))) as p from n group by all),
+        taken as (select l_orderkey, list_distinct(list(pos)) as t from n group by all),
+        s as (select *, count(*) over w > 1 as same, min(row(l_linenumber, l_partkey, l_suppkey)) over w as lead from n window w as (partition by l_orderkey, pos)),
+        i as (select s.*, p, row_number() over (partition by l_orderkey order by lead, l_linenumber, l_partkey, l_suppkey) as rn from s join place using (l_orderkey, flag) where same),
+        fold as (
+            select l_orderkey, cast(0 as bigint) as rn, t, cast(null as integer) as l_linenumber, cast(null as bigint) as l_partkey, cast(null as bigint) as l_suppkey, '' as flag, cast(null as double) as pos, cast(null as double) as best from taken
+            union all
+            select l_orderkey, rn, case when best is null then t else list_append(list_filter(t, lambda x: x <> pos), best) end, l_linenumber, l_partkey, l_suppkey, flag, pos, best
+            from (select i.l_orderkey, i.rn, f.t, i.l_linenumber, i.l_partkey, i.l_suppkey, i.flag, i.pos,
+                list_filter(list_sort(list_transform(list_filter(i.p, lambda q: q <> i.pos and not list_contains(f.t, q)), lambda q: [abs(q - i.pos), q])), lambda q: true)[1][2] as best
+                from fold f join i on i.l_orderkey = f.l_orderkey and i.rn = f.rn + 1)
+        )
+        select l_orderkey, l_linenumber, l_partkey, l_suppkey, flag, coalesce(best, pos) as "at", best is not null as moved from fold where rn > 0
+        union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, flag, pos as "at", false from s where not same"""),
 }
