@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,50 +94,69 @@ def open_ligatures(token: Column) -> Column:
     return token
 
 
+def fewest_pieces(length: int, pieces: list[tuple[int, int]]) -> list[int] | None:
+    """Where the pieces of the shortest chain from 0 to length begin, of pieces (end, start); of chains of one length that whose last piece begins first, and so on back; None if there is none."""
+    best: list[tuple[int, int] | None] = [None] * (length + 1)
+    best[0] = (0, 0)
+    for end, start in sorted(pieces):
+        before = best[start]
+        if before is not None and (best[end] is None or before[0] + 1 < best[end][0]):
+            best[end] = (before[0] + 1, start)
+    if best[length] is None:
+        return None
+    out, at = [], length
+    while at:
+        at = best[at][1]
+        out.append(at)
+    return out[::-1]
+
+
 def segment(core: str, words: frozenset[str]) -> list[str] | None:
-    """The fewest dictionary words that make up core, those found first on ties; None if there is no way or core is one itself."""
+    """The fewest dictionary words that make up core; None if there is no way or core is one itself. For one token and a dictionary at hand; split_merged is for tables."""
     if len(core) < SHORTEST_MERGED or core in words:
         return None
-    best: list[list[str] | None] = [[]]
-    for end in range(1, len(core) + 1):
-        found = None
-        for start in range(max(0, end - LONGEST_PIECE), end - SHORTEST_PIECE + 1):
-            before = best[start]
-            if before is not None and core[start:end] in words and (found is None or len(before) + 1 < len(found)):
-                found = [*before, core[start:end]]
-        best.append(found)
-    return best[-1] if best[-1] and len(best[-1]) > 1 else None
+    spans = [(end, start) for end in range(1, len(core) + 1) for start in range(max(0, end - LONGEST_PIECE), end - SHORTEST_PIECE + 1) if core[start:end] in words]
+    starts = fewest_pieces(len(core), spans)
+    return [core[a:b] for a, b in zip(starts, [*starts[1:], len(core)], strict=True)] if starts and len(starts) > 1 else None
+
+
+#: A token's marks, its core of letters and apostrophes, and the marks after; what follows is dropped.
+MERGED = r"^([^A-Za-z']*)([A-Za-z'][A-Za-z']*)([^A-Za-z']*)"
 
 
-def split_merged(df: DataFrame, token: str, words: DataFrame, out: str = "split", limit: int = 2_000_000) -> DataFrame:
-    """df with the column out: tokens of merged words with spaces between, others as they are.
+def merged_splits(tokens: DataFrame, token: str, words: DataFrame) -> DataFrame:
+    """Rows (token, split) of those distinct tokens that are merged words: with spaces between the fewest words of the dictionary that make them up.
 
-    words has one column. It goes to every worker, so it may have limit rows at most; a larger one raises ValueError.
+    Every stretch of a token that can be a word meets the dictionary in a join, so neither has a bound on its size; what matches, a few stretches
+    a letter, gives the best split.
     """
-    found = [r[0] for r in words.where(F.col(words.columns[0]).isNotNull()).limit(limit + 1).toLocalIterator()]
-    if len(found) > limit:
-        raise ValueError(f"a dictionary of more than {limit} words")
-    dictionary = frozenset(found)
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-
-        shape = re.compile(r"([^A-Za-z']*)([A-Za-z'][A-Za-z']*)([^A-Za-z']*)")
-
-        def one(t):
-            m = shape.match(t) if t is not None else None
-            pieces = segment(m[2].lower(), dictionary) if m else None
-            if not pieces:
-                return t
-            if m[2][0].isupper():
-                pieces = [pieces[0].capitalize(), *pieces[1:]]
-            return m[1] + " ".join(pieces) + m[3]
-
-        for s in parts:
-            yield s.map(one, na_action=None)
-
-    return df.withColumn(out, run(F.col(token)))
+    core = F.lower(F.regexp_extract(token, MERGED, 2))
+    word = words.where(F.col(words.columns[0]).isNotNull()).select(F.col(words.columns[0]).alias("_w")).distinct()
+    cores = tokens.select(core.alias("_core")).where(F.length("_core") >= SHORTEST_MERGED).distinct().join(word, F.col("_core") == F.col("_w"), "left_anti")
+    starts = F.explode(F.sequence(F.lit(0), F.length("_core") - SHORTEST_PIECE))
+    sizes = F.explode(F.sequence(F.lit(SHORTEST_PIECE), F.least(F.lit(LONGEST_PIECE), F.length("_core") - F.col("_s"))))
+    pieces = cores.withColumn("_s", starts).withColumn("_n", sizes).select("_core", "_s", "_n", F.substring("_core", F.col("_s") + 1, F.col("_n")).alias("_w"))
+    found = pieces.join(word, "_w").groupBy("_core").agg(F.collect_list(F.struct((F.col("_s") + F.col("_n")).alias("end"), F.col("_s").alias("start"))).alias("_found"))
+
+    @F.arrow_udf("array<int>")
+    def chain(length: pa.Array, found: pa.Array) -> pa.Array:
+        rows = zip(length.to_pylist(), found.to_pylist(), strict=True)
+        return pa.array([fewest_pieces(n, [(p["end"], p["start"]) for p in f]) for n, f in rows], pa.list_(pa.int32()))
+
+    chained = found.withColumn("_starts", chain(F.length("_core"), F.col("_found"))).where(F.size("_starts") > 1).select("_core", "_starts")
+    known = tokens.select(F.col(token).alias("token")).distinct().withColumn("_core", F.lower(F.regexp_extract("token", MERGED, 2)))
+    raw = F.regexp_extract("token", MERGED, 2)
+    head = F.when(raw.rlike("^[A-Z]"), F.concat(F.upper(F.substring("_core", 1, 1)), F.substring("_core", F.lit(2), F.length("_core")))).otherwise(F.col("_core"))
+    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts") - 1), F.array(F.length("_core")))
+    parts = F.zip_with("_starts", ends, lambda a, b: F.substring(F.col("_head"), a + 1, b - a))
+    out = known.join(chained, "_core").withColumn("_head", head)
+    return out.select("token", F.concat(F.regexp_extract("token", MERGED, 1), F.array_join(parts, " "), F.regexp_extract("token", MERGED, 3)).alias("split"))
+
+
+def split_merged(df: DataFrame, token: str, words: DataFrame, out: str = "split") -> DataFrame:
+    """df with the column out: tokens of merged words with spaces between, others as they are, null for null. words has one column of lower-cased words."""
+    splits = merged_splits(df, token, words).withColumnsRenamed({"token": "_merged", "split": "_parted"})
+    return df.join(splits, F.col(token) == F.col("_merged"), "left").withColumn(out, F.coalesce("_parted", token)).drop("_merged", "_parted")
 
 
 def polish(df: DataFrame, token: str, words: DataFrame, out: str = "polished") -> DataFrame:

@@ -53,11 +53,10 @@ def contractions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Three words of the dictionary run together, taken apart again; a split may differ from how it was put together, but is of words."""
-    e = read(spark, sf, "benchmark").select("item_id", F.filter(lyrics.tokens(F.col("text")), lambda t: F.length(t) > 2).alias("t")).where("size(t) > 3")
-    glued = e.select("item_id", F.lower(F.concat(F.col("t")[0], F.col("t")[1], F.col("t")[2])).alias("token"))
-    words = e.select(F.explode("t").alias("w")).select(F.lower("w").alias("w")).distinct()
-    return lyrics.polish(glued, "token", words)
+    """The different tokens of all documents that polishing changes, with the number of their places: merged words of the corpus dictionary, and contractions."""
+    t = read(spark, sf, "documents").select(F.explode(lyrics.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    out = lyrics.polish(t, "token", _dictionary(spark, sf))
+    return out.where("polished <> token").select("token", "n", "polished")
 
 
 def verse_pairing(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,6 +72,9 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
 TOKENS = "list_transform(regexp_extract_all(translate(replace(replace({0}, '’', ''''), ' - ', ' '), '_', ' '), '[A-Za-z][A-Za-z''’]*'), lambda t: case when length(t) - length(replace(t, '''', '')) > 1 then replace(t, '''', '') || '''' else t end)"
 LINES = "lines as (select doc_id, cast(i - 1 as bigint) as line_no, string_split(text, chr(10))[i] as line from documents, lateral (select unnest(range(1, len(string_split(text, chr(10))) + 1)) as i))"
 DICTIONARY = f"dictionary as (select word from (select doc_id, unnest(list_distinct(list_transform({TOKENS.format('text')}, lambda t: lower(t)))) as word from documents) group by word having count(*) >= {DICTIONARY_DOCS})"
+_LIGATURES = "token"
+for _a, _b in lyrics.LIGATURES.items():
+    _LIGATURES = f"replace({_LIGATURES}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 EDGES = ".,;:!?\"''’()[]-_"
 
 QUERIES = {
@@ -103,7 +105,35 @@ QUERIES = {
             case when s_suppkey % 3 = 0 then ',' else '' end as mark from supplier)
         select s_suppkey, case when s_suppkey % 2 = 0 then upper(left(w, 1)) || substr(w, 2) else w end || mark as token,
             case when s_suppkey % 2 = 0 then upper(left(f, 1)) || substr(f, 2) else f end || mark as fixed from w"""),
-    "merged_words": (merged_words, None),
+    "merged_words": (merged_words, f"""
+        with recursive {DICTIONARY}, t as (select token, count(*) as n from (select unnest({TOKENS.format('text')}) as token from documents) group by token),
+        fix as (select unnest([{', '.join("'" + k + "'" for k in lyrics.CONTRACTIONS)}]) as a, unnest([{', '.join("'" + v.replace("'", "''") + "'" for v in lyrics.CONTRACTIONS.values())}]) as b),
+        o as (select token, n, {_LIGATURES} as o from t), c as (select o.*, regexp_extract(o, '^([A-Za-z'']+)', 1) as word from o),
+        f as (select token, n, case when b is null then o when regexp_matches(word, '^[A-Z]') then upper(left(b, 1)) || substr(b, 2) || substr(o, length(word) + 1) else b || substr(o, length(word) + 1) end as fixed from c left join fix on a = lower(word)),
+        g as (select *, regexp_extract(fixed, '^([^A-Za-z'']*)([A-Za-z''][A-Za-z'']*)([^A-Za-z'']*)', 2) as core from f),
+        core as (select distinct lower(core) as core, length(core) as len from g where length(core) >= 6 and lower(core) not in (select word from dictionary)),
+        piece as (select core, s + k as e, s from core, lateral (select unnest(range(0, len - 1)) as s), lateral (select unnest(range(2, least(15, len - s) + 1)) as k) where substr(core, s + 1, k) in (select word from dictionary)),
+        chain as (
+            select core, 0 as e, [[0, 0]] as best from core
+            union all
+            select core, e, list_append(best, found) from (
+                select c.core, c.e + 1 as e, c.best, list_min(list_transform(list_filter(p.starts, lambda s: c.best[s + 1] is not null), lambda s: [c.best[s + 1][1] + 1, s])) as found
+                from chain c left join (select core, e, list(s) as starts from piece group by core, e) p on p.core = c.core and p.e = c.e + 1 where c.e < length(c.core)
+            )
+        ),
+        back as (
+            select core, e as pos, best, [] :: integer[] as starts from chain where e = length(core) and best[e + 1] is not null and best[e + 1][1] > 1
+            union all
+            select core, best[pos + 1][2], best, list_prepend(cast(best[pos + 1][2] as integer), starts) from back where pos > 0
+        ),
+        split as (select core, starts, list_append(starts[2:], length(core)) as ends from back where pos = 0),
+        h as (select g.*, starts, ends, case when regexp_matches(g.core, '^[A-Z]') then upper(left(split.core, 1)) || substr(split.core, 2) else split.core end as head from g left join split on split.core = lower(g.core)),
+        parts as (select token, n, fixed, case when starts is null then [fixed] else list_transform(range(1, len(starts) + 1), lambda i: substr(head, starts[i] + 1, ends[i] - starts[i])) end as parts from h),
+        each as (select token, n, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as i from parts),
+        w as (select *, regexp_extract(part, '^([A-Za-z'']+)', 1) as word from each),
+        again as (select token, n, i, case when b is null then part when regexp_matches(word, '^[A-Z]') then upper(left(b, 1)) || substr(b, 2) || substr(part, length(word) + 1) else b || substr(part, length(word) + 1) end as part from w left join fix on a = lower(word)),
+        p as (select token, any_value(n) as n, string_agg(part, ' ' order by i) as polished from again group by token)
+        select * from p where polished <> token"""),
     "verse_pairing": (verse_pairing, f"""
         with {LINES}, s as (select doc_id, line_no, list_transform(list_filter({TOKENS.format('line')}, lambda t: length(t) >= 2), lambda t: lower(left(t, 2))) as sig from lines),
         n as (select *, lead(sig) over (partition by doc_id order by line_no) as nxt from s),
