@@ -7,6 +7,7 @@ and a file that can't be read gives a row of its error instead of stopping the r
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -110,6 +111,11 @@ def _bounds(el: ElementTree.Element) -> tuple[float | None, ...]:
 
 
 def _sheet_rows(df: DataFrame, schema: str, parse: Callable[[ElementTree.Element], Iterable[tuple]]) -> DataFrame:
+    """Rows of whole projects (song, content), or of single sheets (song, sheet, xml) as archives.sheets reads them."""
+    if "xml" in df.columns:
+        read = df.where("xml is not null").select(F.to_json(F.struct("song", "sheet")).alias("song"), F.col("xml").alias("content"))
+        one = lambda key, xml: ((json.loads(key).get("song"), json.loads(key).get("sheet"), *row) for row in parse(ElementTree.fromstring(xml)))
+        return _rows(read, schema, one)
     return _rows(df, schema, lambda song, content: ((song, k, *row) for k, xml in sheets(content) for row in parse(ElementTree.fromstring(xml))))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.operators import heads, locate
 from scoreframe.plans import recovery, reducer
-from scoreframe.sources import score_files, sinks
+from scoreframe.sources import archives, score_files, sinks
 from scoreframe.streaming import extensions
 
 SHEET = """<sheet><staff id="1"><line><point y="100"/><point y="102"/></line><line><point y="140"/></line></staff>
@@ -48,6 +48,37 @@ def folder(tmp_path_factory):
     return at
 
 
+def test_sheets_by_range(spark, folder, tmp_path):
+    """A partition a sheet; what can't be read gives a row of its own, and the rest of its archive is read."""
+    for f in ("one.omr", "broken.omr"):
+        (tmp_path / f).write_bytes((folder / f).read_bytes())
+    (tmp_path / "sub").mkdir()
+    with zipfile.ZipFile(tmp_path / "sub" / "two.omr", "w", zipfile.ZIP_DEFLATED) as z:
+        for n, xml in ((3, SHEET), (1, SHEET), (2, "<sheet"), (4, SHEET)):
+            z.writestr(f"sheet#{n}/sheet#{n}.xml", xml, zipfile.ZIP_STORED if n == 4 else None)
+    raw = bytearray((tmp_path / "sub" / "two.omr").read_bytes())
+    raw[raw.rindex(SHEET.encode()[:30]) + 20] ^= 1
+    (tmp_path / "sub" / "two.omr").write_bytes(raw)
+    (tmp_path / "cut.omr").write_bytes(raw[:200])
+    with zipfile.ZipFile(tmp_path / "none.omr", "w") as z:
+        z.writestr("x.txt", "")
+    s = archives.sheets(spark, str(tmp_path))
+    got = sorted((r["song"], r["sheet"] or 0, r["status"].split(":")[0], r["xml"] is not None) for r in s.collect())
+    assert got == [
+        ("broken", 0, "no ZIP directory", False), ("cut", 0, "no ZIP directory", False), ("none", 0, "no sheets", False), ("one", 1, "ok", True), ("one", 2, "ok", True), ("one", 10, "ok", True),
+        ("two", 1, "ok", True), ("two", 2, "ParseError", False), ("two", 3, "ok", True), ("two", 4, "ValueError", False),
+    ]
+    assert s.rdd.getNumPartitions() == 10
+    assert {r["song"]: (r["n_sheets"], r["n_failed"], r["status"]) for r in archives.outcomes(s).collect()} == {"broken": (0, 1, "failed"), "cut": (0, 1, "failed"), "none": (0, 1, "failed"), "one": (3, 0, "ok"), "two": (2, 2, "partial")}
+    assert {r["song"]: r["error"] for r in archives.outcomes(s).collect()}["one"] is None
+    whole = score_files.files(spark, str(folder), "one.omr")
+    for read in (score_files.glyphs, score_files.barlines, score_files.sheet_sizes, score_files.heads):
+        assert sorted(map(tuple, read(s.where("song = 'one'")).collect()), key=repr) == sorted(map(tuple, read(whole).collect()), key=repr)
+    every = archives.SheetReader(str(tmp_path), "*.omr")
+    want = sorted((r[0], r[1] or 0, r[4]) for p in every.partitions() for r in every.read(p))
+    assert sorted((r[0], r[1] or 0, r[4]) for p in archives.archives(str(tmp_path), "*.omr") for r in every.read(archives.Member(p))) == want
+
+
 def test_project(spark, folder):
     p = score_files.files(spark, str(folder), "*.omr")
     assert [r["song"] for r in score_files.unreadable(p).collect()] == ["broken"]
