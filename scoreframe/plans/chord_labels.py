@@ -18,58 +18,69 @@ vocabulary as (
     select r || a || s from unnest(['C', 'D', 'E', 'F', 'G', 'A', 'B']) t1(r), unnest(['', '#', 'b']) t2(a), unnest(['7(b5)', '7(b9)', '7(6)', '9(6)', '7sus4']) t3(s)
 )"""
 
-PARSED = """
-s0 as (select label, regexp_extract(label, '^([A-G][#b]?)', 1) as spelled from vocabulary),
-s1 as (select label, coalesce(map {'Db': 'C#', 'Eb': 'D#', 'Gb': 'F#', 'Ab': 'G#', 'Bb': 'A#'}[spelled], spelled) as root, substr(label, length(spelled) + 1) as tail from s0),
-s2 as (select label, root, case when regexp_extract(tail, '\\(([b#]?\\d)\\)', 1) in ('b5', '#5', 'b9', '#9') then regexp_extract(tail, '\\(([b#]?\\d)\\)', 1) else 'none' end as alteration,
-    regexp_replace(tail, '\\([b#]?\\d\\)', '') as rest from s1),
-s3 as (select *, case
-    when rest in ('0', 'h', 'm7b5', '-7b5') then ['half-dim', '', 'none']
-    when suffix(rest, '97') then ['7', left(rest, length(rest) - 2), '9_over_7']
-    when rest in ('9', '11', '13') then ['major', '', rest]
-    when rest = '' then ['major', '', 'none']
-    when rest in ('m', '-', 'mi', 'min') then ['minor', '', 'none']
-    when starts_with(rest, 'maj7') then ['maj7', substr(rest, 5), 'none']
-    when starts_with(rest, 't7') or starts_with(rest, 'M7') then ['maj7', substr(rest, 3), 'none']
-    when rest in ('t', 'M') then ['maj7', '', 'none']
-    when starts_with(rest, 'm7') or starts_with(rest, '-7') then ['m7', substr(rest, 3), 'none']
-    when rest in ('dim', 'o') then ['dim', '', 'none']
-    when starts_with(rest, 'dim7') then ['dim7', substr(rest, 5), 'none']
-    when starts_with(rest, 'o7') then ['dim7', substr(rest, 3), 'none']
-    when starts_with(rest, 'dim') then ['dim', substr(rest, 4), 'none']
-    when starts_with(rest, 'aug') then ['aug', substr(rest, 4), 'none']
-    when rest = '+' then ['aug', '', 'none']
-    when starts_with(rest, 'sus') then ['sus', substr(rest, 4), 'none']
-    when rest in ('m6', '-6') then ['m6', '', 'none']
-    when rest = '6' then ['6', '', 'none']
-    when starts_with(rest, '7') then ['7', substr(rest, 2), 'none']
-    else ['major', rest, 'none'] end as l from s2),
-parsed as (select label, root, l[1] as quality, case when l[2] in ('9', '11', '13') then l[2] else l[3] end as extension, alteration from s3
-    where root in ('C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'))"""
+BODIES = ("", "m", "-", "mi", "min", "maj7", "t7", "M7", "t", "M", "m7", "-7", "m7b5", "-7b5", "0", "h", "dim", "o", "dim7", "o7", "aug", "+", "sus", "sus4", "m6", "-6", "6", "7", "Δ", "ø", "°7", "maj", "m9", "6/9")
+ENDS = ("", "", "9", "11", "13", "(b5)", "(#9)", "(6)", "97", "+", "x")
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _pick_sql(values, digits: str) -> str:
+    return f"{_list_sql(values)}[{digits} % {len(values)} + 1]"
+
+
+#: Parts with a label each, put together by their keys.
+LABELS = f"""
+labels as (select p_partkey, {_pick_sql(chords.VOCABULARY_ROOTS, 'p_partkey')} || {_pick_sql(chords.VOCABULARY_MARKS, 'p_partkey // 7')} || {_pick_sql(BODIES, 'p_partkey // 3')} || {_pick_sql(ENDS, 'p_partkey // 5')} as label from part)"""
+
+
+def _map_sql(values: dict[str, str]) -> str:
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+PARSED = f"""
+s0 as (select p_partkey, label, translate(label, '{chords.GLYPHS}', '{chords.ASCII}') as s from labels),
+s1 as (select *, regexp_extract(s, '^([A-G][#b]?)', 1) as spelled from s0),
+s2 as (select *, coalesce({_map_sql(chords.FLAT_TO_SHARP)}[spelled], spelled) as root, substr(s, length(spelled) + 1) as tail from s1),
+s3 as (select *, regexp_extract(tail, '{chords.BRACKET}', 1) as bracket, regexp_replace(tail, '{chords.BRACKET}', '') as rest from s2),
+s4 as (select *, suffix(rest, '{chords.STACK}') as stacked, regexp_extract(rest, '{chords.WHOLE_PATTERN}', 1) as whole, regexp_extract(rest, '{chords.OPEN_PATTERN}', 1) as opened from s3),
+s5 as (select *, case when stacked then '7' else coalesce({_map_sql(chords.WHOLE)}[whole], {_map_sql(chords.OPEN)}[opened], 'major') end as quality,
+    case when stacked then left(rest, length(rest) - 2) when whole = '' then substr(rest, length(opened) + 1) end as after from s4),
+parsed as (select p_partkey, label, root, quality, case when after in ('9', '11', '13') then after when stacked then '9_over_7' else 'none' end as extension,
+    case when list_contains({_list_sql(chords.ALTERATIONS)}, bracket) then bracket else 'none' end as alteration from s5 where list_contains({_list_sql(chords.ROOTS)}, root))"""
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values) + 1).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", F.concat(pick(chords.VOCABULARY_ROOTS, 1), pick(chords.VOCABULARY_MARKS, 7), pick(BODIES, 3), pick(ENDS, 5)).alias("label"))
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return chords.vocabulary(spark)
+    """How many parts bear each label of the vocabulary."""
+    n = _labels(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+    return chords.vocabulary(spark).join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def _parsed(spark: SparkSession) -> DataFrame:
-    p = chords.vocabulary(spark).select("label", chords.parse(F.col("label")).alias("p")).where("p is not null")
-    return p.select("label", "p.root", "p.quality", "p.extension", "p.alteration")
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    p = _labels(spark, sf).select("p_partkey", "label", chords.parse(F.col("label")).alias("p")).where("p is not null")
+    return p.select("p_partkey", "label", "p.root", "p.quality", "p.extension", "p.alteration")
 
 
 def parse_chord(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark)
+    return _parsed(spark, sf)
 
 
 def format_chord(spark: SparkSession, sf: str) -> DataFrame:
     f = [F.col(c) for c in ("root", "quality", "extension", "alteration")]
-    return _parsed(spark).select("label", chords.spell(*f).alias("symbolic"), chords.spell(*f, style="textual").alias("textual"))
+    return _parsed(spark, sf).select("p_partkey", chords.spell(*f).alias("symbolic"), chords.spell(*f, style="textual").alias("textual"))
 
 
 def normalisers(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("label")
-    return chords.vocabulary(spark).select(
-        "label", chords.normal_key(F.concat(F.lit(" "), v)).alias("spaced_key"), chords.normal_key(v).alias("plain_key"), chords.figure(v).alias("figure"),
+    return _labels(spark, sf).select(
+        "p_partkey", chords.normal_key(F.concat(F.lit(" "), v)).alias("spaced_key"), chords.normal_key(v).alias("plain_key"), chords.figure(v).alias("figure"),
         text.safe_filename(v).alias("file_name"), text.safe_filename(v, True).alias("synthetic_name"), text.label_of_filename(text.safe_filename(v)).alias("back"),
         text.short_id(v).alias("short_id"), chords.is_chord_token(v).alias("is_token"), chords.fix_root_case(F.lower(v)).alias("cased"),
     )
@@ -94,42 +105,41 @@ def key_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def degree_form_drop(spark: SparkSession, sf: str) -> DataFrame:
-    p = _parsed(spark).withColumn("letter", F.substring("root", 1, 1)).withColumn("beat", F.length("label") % 2).withColumn("n_degrees", F.when(F.col("alteration") != "none", 1).otherwise(0))
-    out = coverage.drop_degree_forms(p.where("quality in ('7', 'm7')"), ["quality"], "beat", "letter", "n_degrees")
-    return out.select("label", "quality", "letter", F.col("n_degrees").cast("long").alias("n_degrees"))
+    """Forty parts in a row are a measure of four beats."""
+    p = _parsed(spark, sf).withColumns({"letter": F.substring("root", 1, 1), "measure": F.floor(F.col("p_partkey") / 40), "beat": F.col("p_partkey") % 4, "n_degrees": F.when(F.col("alteration") != "none", 1).otherwise(0)})
+    out = coverage.drop_degree_forms(p, ["measure"], "beat", "letter", "n_degrees")
+    return out.select("p_partkey", "letter", F.col("n_degrees").cast("long").alias("n_degrees"))
 
 
 def bare_root_drop(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels dealt over eight measures by their length and letter; x follows the label's id."""
-    v = chords.vocabulary(spark).select("label", (F.length("label") * 7 + F.ascii("label")).alias("x0"))
-    v = v.select("label", (F.col("x0") % 3).cast("long").alias("measure"), (F.col("x0") * 13 % 701).cast("double").alias("x"))
-    return coverage.drop_bare_roots(v, ["measure"], "label", "x", F.col("x") % 2 == 0, 40.0).select("label", "measure", "x")
+    """Sixty parts in a row are a measure, and their keys places in it; those of even places were read from the row."""
+    v = _labels(spark, sf).select("p_partkey", "label", F.floor(F.col("p_partkey") / 60).alias("measure"), (F.col("p_partkey") * 13 % 701).cast("double").alias("x"))
+    return coverage.drop_bare_roots(v, ["measure"], "label", "x", F.col("x") % 2 == 0, 200.0).select("p_partkey", "label", "measure", "x")
 
 
 def specificity_insert(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders are measures, and empty at first; their lines' longer or shorter labels come in."""
+    """Orders are measures; lines with a number of three's multiple are there before, and the others' longer or shorter labels come in."""
     line = read(spark, sf, "lineitem")
     key = F.substring(F.concat("l_returnflag", "l_linestatus", F.lit("7")), F.lit(1), (F.col("l_partkey") % 3 + 1).cast("int"))
     line = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", key.alias("k"), F.round(F.col("l_tax") * 20, 3).alias("o"))
-    return coverage.insert_specific(line.limit(0), line, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "k", "o")
+    there = F.col("l_linenumber") % 3 == 0
+    return coverage.insert_specific(line.where(there), line.where(~there), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "k", "o")
 
 
 QUERIES = {
-    "chord_vocabulary": (vocabulary, f"with {VOCABULARY} select label from vocabulary"),
-    "parse_chord": (parse_chord, f"with {VOCABULARY}, {PARSED} select * from parsed"),
+    "chord_vocabulary": (vocabulary, f"with {VOCABULARY}, {LABELS} select label, count(p_partkey) as n from vocabulary left join labels using (label) group by label"),
+    "parse_chord": (parse_chord, f"with {LABELS}, {PARSED} select * from parsed"),
     "format_chord": (format_chord, f"""
-        with {VOCABULARY}, {PARSED},
-        f as (select *, map {{'major': '', 'minor': '-', '7': '7', 'maj7': 't', 'm7': '-7', 'dim': 'o', 'dim7': 'o7', 'aug': '+', 'sus': 'sus', '6': '6', 'm6': '-6', 'half-dim': '0'}}[quality] as sy,
-            map {{'major': '', 'minor': 'm', '7': '7', 'maj7': 'maj7', 'm7': 'm7', 'dim': 'dim', 'dim7': 'dim7', 'aug': 'aug', 'sus': 'sus', '6': '6', 'm6': 'm6', 'half-dim': 'm7b5'}}[quality] as tx,
-            case when alteration = 'none' then '' else '(' || alteration || ')' end as alt from parsed)
-        select label, case when extension = '9_over_7' then root || case when quality = '7' then '' else sy end || '97' when extension = 'none' then root || sy else root || sy || extension end || alt as symbolic,
+        with {LABELS}, {PARSED},
+        f as (select *, {_map_sql(chords.SUFFIXES["symbolic"])}[quality] as sy, {_map_sql(chords.SUFFIXES["textual"])}[quality] as tx, case when alteration = 'none' then '' else '(' || alteration || ')' end as alt from parsed)
+        select p_partkey, case when extension = '9_over_7' then root || case when quality = '7' then '' else sy end || '97' when extension = 'none' then root || sy else root || sy || extension end || alt as symbolic,
             case when extension = '9_over_7' then root || case when quality = '7' then '' else tx end || '97' when extension = 'none' then root || tx else root || tx || extension end || alt as textual from f"""),
     "normalisers": (normalisers, f"""
-        with {VOCABULARY},
-        k as (select label, regexp_replace(lower(label), '[()]', '', 'g') as low, lower(label) as lower_label,
-            replace(replace(replace(replace(replace(label, '/', '_slash_'), '#', 'sharp'), '+', 'aug'), ' ', ''), ':', '') as file_name from vocabulary),
+        with {LABELS},
+        k as (select p_partkey, label, regexp_replace(lower(label), '[()]', '', 'g') as low, lower(label) as lower_label,
+            replace(replace(replace(replace(replace(label, '/', '_slash_'), '#', 'sharp'), '+', 'aug'), ' ', ''), ':', '') as file_name from labels),
         c as (select *, upper(left(lower_label, 1)) || substr(lower_label, 2) as candidate from k)
-        select label, regexp_replace(' ' || low, '\\s+', '', 'g') as spaced_key, regexp_replace(regexp_replace(low, '^([a-g])b', '\\1-'), '\\s+', '', 'g') as plain_key,
+        select p_partkey, regexp_replace(' ' || low, '\\s+', '', 'g') as spaced_key, regexp_replace(regexp_replace(low, '^([a-g])b', '\\1-'), '\\s+', '', 'g') as plain_key,
             regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, '^([A-G])b', '\\1-'), '\\(([#b]?\\d{{1,2}}|add\\d{{1,2}})\\)', '\\1', 'g'), 'mm+', 'm', 'g'), '^([A-G][#b\\-]?)(\\d+)\\+$', '\\1+\\2') as figure,
             file_name, replace(replace(file_name, '(', '_'), ')', '_') as synthetic_name, replace(replace(replace(file_name, '_slash_', '/'), 'sharp', '#'), 'aug', '+') as back,
             left(sha1(label), 12) as short_id,
@@ -148,19 +158,20 @@ QUERIES = {
         select c_custkey, reason, case when reason is null and list_contains(['B', 'E', 'A', 'D', 'G', 'C', 'F'][1:greatest(-score_fifths, 0)], letter)
             then case when letter in ('A', 'E') then 'chromatic_skipped' when accidental is null then 'flattened' end end as action from g"""),
     "degree_form_drop": (degree_form_drop, f"""
-        with {VOCABULARY}, {PARSED},
-        d as (select label, quality, left(root, 1) as letter, length(label) % 2 as beat, cast(alteration <> 'none' as bigint) as n_degrees from parsed where quality in ('7', 'm7'))
-        select label, quality, letter, n_degrees from d where n_degrees = 0 or not exists (select 1 from d e where e.quality = d.quality and e.letter = d.letter and e.beat = d.beat and e.n_degrees = 0)"""),
+        with {LABELS}, {PARSED},
+        d as (select p_partkey, left(root, 1) as letter, p_partkey // 40 as measure, p_partkey % 4 as beat, cast(alteration <> 'none' as bigint) as n_degrees from parsed)
+        select p_partkey, letter, n_degrees from d where n_degrees = 0 or not exists (select 1 from d e where e.measure = d.measure and e.letter = d.letter and e.beat = d.beat and e.n_degrees = 0)"""),
     "bare_root_drop": (bare_root_drop, f"""
-        with {VOCABULARY}, v as (select label, length(label) * 7 + ascii(label) as x0 from vocabulary),
-        w as (select label, cast(x0 % 3 as bigint) as measure, cast(x0 * 13 % 701 as double) as x from v)
+        with {LABELS}, w as (select p_partkey, label, p_partkey // 60 as measure, cast(p_partkey * 13 % 701 as double) as x from labels)
         select * from w where not (x % 2 = 0 and regexp_matches(label, '^[A-G][b#]?$') and exists (
-            select 1 from w o where o.x % 2 = 0 and o.measure = w.measure and o.label <> w.label and starts_with(o.label, w.label) and abs(o.x - w.x) <= 40))"""),
+            select 1 from w o where o.x % 2 = 0 and o.measure = w.measure and o.label <> w.label and starts_with(o.label, w.label) and abs(o.x - w.x) <= 200))"""),
     "specificity_insert": (specificity_insert, """
-        with r as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n,
-            [struct_pack(k := left(l_returnflag || l_linestatus || '7', cast(l_partkey % 3 + 1 as int)), o := round(l_tax * 20, 3))] as i from lineitem),
+        with r as (select l_orderkey, l_linenumber % 3 <> 0 as late, l_linenumber, l_partkey, l_suppkey, l_extendedprice, left(l_returnflag || l_linestatus || '7', cast(l_partkey % 3 + 1 as int)) as k, round(l_tax * 20, 3) as o from lineitem),
+        n as (select l_orderkey, late, row_number() over (partition by l_orderkey order by late, case when late then l_linenumber else 0 end, case when late then l_partkey else 0 end, case when late then l_suppkey else 0 end, case when late then l_extendedprice else 0 end, k, o) as n,
+            [struct_pack(late := late, k := k, o := o)] as i from r),
         g as (select l_orderkey, list_reduce(list(i order by n), lambda acc, y:
-            case when len(list_filter(acc, lambda e: e.k = y[1].k or (abs(e.o - y[1].o) < 0.5 and contains(e.k, y[1].k) and length(y[1].k) < length(e.k)))) > 0 then acc
-            else list_concat(list_filter(acc, lambda e: not (abs(e.o - y[1].o) < 0.5 and contains(y[1].k, e.k) and length(e.k) < length(y[1].k))), y) end) as kept from r group by all)
-        select l_orderkey, e.k as k, e.o as o, true as inserted from (select l_orderkey, unnest(kept) as e from g)"""),
+            case when not y[1].late then list_concat(acc, y)
+            when len(list_filter(acc, lambda e: e.k = y[1].k or (abs(e.o - y[1].o) < 0.5 and contains(e.k, y[1].k) and length(y[1].k) < length(e.k)))) > 0 then acc
+            else list_concat(list_filter(acc, lambda e: not (abs(e.o - y[1].o) < 0.5 and contains(y[1].k, e.k) and length(e.k) < length(y[1].k))), y) end) as kept from n group by all)
+        select l_orderkey, e.k as k, e.o as o, e.late as inserted from (select l_orderkey, unnest(kept) as e from g)"""),
 }
