@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreframe.operators import overlay, repair, windows
+from scoreframe.sources.tables import written
 
 MIDDLE_C = 60
 
@@ -79,6 +80,7 @@ def apply_truth(song: Song, truth: DataFrame, merges: DataFrame) -> tuple[Song,
     known = truth.select("song").union(merges.select("song")).distinct()
     groups = merges.groupBy("song", "grp").agg(F.count("*").alias("_n")).where("_n >= 2")
     song = merge(song, merges)
+    song = replace(song, notes=written(song.notes))
     t = truth.join(song.measures.select("song", "measure", F.col("ql").alias("_ql")), ["song", "measure"])
     listed = t.where("chords is not null")
     replaced = song.chords.join(listed.select("song", "measure"), ["song", "measure"], "left_semi")
@@ -87,6 +89,7 @@ def apply_truth(song: Song, truth: DataFrame, merges: DataFrame) -> tuple[Song,
 
     sung = t.where("lyrics_v1 is not null")
     notes, used = _injected(song, sung.select("song", "measure", F.size("lyrics_v1").alias("n_words"), "inject_pitch"))
+    notes, used = written(notes), written(used)
     order = Window.partitionBy("song", "measure").orderBy("start", "seq", "sub")
     placed = notes.where("kind = 'note'").join(sung.select("song", "measure", "lyrics_v1"), ["song", "measure"]).withColumn("_i", F.row_number().over(order) - 1)
     words = placed.select("song", "seq", "sub", F.lit(1).alias("verse"), F.get("lyrics_v1", F.col("_i")).alias("text")).where("text is not null")

@@ -56,28 +56,28 @@ OVERLAY = f"""
 {MEASURES},
 m0 as (select o_custkey as song, number as measure, o_orderkey as k, ql from m),
 merged as (select song, sum(ql) as total, min(ql) filter (measure = 2) as shift from m0 where measure in (2, 3) and song % 2 = 0 group by song having count(*) = 2),
-place as (select m0.*, case when measure = 3 and shift is not null then 2 else measure end as target, case when measure = 3 then coalesce(shift, 0) else 0 end as shift0, total from m0 left join merged using (song)),
+place as materialized (select m0.*, case when measure = 3 and shift is not null then 2 else measure end as target, case when measure = 3 then coalesce(shift, 0) else 0 end as shift0, total from m0 left join merged using (song)),
 bars as (select song, measure, case when measure = 2 and total is not null then total else ql end as ql from place where measure = target),
-n0 as (select p.song, p.target as measure, row_number() over (partition by p.song order by k, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, l_returnflag = 'R' as rest,
+n0 as materialized (select p.song, p.target as measure, row_number() over (partition by p.song order by k, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, l_returnflag = 'R' as rest,
     cast(l_linenumber as double) + shift0 as start, l_tax * 25 as ql, cast(l_quantity as int) + 40 as midi, l_quantity > 25 as sung, l_linestatus, l_returnflag
     from lineitem join place p on l_orderkey = k),
 truth as (select song, measure, case k % 4 when 0 then ['C', 'F7', 'G'] when 1 then [] end as chords, case k % 3 when 0 then ['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'] when 1 then ['x'] end as words,
     case when k % 6 = 0 then 67 end as pitch from m0 where k % 4 <> 3 and song % 3 <> 0),
-t as (select truth.*, bars.ql from truth join bars using (song, measure)),
+t as materialized (select truth.*, bars.ql from truth join bars using (song, measure)),
 ends as (select song, measure, count(*) as n, max(start) as last_at, arg_max(midi, row(start, seq)) as last_midi, arg_min(midi, row(start, seq)) as first_midi from n0 where not rest group by all),
 short as (select t.song, t.measure, pitch, len(words) - coalesce(n, 0) as short from t left join ends using (song, measure) where words is not null and len(words) > coalesce(n, 0)),
 cap as (select n0.*, pitch, short, greatest(1, cast(trunc(ql / 0.25) as int)) as cap from n0 join short using (song, measure) where rest),
 took as (select *, least(cap, greatest(short - coalesce(sum(cap) over (partition by song, measure order by start, seq rows between unbounded preceding and 1 preceding), 0), 0)) as taken from cap),
-used as (select * from took where taken > 0),
+used as materialized (select * from took where taken > 0),
 given as (select song, measure, max(start + (taken - 1) * ql / taken) as in_at, max(pitch) as pitch from used group by all),
 eff as (select b.song, b.measure, first_midi, case when g.pitch is not null and (last_at is null or in_at > last_at) then g.pitch else last_midi end as eff
     from bars b left join ends using (song, measure) left join given g using (song, measure)),
 near as (select song, measure, coalesce(last_value(eff ignore nulls) over (partition by song order by measure rows between unbounded preceding and current row),
     first_value(first_midi ignore nulls) over (partition by song order by measure rows between 1 following and unbounded following), 60) as near from eff),
 made as (select song, measure, seq, cast(unnest(range(0, cast(taken as bigint))) as bigint) as sub, start, ql, taken, coalesce(u.pitch, near) as midi from used u join near using (song, measure)),
-notes as (select song, measure, seq, 0 as sub, case when rest then 'rest' else 'note' end as kind, start, ql, case when not rest then midi end as midi from n0 where not exists (select 1 from used u where u.song = n0.song and u.seq = n0.seq)
+notes as materialized (select song, measure, seq, 0 as sub, case when rest then 'rest' else 'note' end as kind, start, ql, case when not rest then midi end as midi from n0 anti join used u using (song, seq)
     union all select song, measure, seq, sub, 'note', start + sub * ql / taken, ql / taken, midi from made),
-placed as (select n.song, n.seq, n.sub, words[row_number() over (partition by n.song, n.measure order by n.start, n.seq, n.sub)] as word from notes n join t using (song, measure) where kind = 'note' and words is not null),
+placed as materialized (select n.song, n.seq, n.sub, words[row_number() over (partition by n.song, n.measure order by n.start, n.seq, n.sub)] as word from notes n join t using (song, measure) where kind = 'note' and words is not null),
 known as (select distinct song from truth union select song from m0 where measure in (2, 3) and song % 2 = 0)"""
 
 
@@ -166,7 +166,7 @@ QUERIES = {
             (select count(*) from m0 where m0.song = k.song and m0.k % 5 in (0, 1)) as phantom_markers_stripped
         from known k"""),
     "truth_notes": (truth_notes, f"""
-        with {OVERLAY}, kept as (select song, seq, 0 as sub, 'w' as text from n0 where not rest and sung and l_linestatus = 'O' and not exists (select 1 from placed p where p.song = n0.song and p.seq = n0.seq and p.sub = 0)
+        with {OVERLAY}, kept as (select song, seq, 0 as sub, 'w' as text from n0 anti join (select song, seq from placed where sub = 0) p using (song, seq) where not rest and sung and l_linestatus = 'O'
             union all select song, seq, sub, word from placed where word is not null)
         select n.song, n.measure, n.seq, cast(n.sub as bigint) as sub, kind, round(start, 6) as start, round(ql, 6) as ql, cast(midi as bigint) as midi, text from notes n left join kept using (song, seq, sub)"""),
     "truth_chords": (truth_chords, f"""
