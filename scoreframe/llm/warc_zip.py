@@ -9,7 +9,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
@@ -164,6 +164,8 @@ def parse(raw: bytes) -> dict:
         raise ValueError("not a WARC record")
     h = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
     block = rest[: int(h["content-length"])]
+    if len(block) < int(h["content-length"]):
+        raise ValueError(f"the record {h.get('warc-record-id')} is cut short")
     payload, length = block, len(block)
     if h.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
@@ -218,89 +220,169 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     return durable(rows.mapInArrow(run, "package string, records long, bytes long"))
 
 
-def index_places(text: str, archives: list[str]) -> Iterator[tuple[str, int, int]]:
+def plain(chunks: Iterable[bytes], gz: bool) -> Iterator[bytes]:
+    """The chunks, or what they hold in all gzip members one after the other; ValueError where the last member is cut."""
+    if not gz:
+        yield from chunks
+        return
+    member = None
+    for chunk in chunks:
+        while chunk:
+            member = member or zlib.decompressobj(31)
+            try:
+                out = member.decompress(chunk)
+            except zlib.error as e:
+                raise ValueError(f"broken gzip: {e}") from None
+            if out:
+                yield out
+            chunk = member.unused_data
+            if member.eof:
+                member = None
+    if member is not None:
+        raise ValueError("the data end within a gzip member")
+
+
+def ranges(z: ZipReader, name: str, start: int, stop: int) -> Iterator[bytes]:
+    return (z.range(name, at, min(CHUNK, stop - at)) for at in range(start, stop, CHUNK))
+
+
+def lines_of(z: ZipReader, name: str) -> Iterator[str]:
+    """An index line by line, a chunk in memory at a time, through all of its gzip members."""
+    held = b""
+    for data in plain(ranges(z, name, 0, z.members[name].size), name.endswith(".gz")):
+        *lines, held = (held + data).split(b"\n")
+        yield from (x.decode("utf-8", "replace") for x in lines)
+    yield held.decode("utf-8", "replace")
+
+
+def index_places(lines: Iterable[str], archives: list[str]) -> Iterator[tuple[str, int, int]]:
     """(archive, offset, length) of each line of an index, in JSON (CDXJ) or in columns named by letters (CDX).
 
-    A line without a file name belongs to the only archive; lines of other files, and without a length, are passed over.
+    A line without a file name belongs to the only archive; lines of other files, without a length, or that can't be read are passed over: what they
+    would have named is found in the gap that they leave.
     """
     columns: list[str] = "N b a m s k r M S V g".split()
     by_name = {a.rpartition("/")[2]: a for a in archives}
-    for line in text.splitlines():
+    for line in lines:
         if line.lstrip().startswith("CDX "):
             columns = line.split()[1:]
             continue
         if line.startswith("!") or not line.strip():
             continue
         if "{" in line:
-            place = json.loads(line[line.index("{") :])
+            try:
+                place = json.loads(line[line.index("{") :])
+            except ValueError:
+                continue
             name, offset, length = (place.get(k) for k in ("filename", "offset", "length"))
         else:
             row = dict(zip(columns, line.split(), strict=False))
             name, offset, length = (row.get(k) for k in "gVS")
-        archive = by_name.get(name.rpartition("/")[2]) if name else archives[0] if len(archives) == 1 else None
+        archive = by_name.get(str(name).rpartition("/")[2]) if name else archives[0] if len(archives) == 1 else None
         if archive and str(offset or "").isdigit() and str(length or "").isdigit():
             yield archive, int(offset), int(length)
 
 
-def unindexed(z: ZipReader, name: str) -> Iterator[bytes]:
-    """The records of an archive without an index, one after the other, by ranges of CHUNK bytes."""
-    size, at, held = z.members[name].size, 0, b""
+def split_records(data: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a stream, by their lengths; ValueError where it ends within one or holds anything else."""
+    held = bytearray()
 
-    def more() -> bytes:
-        nonlocal at
-        data = z.range(name, at, min(CHUNK, size - at))
-        at += len(data)
-        return data
+    def fill(done: Callable[[], bool]) -> bool:
+        while not done():
+            more = next(data, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
 
-    if name.endswith(".gz"):
-        while held or at < size:
-            gz, out = zlib.decompressobj(31), []
-            while not gz.eof and (held or at < size):
-                out.append(gz.decompress(held or more()))
-                held = gz.unused_data
-            if gz.eof and (raw := b"".join(out)):
-                yield raw
-        return
-    while held or at < size:
-        while (end := held.find(b"\r\n\r\n")) < 0 and at < size:
-            held += more()
-        found = re.search(rb"(?im)^content-length: *(\d+)", held[: max(0, end)])
-        if end < 0 or not found:
+    while True:
+        while fill(lambda: len(held) >= 2) and held[:2] == b"\r\n":
+            del held[:2]
+        if not held.strip(b"\r\n"):
             return
-        whole = end + 4 + int(found[1]) + 4
-        while len(held) < whole and at < size:
-            held += more()
-        yield held[:whole]
-        held = held[whole:]
+        if not fill(lambda: b"\r\n\r\n" in held):
+            raise ValueError("the data end within a record's head")
+        end = held.index(b"\r\n\r\n") + 4
+        found = re.search(rb"(?im)^content-length: *(\d+)", held[:end])
+        if not held.startswith(b"WARC/") or not found:
+            raise ValueError("no WARC record where one is expected")
+        whole = end + int(found[1])
+        if not fill(lambda whole=whole: len(held) >= whole):
+            raise ValueError("the data end within a record")
+        yield bytes(held[:whole])
+        del held[:whole]
+
+
+def archive_records(z: ZipReader, name: str, places: dict[int, int]) -> Iterator[dict]:
+    """Every record of an archive once: those that an index names by offset and length, and those in the gaps between by reading on. What can't be read gives a row with archive, offset and problem."""
+    gz, size, at = name.endswith(".gz"), z.members[name].size, 0
+
+    def gap(start: int, stop: int) -> Iterator[dict]:
+        try:
+            yield from map(parse, split_records(plain(ranges(z, name, start, stop), gz)))
+        except (ValueError, KeyError) as e:
+            yield {"archive": name, "offset": start, "problem": str(e)}
+
+    for offset, length in sorted(places.items()):
+        if offset > at:
+            yield from gap(at, min(offset, size))
+        try:
+            found = parse(b"".join(plain([z.range(name, offset, length)], gz)))
+        except (ValueError, KeyError) as e:
+            found = {"archive": name, "offset": offset, "problem": str(e)}
+        yield found
+        at = max(at, offset + length)
+    if at < size:
+        yield from gap(at, size)
 
 
 def read_package(url: str) -> Iterator[dict]:
-    """The records of a package, each read by its range as the indexes say; archives that no index names are read through."""
+    """The records of a package, each once, however many indexes name it and whether or not one does; and problems, as archive_records gives them."""
     with open_shared(url, "rb") as f:
         z = ZipReader(f)
-        archives, named = sorted(n for n in z.members if ARCHIVES.fullmatch(n)), set()
+        archives = sorted(n for n in z.members if ARCHIVES.fullmatch(n))
+        places: dict[str, dict[int, int]] = {a: {} for a in archives}
         for index in sorted(n for n in z.members if INDEXES.fullmatch(n)):
-            raw = z.whole(index)
-            for archive, offset, length in index_places((zlib.decompress(raw, 31) if index.endswith(".gz") else raw).decode(), archives):
-                named.add(archive)
-                raw_record = z.range(archive, offset, length)
-                yield parse(zlib.decompress(raw_record, 31) if archive.endswith(".gz") else raw_record)
+            try:
+                for archive, offset, length in index_places(lines_of(z, index), archives):
+                    places[archive].setdefault(offset, length)
+            except ValueError as e:
+                yield {"archive": index, "offset": 0, "problem": str(e)}
         for archive in archives:
-            if archive not in named:
-                yield from map(parse, unindexed(z, archive))
+            yield from archive_records(z, archive, places[archive])
 
 
 FIELDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
 
 
-def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of the packages named in the column package; with its payload if asked (null for revisits)."""
+def read_packages(packages: DataFrame, payloads: bool = False, strict: bool = True) -> DataFrame:
+    """A row for each record of the packages named in the column package; with its payload if asked (null for revisits).
+
+    A record that is cut or broken, or an index that can't be read, stops the job; unless strict, it is left out, and problems() lists it. A package
+    that is no ZIP stops it in either case.
+    """
     names = [x.split()[0] for x in FIELDS.split(", ")] + ["payload"] * payloads
 
-    def make():
-        return lambda url: ([r[n] for n in names] for r in read_package(url))
+    def rows(url: str) -> Iterator[list]:
+        for r in read_package(url):
+            if "problem" not in r:
+                yield [r[n] for n in names]
+            elif strict:
+                raise ValueError(f"{url}, {r['archive']} at {r['offset']}: {r['problem']}")
+
+    return map_rows(packages, ["package"], FIELDS + ", payload binary" * payloads, lambda: rows)
+
+
+def problems(packages: DataFrame) -> DataFrame:
+    """Rows (package, archive, at, problem) of what can't be read; a package that is no ZIP has a null archive."""
+
+    def rows(url: str) -> Iterator[tuple]:
+        try:
+            yield from ((url, r["archive"], r["offset"], r["problem"]) for r in read_package(url) if "problem" in r)
+        except (ValueError, OSError) as e:
+            yield url, None, None, str(e)
 
-    return map_rows(packages, ["package"], FIELDS + ", payload binary" * payloads, make)
+    return map_rows(packages, ["package"], "package string, archive string, at long, problem string", lambda: rows)
 
 
 def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
