@@ -14,12 +14,14 @@ from scoreframe.llm.common import map_rows, table, tally
 #: Phrases whose places are counted whatever the index says, and their labels.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
 
-#: (label, template, key phrase that must stand verbatim at its place in the template). Sentences of the
+#: (label, template, key phrase that must stand verbatim at its place in the template; where licences have versions, the number is part of it). Sentences of the
 #: public licences and of the notices that they ask for; a licence of several sentences has several templates.
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "hereby granted, free of charge"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "this permission notice shall be included"),
+    ("mit", "The MIT License (MIT)", "The MIT License (MIT)"),
+    ("mit", "MIT License Copyright (c)", "MIT License Copyright (c)"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache.org/licenses/LICENSE-2.0"),
     ("apache-2", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license", "each Contributor hereby grants to You a perpetual"),
@@ -29,32 +31,42 @@ TEMPLATES = (
     ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "GNU General Public License as published by the Free Software Foundation; either version 2"),
     ("lgpl-3", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
     ("lgpl-3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3"),
-    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2"),
+    ("lgpl-2", "licensed under the gnu library general public license version 2", "gnu library general public license version 2"),
+    ("lgpl-2", "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "GNU Library General Public License as published by the Free Software Foundation; either version 2"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
     ("lgpl-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
     ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
-    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
-    ("cc-by", "licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by", "licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose"),
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "publish, use, compile, sell, or distribute this software"),
-    ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2"),
+    ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2 0"),
     ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "alter it and redistribute it freely"),
-    ("boost-1", "Distributed under the Boost Software License, Version 1.0", "Boost Software License, Version 1"),
+    ("boost-1", "Distributed under the Boost Software License, Version 1.0", "Boost Software License, Version 1.0"),
     ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
-    ("artistic-2", "licensed under the artistic license 2 0", "artistic license 2"),
-    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1", "SIL Open Font License, Version 1"),
+    ("artistic-2", "licensed under the artistic license 2 0", "artistic license 2 0"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1", "SIL Open Font License, Version 1.1"),
 )
 
+#: Identifiers in SPDX lines, and their labels; each gives a template that must stand whole. Fixed values.
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "GPL-3.0": "gpl-3", "GPL-2.0": "gpl-2", "LGPL-3.0": "lgpl-3", "LGPL-2.1": "lgpl-2.1", "LGPL-2.0": "lgpl-2", "AGPL-3.0": "agpl-3", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd-3",
+    "MPL-2.0": "mpl-2", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-4.0": "cc-by", "CC0-1.0": "cc0", "ISC": "isc", "Unlicense": "unlicense", "EPL-2.0": "epl-2", "Zlib": "zlib", "BSL-1.0": "boost-1",
+    "WTFPL": "wtfpl", "Artistic-2.0": "artistic-2", "OFL-1.1": "ofl-1.1",
+}
+TEMPLATES += tuple((label, f"SPDX-License-Identifier: {name}", f"SPDX-License-Identifier: {name}") for name, label in SPDX.items())
+
 #: The share of a template's words that must fit at the found place.
 FIT = 0.6
 
