@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.operators import flags, labels
 from scoreframe.plans import recovery, reducer
-from scoreframe.sources import score_files, sinks
+from scoreframe.sources import archives, score_files, sinks
 
 
 def _score_tables(spark: SparkSession, folder: str, pattern: str):
@@ -46,9 +46,27 @@ def review(spark: SparkSession, a) -> None:
 
 
 def inspect(spark: SparkSession, a) -> None:
-    """Counts of every part."""
+    """Counts of every part, and of what spans notes."""
+    parts, spanners = score_files.inspection(score_files.files(spark, a.input, a.only))
+    parts.orderBy("song", "part").show(1000, False)
+    spanners.orderBy("song", "kind").show(1000, False)
+
+
+def status(spark: SparkSession, a) -> None:
+    """What of each recognition project can be read, and how many projects there are of each outcome."""
+    found = archives.outcomes(archives.sheets(spark, a.input, a.only))
+    found.orderBy("song").show(1000, False)
+    found.groupBy("status").count().orderBy("status").show()
+
+
+def starter(spark: SparkSession, a) -> None:
+    """A truth file for every score, with its chords and first verse as they stand, to be corrected; refuses to write over one."""
     t = _score_tables(spark, a.input, a.only)
-    flags.profile(t["note"], ["song", "part"], {"notes": F.count_if(F.col("kind") != "rest"), "rests": F.count_if(F.col("kind") == "rest"), "low": F.min(F.array_min("pitches")), "high": F.max(F.array_max("pitches")), "measures": F.count_distinct("measure")}).orderBy("song", "part").show(1000, False)
+    by = ["song", "measure"]
+    listed = lambda df, order, value, name: df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda i: i["v"]).alias(name))
+    chords = listed(t["harmony"], ["part", "seq"], "figure", "chords")
+    sung = listed(t["lyric"].where("verse = 1"), ["part", "note_seq", "pos"], "text", "lyrics_v1")
+    sinks.write_new(sinks.truth_starter(chords.join(sung, by, "full")), a.output)
 
 
 def dataset(spark: SparkSession, a) -> None:
@@ -71,7 +89,7 @@ def lint(spark: SparkSession, a) -> None:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="scoreframe", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name, run in (("process", process), ("review", review), ("inspect", inspect), ("dataset", dataset), ("lint", lint)):
+    for name, run in (("process", process), ("review", review), ("inspect", inspect), ("status", status), ("starter", starter), ("dataset", dataset), ("lint", lint)):
         c = sub.add_parser(name, help=run.__doc__)
         c.set_defaults(run=run)
         if name == "dataset":
@@ -79,10 +97,12 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--map")
             c.add_argument("--least", type=float, default=0.85)
         c.add_argument("input")
-        if name in ("process", "review", "dataset"):
+        if name in ("process", "review", "dataset", "starter"):
             c.add_argument("output", nargs="?" if name == "dataset" else None)
-        if name in ("process", "review", "inspect"):
+        if name in ("process", "review", "inspect", "starter"):
             c.add_argument("--only", default="*.{mxl,musicxml}")
+        if name == "status":
+            c.add_argument("--only", default="*.omr")
         if name == "process":
             c.add_argument("--style", choices=("symbolic", "textual"), default="symbolic")
     return p

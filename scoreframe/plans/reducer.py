@@ -58,6 +58,8 @@ def reduce_scores(notes: DataFrame, measures: DataFrame, lyrics: DataFrame, harm
     chords = attach_chords(harmonies, vocal, bars).drop("part")
     own = notes.join(vocal, ["song", "part"], "left_semi").drop("part")
     lowered = own.withColumn("pitches", F.when(F.col("kind") == "note", F.transform("pitches", lambda p: p - 12)).otherwise(F.col("pitches")))
+    if "octave" in own.columns:
+        lowered = lowered.withColumn("octave", F.when(F.col("kind") == "note", F.col("octave") - 1).otherwise(F.col("octave")))
     line = repair.vocal_line(lowered, "kind", "pitches")
     sounding = line.where("kind <> 'rest'").select("song", "measure").union(chords.select("song", "measure")).distinct().select("song", F.col("measure").alias("number"), F.lit(True).alias("_on"))
     trimmed = windows.trim_leading(bars.join(sounding, ["song", "number"], "left"), ["song"], "number", F.coalesce("_on", F.lit(False))).drop("_on")

@@ -34,9 +34,9 @@ STAFF_LINE = "song string, sheet int, staff int, y_top double, y_min double, y_m
 SHEET_SIZE = "song string, sheet int, n_measures int"
 VOCAL_STAFF = "song string, sheet int, staff int"
 NOTE = "song string, part int, measure int, voice int, seq int, kind string, pitches array<int>, step string, alter int, octave int, has_accidental boolean, offset double, ql double"
-MEASURE = "song string, part int, seq int, number int, ql double, left_barline string, fifths array<int>"
+MEASURE = "song string, part int, seq int, number int, ql double, left_barline string, fifths array<int>, beats string, beat_type string"
 LYRIC = "song string, part int, measure int, note_seq int, pos int, verse int, text string"
-HARMONY = "song string, part int, measure int, seq int, offset double, figure string, root string, kind string, kind_text string, n_degrees int, in_voice boolean"
+HARMONY = "song string, part int, measure int, seq int, offset double, figure string, root string, kind string, kind_text string, n_degrees int, in_voice boolean, bass string, degrees array<string>"
 
 
 def song_name(path: Column) -> Column:
@@ -219,12 +219,19 @@ def _figure(el: ElementTree.Element, root: str, kind: ElementTree.Element | None
     text = kind.get("text") if kind is not None else None
     name = (kind.text or "").strip() if kind is not None else ""
     out = root + (text if text else KIND_FIGURES.get(name, ""))
-    bass = _spelled(_text(el, "bass/bass-step"), _number(_text(el, "bass/bass-alter"), float) or 0)
+    bass = _bass(el)
     if bass and bass != root:
         out += "/" + bass
-    for d in el.iterfind("degree"):
-        out += f" {_text(d, 'degree-type') or 'add'} {_spelled('', _number(_text(d, 'degree-alter'), float) or 0)}{_text(d, 'degree-value') or ''}"
-    return out
+    return " ".join([out, *_degrees(el)])
+
+
+def _bass(el: ElementTree.Element) -> str:
+    return _spelled(_text(el, "bass/bass-step"), _number(_text(el, "bass/bass-alter"), float) or 0)
+
+
+def _degrees(el: ElementTree.Element) -> list[str]:
+    """A chord symbol's degrees, each as its type, alteration and number: add b9."""
+    return [f"{_text(d, 'degree-type') or 'add'} {_spelled('', _number(_text(d, 'degree-alter'), float) or 0)}{_text(d, 'degree-value') or ''}" for d in el.iterfind("degree")]
 
 
 def parse_score(content: bytes) -> dict[str, list[tuple]]:
@@ -236,11 +243,13 @@ def parse_score(content: bytes) -> dict[str, list[tuple]]:
         for m_seq, m in enumerate(p.iterfind("measure")):
             number = _leading(m.get("number")) or 0
             at = longest = 0.0
-            fifths, left, n_harmony, last_start = [], None, 0, 0.0
+            fifths, left, n_harmony, last_start, time = [], None, 0, 0.0, (None, None)
             for el in m:
                 if el.tag == "attributes":
                     divisions = _number(_text(el, "divisions"), float) or divisions
                     fifths += [int(k.text) for k in el.iterfind("key/fifths") if _number(k.text, int) is not None]
+                    if el.find("time") is not None:
+                        time = (_text(el, "time/beats"), _text(el, "time/beat-type"))
                 elif el.tag in ("backup", "forward"):
                     at += (_number(_text(el, "duration")) or 0) / divisions * (-1 if el.tag == "backup" else 1)
                 elif el.tag == "barline" and el.get("location") == "left":
@@ -249,7 +258,7 @@ def parse_score(content: bytes) -> dict[str, list[tuple]]:
                     step, alter, kind = _text(el, "root/root-step"), _number(_text(el, "root/root-alter"), float) or 0, el.find("kind")
                     root = _spelled(step, alter)
                     shown = kind.get("text") if kind is not None else None
-                    out["harmony"].append((part, number, n_harmony, at + (_number(_text(el, "offset")) or 0) / divisions, _figure(el, root, kind), root, kind.text if kind is not None else None, shown, len(el.findall("degree")), False))
+                    out["harmony"].append((part, number, n_harmony, at + (_number(_text(el, "offset")) or 0) / divisions, _figure(el, root, kind), root, kind.text if kind is not None else None, shown, len(el.findall("degree")), False, _bass(el) or None, _degrees(el)))
                     n_harmony += 1
                 elif el.tag == "note":
                     ql = 0.0 if el.find("grace") is not None else (_number(_text(el, "duration")) or 0) / divisions
@@ -269,10 +278,47 @@ def parse_score(content: bytes) -> dict[str, list[tuple]]:
                     note_seq += 1
                     last_start, at = start, at + ql
                 longest = max(longest, at)
-            out["measure"].append((part, m_seq, number, longest, left, fifths))
+            out["measure"].append((part, m_seq, number, longest, left, fifths, *time))
     return out
 
 
+PART = "song string, part int, id string, name string, instrument string, measures int, notes int, sung int, chord_symbols int, voices int, time string, fifths int, rehearsal_marks int, texts int, repeats int, first_chords array<string>"
+SPANNER = "song string, kind string"
+#: Elements that span notes, and the attribute and values by which each is counted once. Fixed values.
+SPANNERS = {"slur": ("start",), "wedge": ("crescendo", "diminuendo"), "octave-shift": ("up", "down"), "ending": ("start",), "glissando": ("start",), "slide": ("start",), "wavy-line": ("start",), "bracket": ("start",), "dashes": ("start",), "pedal": ("start",)}
+
+
+def _part_row(root: ElementTree.Element, part: int, p: ElementTree.Element, samples: int = 8) -> tuple:
+    """What a part holds. Notes are those with a pitch, a chord's counted once, and chord symbols; voices are those of measures that have several."""
+    listed = next((x for x in root.iterfind("part-list/score-part") if x.get("id") == p.get("id")), None)
+    said = lambda at: _text(listed, at) if listed is not None else None
+    measures, harmonies = p.findall("measure"), list(p.iter("harmony"))
+    heads = [n for n in p.iter("note") if n.find("rest") is None and n.find("chord") is None]
+    voices = [len({_text(n, "voice") or "1" for n in m.iterfind("note")}) for m in measures]
+    beats, unit, key = next(((t.findtext("beats"), t.findtext("beat-type")) for t in p.iter("time")), (None, None)) + (p.find(".//key/fifths"),)
+    figures = [_figure(h, _spelled(_text(h, "root/root-step"), _number(_text(h, "root/root-alter"), float) or 0), h.find("kind")) for h in harmonies[:samples]]
+    return (
+        part, p.get("id"), said("part-name"), said("score-instrument/instrument-name"), len(measures), len(heads) + len(harmonies), sum(n.find("lyric") is not None for n in heads), len(harmonies),
+        sum(v for v in voices if v > 1), f"{beats}/{unit}" if beats and unit else None, _number(key.text, int) if key is not None else None, len(list(p.iter("rehearsal"))), len(list(p.iter("words"))),
+        sum(m.find("barline/repeat") is not None for m in measures), figures,
+    )
+
+
+def inspection(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of every part's counts, rows (song, kind, n) of the spanners) of MusicXML files, plain or zipped."""
+
+    def root(content: bytes) -> ElementTree.Element:
+        return ElementTree.fromstring(sheets(content)[0][1] if content[:2] == b"PK" else content)
+
+    def kinds(song: str, content: bytes) -> Iterable[tuple]:
+        for el in root(content).iter():
+            if el.get("type") in SPANNERS.get(el.tag, ()):
+                yield song, el.get("type") if el.tag == "wedge" else el.tag
+
+    parts = _rows(scores, PART, lambda song, content: ((song, *_part_row(r, i, p)) for r in [root(content)] for i, p in enumerate(r.iterfind("part"))))
+    return parts, _rows(scores, SPANNER, kinds).groupBy("song", "kind").agg(F.count("*").alias("n"))
+
+
 def score_table(scores: DataFrame, name: str) -> DataFrame:
     """note, measure, lyric or harmony rows of MusicXML files, plain or zipped."""
     schema = {"note": NOTE, "measure": MEASURE, "lyric": LYRIC, "harmony": HARMONY}[name]

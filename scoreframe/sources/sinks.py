@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreframe.functions.pitch import midi, spelled
+
 LABEL_FIELDS = ("filename", "source", "audiveris_guess", "context", "classifier_guess", "classifier_conf", "correct_label")
 # Calls that may block, by module.
 TIMED_CALLS = {
@@ -49,10 +51,6 @@ def csv_field(text: Column) -> Column:
     return F.when(text.contains(",") | text.contains('"'), quoted).otherwise(text)
 
 
-def write_classes(df: DataFrame, label: str, folder: str) -> None:
-    df.write.mode("overwrite").partitionBy(label).parquet(folder)
-
-
 def data_url(content: Column, mime: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
 
@@ -76,8 +74,6 @@ def label_page(rows: list[dict]) -> str:
 
 
 DIVISIONS = 10080  # of a quarter: whole numbers for all lengths of 2, 3, 5 and 7 parts
-NAMES = ("C", "C", "D", "D", "E", "F", "F", "G", "G", "A", "A", "B")
-SHARP = (0, 1, 0, 1, 0, 0, 1, 0, 1, 0, 1, 0)
 
 
 def _escaped(text: Column) -> Column:
@@ -91,10 +87,16 @@ def _element(name: str, text: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"<{name}>"), text.cast("string"), F.lit(f"</{name}>")), F.lit(""))
 
 
-def _pitch(midi: Column) -> Column:
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.pmod(midi, F.lit(12)) + 1)
-    alter = F.when(at(SHARP) == 1, F.lit("<alter>1</alter>")).otherwise("")
-    return F.concat(F.lit("<pitch>"), _element("step", at(NAMES)), alter, _element("octave", F.floor(midi / 12) - 1), F.lit("</pitch>"))
+def _pitch(name: Column) -> Column:
+    alter = F.when(name["alter"] != 0, _element("alter", name["alter"])).otherwise("")
+    return F.concat(F.lit("<pitch>"), _element("step", name["step"]), alter, _element("octave", name["octave"]), F.lit("</pitch>"))
+
+
+def _degree(degree: Column) -> Column:
+    """The element of a degree given as type, alteration and number: add b9."""
+    part = lambda i: F.regexp_extract(degree, r"^(\w+) ([#b]*)(\d+)$", i)
+    alter = F.length(F.regexp_replace(part(2), "b", "")) - F.length(F.regexp_replace(part(2), "#", ""))
+    return F.when(part(3) != "", F.concat(F.lit("<degree>"), _element("degree-value", part(3)), _element("degree-alter", alter), _element("degree-type", part(1)), F.lit("</degree>"))).otherwise("")
 
 
 def _root(name: str, spelled: Column) -> Column:
@@ -108,11 +110,17 @@ def musicxml(measures: DataFrame, notes: DataFrame, harmonies: DataFrame, lyrics
     """Rows (song, value): a lead sheet of one part for each song as MusicXML, without new notation: what the tables say, at the places they say.
 
     measures (song, number, fifths), notes (song, measure, seq, kind, pitches, offset, ql), harmonies (song, measure, seq, offset, root, kind, kind_text), lyrics (song, note_seq, verse, text).
-    What lies in measures that the song doesn't have is left out; a song is the unit of memory. Sharps stand for altered pitches; grace notes (length 0) are written as such.
+    Where they have them: step, alter and octave of a single note are kept, other pitches take the name nearest to the key that holds; bass (another than the root) and degrees of harmonies, and
+    beats, beat_type and left_barline (a style, or repeat) of measures, are written. What lies in measures that the song doesn't have is left out; a song is the unit of memory. Grace notes
+    (length 0) are written as such.
     """
     ticks = lambda c: F.round(F.coalesce(c, F.lit(0.0)) * DIVISIONS).cast("long")
     verse = F.concat(F.lit('<lyric number="'), F.coalesce(F.col("verse"), F.lit(1)).cast("string"), F.lit('">'), _element("text", _escaped(F.col("text"))), F.lit("</lyric>"))
-    n = notes.select("song", "measure", "seq", "kind", "pitches", "offset", "ql")
+    has = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    own = F.struct(has(notes, "step", "string").alias("step"), F.coalesce(has(notes, "alter", "int"), F.lit(0)).cast("int").alias("alter"), has(notes, "octave", "int").cast("int").alias("octave"))
+    held = F.last(F.when(F.size("fifths") > 0, F.element_at("fifths", -1)), ignorenulls=True).over(Window.partitionBy("song").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
+    keys = measures.select("song", F.col("number").alias("measure"), held.alias("key"))
+    n = notes.select("song", "measure", "seq", "kind", "pitches", "offset", "ql", own.alias("own")).join(keys, ["song", "measure"], "left")
     if lyrics is not None:
         sung = lyrics.where("text is not null").groupBy("song", F.col("note_seq").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("verse", verse.alias("x")))), lambda i: i["x"]), "").alias("words"))
         n = n.join(sung, ["song", "seq"], "left")
@@ -121,13 +129,15 @@ def musicxml(measures: DataFrame, notes: DataFrame, harmonies: DataFrame, lyrics
     length = F.when(ticks(F.col("ql")) > 0, _element("duration", ticks(F.col("ql")))).otherwise("")
     grace = F.when(ticks(F.col("ql")) > 0, "").otherwise("<grace/>")
     sounding = F.filter("pitches", lambda p: p.isNotNull())
-    one = lambda p, i: F.concat(F.lit("<note>"), grace, F.when(i > 0, "<chord/>").otherwise(""), _pitch(p), length, F.when(i == 0, F.coalesce("words", F.lit(""))).otherwise(""), F.lit("</note>"))
+    one = lambda p, i: F.concat(F.lit("<note>"), grace, F.when(i > 0, "<chord/>").otherwise(""), _pitch(F.when(midi(F.col("own.step"), F.col("own.alter"), F.col("own.octave")) == p, F.col("own")).otherwise(spelled(p, F.col("key")))), length, F.when(i == 0, F.coalesce("words", F.lit(""))).otherwise(""), F.lit("</note>"))
     silent = F.concat(F.lit("<note><rest/>"), length, F.lit("</note>"))
     sound = F.when((F.col("kind") == "rest") | (F.coalesce(F.size(sounding), F.lit(0)) < 1), silent).otherwise(F.array_join(F.transform(sounding, one), ""))
     bar = lambda df: df.withColumn("number", F.col("measure"))
     events = bar(n).select("song", "number", ticks(F.col("offset")).alias("at"), F.lit(1).alias("rank"), F.col("seq").cast("long").alias("seq"), ticks(F.col("ql")).alias("long"), sound.alias("xml"))
     kind = F.concat(F.lit('<kind text="'), _escaped(F.coalesce("kind_text", F.lit(""))), F.lit('">'), _escaped(F.coalesce("kind", F.lit("major"))), F.lit("</kind>"))
-    chord = F.concat(F.lit("<harmony>"), _root("root", F.col("root")), kind, F.lit("</harmony>"))
+    bass = has(harmonies, "bass", "string")
+    degrees = F.array_join(F.transform(F.coalesce(has(harmonies, "degrees", "array<string>"), F.array().cast("array<string>")), _degree), "")
+    chord = F.concat(F.lit("<harmony>"), _root("root", F.col("root")), kind, F.when(bass != F.coalesce("root", F.lit("")), _root("bass", bass)).otherwise(""), degrees, F.lit("</harmony>"))
     events = events.unionByName(bar(harmonies).select("song", "number", ticks(F.col("offset")).alias("at"), F.lit(0).alias("rank"), F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("long"), chord.alias("xml")))
     order = F.array_sort(F.collect_list(F.struct("at", "rank", "seq", "long", "xml")))
     listed = events.groupBy("song", "number").agg(order.alias("e"))
@@ -137,9 +147,12 @@ def musicxml(measures: DataFrame, notes: DataFrame, harmonies: DataFrame, lyrics
     body = F.array_join(F.transform("e", lambda x, i: F.concat(step(x["at"] - end(i)), x["xml"])), "")
     first = F.row_number().over(Window.partitionBy("song").orderBy("number")) == 1
     fifths = F.array_join(F.transform(F.coalesce("fifths", F.array().cast("array<int>")), lambda k: F.concat(F.lit("<key>"), _element("fifths", k), F.lit("</key>"))), "")
-    attributes = F.concat(F.when(F.col("_first"), F.lit(f"<divisions>{DIVISIONS}</divisions>")).otherwise(""), fifths)
-    full = measures.select("song", "number", "fifths").withColumn("_first", first).join(listed.select("song", "number", body.alias("body")), ["song", "number"], "left")
-    xml = F.concat(F.lit('<measure number="'), F.col("number").cast("string"), F.lit('">'), F.when(attributes != "", _element("attributes", attributes)).otherwise(""), F.coalesce("body", F.lit("")), F.lit("</measure>"))
+    time = F.when(F.col("beats").isNotNull(), F.concat(F.lit("<time>"), _element("beats", F.col("beats")), _element("beat-type", F.col("beat_type")), F.lit("</time>"))).otherwise("")
+    attributes = F.concat(F.when(F.col("_first"), F.lit(f"<divisions>{DIVISIONS}</divisions>")).otherwise(""), fifths, time)
+    style = F.when(F.col("left_barline") == "repeat", F.lit('<repeat direction="forward"/>')).otherwise(_element("bar-style", _escaped(F.col("left_barline"))))
+    left = F.when(F.col("left_barline").isNotNull(), F.concat(F.lit('<barline location="left">'), style, F.lit("</barline>"))).otherwise("")
+    full = measures.select("song", "number", "fifths", *(has(measures, c, "string").cast("string").alias(c) for c in ("beats", "beat_type", "left_barline"))).withColumn("_first", first).join(listed.select("song", "number", body.alias("body")), ["song", "number"], "left")
+    xml = F.concat(F.lit('<measure number="'), F.col("number").cast("string"), F.lit('">'), F.when(attributes != "", _element("attributes", attributes)).otherwise(""), left, F.coalesce("body", F.lit("")), F.lit("</measure>"))
     songs = full.groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", xml.alias("x")))), lambda i: i["x"]), "\n").alias("body"))
     head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<score-partwise version="4.0"><part-list><score-part id="P1"><part-name>Lead</part-name></score-part></part-list><part id="P1">\n')
     return songs.select("song", F.concat(head, "body", F.lit("\n</part></score-partwise>\n")).alias("value"))

@@ -1,15 +1,17 @@
 """Files in, files out, and what is built on them."""
 
+import hashlib
 import io
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from scoreframe.operators import heads, locate
+from scoreframe.operators import coverage, heads, locate
 from scoreframe.plans import recovery, reducer
-from scoreframe.sources import archives, score_files, sinks
+from scoreframe.sources import archives, class_files, score_files, sinks
 from scoreframe.streaming import extensions
 
 SHEET = """<sheet><staff id="1"><line><point y="100"/><point y="102"/></line><line><point y="140"/></line></staff>
@@ -208,6 +210,93 @@ def test_musicxml_round_trip(spark):
     assert [(r[2], r[5]) for r in back["measure"]] == [(1, [-1]), (2, []), (3, [])] and score_files.parse_score(xml["u"].encode())["note"] == []
 
 
+def test_musicxml_keeps_chords_bars_and_spelling(spark):
+    """Basses, degrees, time, bar lines and given names come back; pitches without a name are spelled in the key that holds."""
+    measures = spark.createDataFrame([("s", 1, [-4], "3", "4", None), ("s", 2, [], None, None, "repeat"), ("s", 3, [3], "4", "4", "light-heavy")], "song string, number int, fifths array<int>, beats string, beat_type string, left_barline string")
+    rows = [(1, 0, "note", [61], "C", 1, 4), (1, 1, "note", [61], None, None, None), (1, 2, "note", [61], "E", 0, 4), (2, 3, "note", [66], None, None, None), (2, 4, "chord", [63, 71], "E", -1, 4), (3, 5, "note", [66], None, None, None), (3, 6, "note", [59], "C", -1, 4)]
+    notes = spark.createDataFrame([("s", m, s, k, p, st, a, o, float(s), 1.0) for m, s, k, p, st, a, o in rows], "song string, measure int, seq int, kind string, pitches array<int>, step string, alter int, octave int, offset double, ql double")
+    chords = spark.createDataFrame(
+        [("s", 1, 0, 0.0, "C", "dominant", "7", "Bb", ["add b9", "alter #5"]), ("s", 1, 1, 1.0, "Bb", "minor", "m", "Bb", []), ("s", 2, 0, 3.0, "F#", "major", "", None, None), ("s", 3, 0, 5.0, "Ab", "major-seventh", "t", "C", ["subtract 3", "add ##11", "odd"])],
+        "song string, measure int, seq int, offset double, root string, kind string, kind_text string, bass string, degrees array<string>",
+    )
+    back = score_files.parse_score(sinks.musicxml(measures, notes, chords).first()["value"].encode())
+    named = {n: i for i, n in enumerate(x.split()[0] for x in score_files.HARMONY.split(", ")[1:])}
+    assert [(r[named["root"]], r[named["bass"]], r[named["degrees"]]) for r in back["harmony"]] == [("C", "Bb", ["add b9", "alter #5"]), ("Bb", None, []), ("F#", None, []), ("Ab", "C", ["subtract 3", "add ##11"])]
+    assert [r[named["figure"]] for r in back["harmony"]] == ["C7/Bb add b9 alter #5", "Bbm", "F#", "Abt/C subtract 3 add ##11"]
+    assert [r[6:9] for r in back["note"]] == [("C", 1, 4), ("D", -1, 4), ("D", -1, 4), ("G", -1, 4), ("E", -1, 4), ("F", 1, 4), ("C", -1, 4)] and [r[5] for r in back["note"]][-1] == [59]
+    assert [(r[2], r[4], r[5], r[6], r[7]) for r in back["measure"]] == [(1, None, [-4], "3", "4"), (2, "repeat", [], None, None), (3, "light-heavy", [3], "4", "4")]
+
+
+def test_transposition(spark):
+    """Every note up and back, by every interval, is the note itself; sizes and names are right."""
+    from scoreframe.functions import pitch
+
+    n = spark.createDataFrame([(s, a, 4, k) for s in "CDEFGAB" for a in range(-2, 3) for k in range(-24, 25)] + [(None, 0, 4, 1), ("H", 0, 4, 1)], "s string, a int, o int, k int")
+    n = n.withColumn("t", pitch.transposed(F.col("s"), F.col("a"), F.col("o"), F.col("k"))).withColumn("u", pitch.transposed(F.col("t.step"), F.col("t.alter"), F.col("t.octave"), -F.col("k")))
+    n = n.withColumn("d", pitch.midi(F.col("t.step"), F.col("t.alter"), F.col("t.octave")) - pitch.midi(F.col("s"), F.col("a"), F.col("o")))
+    rows = n.collect()
+    assert all((tuple(r["u"]), r["d"]) == ((r["s"], r["a"], r["o"]), r["k"]) for r in rows if r["s"] not in (None, "H")) and all(r["t"] is None for r in rows if r["s"] in (None, "H"))
+    got = {(r["s"], r["a"], r["k"]): tuple(r["t"]) for r in rows if r["t"]}
+    assert (got["B", -1, -2], got["E", 0, 3], got["F", 0, -12], got["C", 0, -1], got["G", -1, 2]) == (("A", -1, 4), ("G", 0, 4), ("F", 0, 3), ("B", 0, 3), ("A", -1, 4))
+
+
+def test_class_files(spark, tmp_path):
+    """Files under fixed names; a repeated job changes nothing, one that fails leaves nothing."""
+    at = str(tmp_path / "classes")
+    rows = spark.createDataFrame([("C/G", "p", "sheet#1", float(i), 2.0, bytearray(b"img%d" % i)) for i in range(40)] + [("D7", "p", "sheet#1", 1.0, 1.0, None), (None, "p", "s", 1.0, 1.0, bytearray(b"x"))], "label string, project string, sheet string, x double, y double, content binary").repartition(5)
+    named = rows.withColumn("name", class_files.crop_name(F.col("project"), F.col("sheet"), F.col("x"), F.col("y")))
+    class_files.write_classes(named, at)
+    found = {p.name: p.read_bytes() for p in (tmp_path / "classes" / "C_slash_G").iterdir()}
+    assert sorted(found.values()) == sorted(b"img%d" % i for i in range(40)) and hashlib.sha1(b"p:sheet#1:7,2").hexdigest()[:12] + ".png" in found
+    assert sorted(p.name for p in (tmp_path / "classes").iterdir()) == ["C_slash_G"]
+    class_files.write_classes(named.withColumn("content", F.lit(b"other")), at)  # places that are taken keep what they have
+    assert {p.name: p.read_bytes() for p in (tmp_path / "classes" / "C_slash_G").iterdir()} == found
+    bad = rows.limit(3).select(F.lit("new").alias("label"), F.lit("a/b").alias("name"), "content")
+    with pytest.raises(Exception, match="no file name"):
+        class_files.write_classes(bad, at)
+    assert sorted(p.name for p in (tmp_path / "classes").iterdir()) == ["C_slash_G", "D7"]
+
+
+def test_inspection(spark, folder, tmp_path):
+    parts, spanners = score_files.inspection(score_files.files(spark, str(folder), "*.mxl"))
+    one, two = parts.orderBy("part").collect()
+    assert (one["id"], one["measures"], one["notes"], one["sung"], one["chord_symbols"], one["voices"], one["fifths"], one["repeats"], one["first_chords"]) == ("P1", 2, 4, 1, 1, 0, -1, 0, ["Bb7"])
+    assert (two["id"], two["notes"], two["time"], two["first_chords"]) == ("P2", 1, None, ["F"]) and spanners.count() == 0
+    note = '<note><pitch><step>C</step><octave>4</octave></pitch><duration>1</duration><voice>{}</voice><notations><slur type="{}"/></notations></note>'
+    (tmp_path / "x.musicxml").write_text(
+        '<score-partwise><part-list><score-part id="A"><part-name>Voice</part-name><score-instrument id="i"><instrument-name>Alto</instrument-name></score-instrument></score-part></part-list><part id="A"><measure number="1"><attributes><time><beats>3</beats><beat-type>4</beat-type></time></attributes>'
+        f'<direction><direction-type><rehearsal>A</rehearsal></direction-type></direction><direction><direction-type><words>slow</words><wedge type="crescendo"/></direction-type></direction>{note.format(1, "start")}{note.format(2, "stop")}<barline><repeat direction="backward"/></barline></measure></part></score-partwise>'
+    )
+    parts, spanners = score_files.inspection(score_files.files(spark, str(tmp_path), "*.musicxml"))
+    r = parts.first()
+    assert (r["name"], r["instrument"], r["voices"], r["time"], r["rehearsal_marks"], r["texts"], r["repeats"], r["notes"]) == ("Voice", "Alto", 2, "3/4", 1, 1, 1, 2)
+    assert {s["kind"]: s["n"] for s in spanners.collect()} == {"slur": 1, "crescendo": 1}
+
+
+def test_thinning_stream(spark, tmp_path):
+    """Any order of arrival within the watermark gives the batch's rows."""
+    rng = random.Random(9)
+    start = 1_700_000_000
+    rows = [(g, start + round(rng.random() * 400, 3), rng.choice(["A", "Am", "Cmaj7"])) for g in range(3) for _ in range(60)]
+    late = [(r[1] + rng.random() * 50, r) for r in rows] + [(start + 10_000 + i, (9, float(start + 10_000 + i), "end")) for i in (0, 1)]
+    table = lambda rs: spark.createDataFrame(rs, "g int, t double, token string").select("g", F.timestamp_millis((F.col("t") * 1000).cast("long")).alias("ts"), "token")
+    arrived = [r for _, r in sorted(late)]
+    for i in range(0, len(arrived), 23):
+        table(arrived[i : i + 23]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("g int, ts timestamp, token string").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+        out = extensions.proximity_dedup(stream, ["g"], "ts", "token", 5.0, "60 seconds")
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    batch = table([r for r in rows]).select("g", F.unix_micros("ts").cast("double").alias("x"), "token")
+    want = sorted((r["g"], int(r["x"]), r["token"]) for r in coverage.proximity_dedup(batch, ["g"], "x", "token", 5e6).collect())
+    got = sorted((r["g"], r["at"], r["token"]) for r in spark.read.parquet(str(tmp_path / "out")).where("g <> 9").collect())
+    assert got == want and len(want) > 60
+
+
 def test_cleaned(spark):
     start, mod = '<tuplet type="start"/>', "<time-modification><x/></time-modification>"
     good = f'<measure number="2">{start}{mod}<tuplet type="stop"/></measure>'
