@@ -35,8 +35,8 @@ class _Thinning(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            self.waiting.appendList([(int(t), k) for t, k in zip(batch["_at"], batch["_token"], strict=True)])
-            for t in sorted(set(batch["_at"])):
+            self.waiting.appendList([(int(t), k) for t, k in zip(batch["thin_at"], batch["thin_token"], strict=True)])
+            for t in sorted(set(batch["thin_at"])):
                 # from then on nothing can come before a row, nor near enough to replace it
                 for due in (int(t) // 1000 + 1, int(t) // 1000 + int(self.radius * 1000) + 2):
                     self.handle.registerTimer(due)
@@ -73,7 +73,7 @@ def proximity_dedup(tokens: DataFrame, by: list[str], ts: str, token: str, radiu
     state holds what has come within `late`, and the last row kept. Rows with a null time or token are left out. Needs the RocksDB state store.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = tokens.where(F.col(ts).isNotNull() & F.col(token).isNotNull()).select(*by, F.col(ts).cast("timestamp").alias("_ts"), at.alias("_at"), F.col(token).alias("_token")).withWatermark("_ts", late)
+    rows = tokens.where(F.col(ts).isNotNull() & F.col(token).isNotNull()).select(*by, F.col(ts).cast("timestamp").alias("thin_ts"), at.alias("thin_at"), F.col(token).alias("thin_token")).withWatermark("thin_ts", late)
     types = dict(tokens.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in by) + ", at long, token string"
     return rows.groupBy(*by).transformWithStateInPandas(_Thinning(by, radius), schema, "Append", "EventTime")
