@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scoreframe.plans import alignments, chord_labels, lyric_text, measures, pitches, positions, row_readings, songs
+from scoreframe.plans import alignments, chord_labels, lyric_songs, lyric_text, measures, note_heads, pitches, positions, row_readings, songs
 
-_ALL = alignments.QUERIES | positions.QUERIES | chord_labels.QUERIES | lyric_text.QUERIES | measures.QUERIES | songs.QUERIES | row_readings.QUERIES | pitches.QUERIES
+_ALL = alignments.QUERIES | positions.QUERIES | chord_labels.QUERIES | lyric_text.QUERIES | measures.QUERIES | songs.QUERIES | row_readings.QUERIES | pitches.QUERIES | note_heads.QUERIES | lyric_songs.QUERIES
 
 
 def queries() -> dict:
