@@ -612,7 +612,7 @@ def test_encode_and_decode_frames(spark, docs):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     found = con.execute(registry.oracle_sql()[name])
