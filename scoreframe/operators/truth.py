@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,17 +71,17 @@ def _injected(song: Song, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.unionByName(new.select(*song.notes.columns)), used
 
 
-def apply_truth(song: Song, truth: DataFrame, merges: DataFrame) -> tuple[Song, DataFrame]:
+def apply_truth(song: Song, truth: DataFrame, merges: DataFrame, keep: Callable[[DataFrame], DataFrame] = written) -> tuple[Song, DataFrame]:
     """(songs after their truth, counts by song).
 
     First measures are merged by merges (song, grp, measure). Then truth (song, measure, chords, lyrics_v1, inject_pitch; one row a measure; null says
     nothing, an empty list clears) gives measures their chords, evenly spread, and their first verse, a syllable a note; where notes are too few, rests
-    become notes of the pitch given or of the nearest note. Marks that are a question mark go, in songs that have a truth. Songs without stay as they are.
+    become notes of the pitch given or of the nearest note. Notes that several results read go through keep, which writes them once. Marks that are a question mark go, in songs that have a truth. Songs without stay as they are.
     """
     known = truth.select("song").union(merges.select("song")).distinct()
     groups = merges.groupBy("song", "grp").agg(F.count("*").alias("_n")).where("_n >= 2")
     song = merge(song, merges)
-    song = replace(song, notes=written(song.notes))
+    song = replace(song, notes=keep(song.notes))
     t = truth.join(song.measures.select("song", "measure", F.col("ql").alias("_ql")), ["song", "measure"])
     listed = t.where("chords is not null")
     replaced = song.chords.join(listed.select("song", "measure"), ["song", "measure"], "left_semi")
@@ -89,7 +90,7 @@ def apply_truth(song: Song, truth: DataFrame, merges: DataFrame) -> tuple[Song,
 
     sung = t.where("lyrics_v1 is not null")
     notes, used = _injected(song, sung.select("song", "measure", F.size("lyrics_v1").alias("n_words"), "inject_pitch"))
-    notes, used = written(notes), written(used)
+    notes, used = keep(notes), keep(used)
     order = Window.partitionBy("song", "measure").orderBy("start", "seq", "sub")
     placed = notes.where("kind = 'note'").join(sung.select("song", "measure", "lyrics_v1"), ["song", "measure"]).withColumn("_i", F.row_number().over(order) - 1)
     words = placed.select("song", "seq", "sub", F.lit(1).alias("verse"), F.get("lyrics_v1", F.col("_i")).alias("text")).where("text is not null")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreframe.operators import streams, truth
 from scoreframe.plans.measures import MEASURES, _measures
-from scoreframe.sources.tables import read
+from scoreframe.sources.tables import read, written
 
 LINE = ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -25,14 +27,14 @@ def _song(spark: SparkSession, sf: str) -> truth.Song:
     return truth.Song(m.select("song", "measure", "ql"), chords, notes, lyrics, marks)
 
 
-def _overlaid(spark: SparkSession, sf: str) -> tuple[truth.Song, DataFrame]:
+def _overlaid(spark: SparkSession, sf: str, keep: Callable[[DataFrame], DataFrame] = written) -> tuple[truth.Song, DataFrame]:
     m = _measures(spark, sf).select(F.col("o_custkey").alias("song"), F.col("number").alias("measure"), F.col("o_orderkey").alias("k"))
     words = F.when(F.col("k") % 3 == 0, F.array(*map(F.lit, "abcdefgh"))).when(F.col("k") % 3 == 1, F.array(F.lit("x")))
     t = m.where("k % 4 <> 3 and song % 3 <> 0").select(
         "song", "measure", F.when(F.col("k") % 4 == 0, F.array(F.lit("C"), F.lit("F7"), F.lit("G"))).when(F.col("k") % 4 == 1, F.array().cast("array<string>")).alias("chords"), words.alias("lyrics_v1"), F.when(F.col("k") % 6 == 0, 67).alias("inject_pitch")
     )
     merges = m.where("measure in (2, 3) and song % 2 = 0").select("song", F.lit(1).alias("grp"), "measure")
-    return truth.apply_truth(_song(spark, sf), t, merges)
+    return truth.apply_truth(_song(spark, sf), t, merges, keep)
 
 
 def truth_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +50,7 @@ def truth_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def truth_chords(spark: SparkSession, sf: str) -> DataFrame:
-    song, _ = _overlaid(spark, sf)
+    song, _ = _overlaid(spark, sf, lambda notes: notes)  # no result here reads the notes
     return song.chords.select("song", F.col("measure").cast("long").alias("measure"), F.round("offset", 6).alias("offset"), "figure")
 
 
