@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions import lyrics
 from scoreframe.functions.text import split_bucket
-from scoreframe.sources.tables import read
+from scoreframe.sources.tables import read, written
 
 #: Documents of which a word has to stand in this many, to be in the dictionary.
 DICTIONARY_DOCS = 40
@@ -55,7 +55,8 @@ def contractions(spark: SparkSession, sf: str) -> DataFrame:
 def merged_words(spark: SparkSession, sf: str) -> DataFrame:
     """The different tokens of all documents that polishing changes, with the number of their places: merged words of the corpus dictionary, and contractions."""
     t = read(spark, sf, "documents").select(F.explode(lyrics.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    out = lyrics.polish(t, "token", _dictionary(spark, sf))
+    # both are read several times, and are far smaller than the texts
+    out = lyrics.polish(written(t), "token", written(_dictionary(spark, sf)))
     return out.where("polished <> token").select("token", "n", "polished")
 
 
