@@ -13,19 +13,26 @@ SHAPES = ("WHOLE_NOTE", "NOTEHEAD_VOID", "NOTEHEAD_BLACK", "BREVE", "OTHER")
 
 def head_insertion(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of flag N are notes that are there, others heads: some on staves without words, some linked, some without a measure."""
-    o = read(spark, sf, "orders").withColumn("number", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    line = read(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "song")
-    q = F.col("l_quantity").cast("int")
+    numbered = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("song"), "o_orderkey", numbered.alias("number"), F.floor(F.col("o_totalprice") / 100000).cast("double").alias("length"))
+    q, head = F.col("l_quantity").cast("int"), F.col("l_returnflag") != "N"
+    # what a line brings moves as small numbers
+    line = read(spark, sf, "lineitem").where("l_returnflag is not null").select(
+        "l_orderkey", q.alias("q"), "l_linenumber", head.alias("head"),
+        F.when(head, F.col("l_partkey")).alias("l_partkey"), F.when(head, F.col("l_suppkey")).alias("l_suppkey"), F.when(head, F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.when(head & (F.col("l_tax") > 0), F.col("l_discount") * 9).alias("frac"),
+    )
+    lines = line.join(o.select("song", "o_orderkey", "number"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+    measures = o.where("o_orderkey % 5 <> 0").select("song", "number", "length", F.lit(None).cast("boolean").alias("head"))
+    songs = lines.unionByName(measures, allowMissingColumns=True).repartition("song")
     shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("l_suppkey") % len(SHAPES) + 1).cast("int"))
-    found = line.where("l_returnflag <> 'N'").select(
-        "song", F.col("number").alias("sheet"), (F.col("l_linenumber") % 4).alias("staff"), F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"),
-        (F.col("l_partkey") % 3 == 0).alias("linked"), F.when(F.col("l_suppkey") % 9 != 0, F.col("number")).alias("measure_global"), F.when(F.col("l_tax") > 0, F.col("l_discount") * 9).alias("frac"), (q % 15 - 7).alias("pitch_position"), shape.alias("shape"),
+    rows = songs.select(
+        "song", "number", "length", F.when(F.col("head"), "head").when(~F.col("head"), "note").otherwise("measure").alias("what"), (F.col("l_linenumber") / 4.0).alias("at"), (F.col("q") % 30 + 45).cast("long").alias("pitch"),
+        *[F.when(F.col("head"), c).alias(name) for name, c in {
+            "sheet": F.col("number"), "staff": F.col("l_linenumber") % 4, "sung": F.col("l_linenumber") % 4 != 3, "id": F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber", "cents"), "linked": F.col("l_partkey") % 3 == 0,
+            "measure_global": F.when(F.col("l_suppkey") % 9 != 0, F.col("number")), "frac": F.col("frac"), "pitch_position": F.col("q") % 15 - 7, "shape": shape,
+        }.items()],
     )
-    vocal = found.where("staff <> 3").select("song", "sheet", "staff").distinct()
-    measures = o.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("song"), "number", F.floor(F.col("o_totalprice") / 100000).cast("double").alias("ql"))
-    notes = line.where("l_returnflag = 'N'").select("song", F.col("number").alias("measure"), (F.col("l_linenumber") / 4.0).alias("offset"), (q % 30 + 45).alias("midi"))
-    out = heads.insert_heads(found, vocal, measures, notes)
-    return out.select("song", F.col("sheet").cast("long").alias("sheet"), "id", "offset", F.col("midi").cast("long").alias("midi"), "ql", "action")
+    return heads.insert_rows(rows).select("song", "sheet", "id", "offset", F.col("midi").cast("long").alias("midi"), "ql", "action")
 
 
 QUERIES = {
