@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreframe.operators import heads
+from scoreframe.operators.align import dealt
 from scoreframe.sources.tables import read
 
 SHAPES = ("WHOLE_NOTE", "NOTEHEAD_VOID", "NOTEHEAD_BLACK", "BREVE", "OTHER")
@@ -23,7 +24,7 @@ def head_insertion(spark: SparkSession, sf: str) -> DataFrame:
     )
     lines = line.join(o.select("song", "o_orderkey", "number"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
     measures = o.where("o_orderkey % 5 <> 0").select("song", "number", "length", F.lit(None).cast("boolean").alias("head"))
-    songs = lines.unionByName(measures, allowMissingColumns=True).repartition("song")
+    songs = dealt(lines.unionByName(measures, allowMissingColumns=True), "song")
     shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("l_suppkey") % len(SHAPES) + 1).cast("int"))
     rows = songs.select(
         "song", "number", "length", F.when(F.col("head"), "head").when(~F.col("head"), "note").otherwise("measure").alias("what"), (F.col("l_linenumber") / 4.0).alias("at"), (F.col("q") % 30 + 45).cast("long").alias("pitch"),
